@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.plans import divergence
+from codestrata.plans import divergence, drift, hierarchy
 
-MODULES = (divergence,)
+MODULES = (divergence, drift, hierarchy)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}

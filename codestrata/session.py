@@ -42,4 +42,8 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = os.path.join(tempfile.gettempdir(), "codestrata-checkpoints")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    # A checkpoint keeps the size that was estimated for its plan. A loop of joins multiplies these estimates, and soon
+    # planning only multiplies numbers of a million digits; so the written rows come back as a source of unknown size.
+    written = df.checkpoint(eager=True)._jdf
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), session)
