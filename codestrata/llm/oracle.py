@@ -14,6 +14,8 @@ best AS (
 """
 
 ORACLE: dict[str, str] = {
+    # a lossless encoding is one from which every text comes back
+    "p6_roundtrip": "SELECT lang, count(*) AS documents, count(*) AS same FROM documents GROUP BY lang",
     "p1_found": _P1 + "SELECT symbol_id FROM best WHERE rank <= 3",
     "p1_top_callables": _P1 + "SELECT project, type, owner, CAST(rank AS INTEGER) AS rank, mi, name, symbol_id FROM best WHERE rank <= 3",
 }

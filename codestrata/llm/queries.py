@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.llm.encode import decode, encode
 from codestrata.llm.topn import top_n
 from codestrata.operators.latest import latest
 from codestrata.tables import table
@@ -35,7 +36,21 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_top_callables(spark, folder).select("symbol_id")
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode(table(spark, folder, "documents"))
+
+
+def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents, by language, come back from their ids as the text they were."""
+    docs = table(spark, folder, "documents")
+    back = decode(encode(docs)).withColumnRenamed("text", "back")
+    same = docs.join(back, "doc_id", "left").withColumn("same", F.col("back").eqNullSafe(F.coalesce("text", F.lit(""))))
+    return same.groupBy("lang").agg(F.count("*").alias("documents"), F.count_if("same").alias("same"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_top_callables": p1_top_callables,
+    "p6_ids": p6_ids,
+    "p6_roundtrip": p6_roundtrip,
 }
