@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm.encode import decode, encode
+from codestrata.llm.encode import decode, encode, token_counts
+from codestrata.llm.mix import mix, shares
+from codestrata.llm.split import split_oversized
 from codestrata.llm.topn import top_n
 from codestrata.operators.latest import latest
+from codestrata.session import cut
 from codestrata.tables import table
 
 TOP_CALLABLES = 3  # cases per owner, as TESTDATA.md states them
@@ -48,9 +51,41 @@ def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return same.groupBy("lang").agg(F.count("*").alias("documents"), F.count_if("same").alias("same"))
 
 
+MIX_LEVELS = ("source", "doc_kind", "lang")  # targets are given for sources; kinds and languages keep their proportion
+MIX_SEED = 20250101
+
+
+def _sized(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's token count; texts are encoded once and left behind."""
+    return cut(token_counts(table(spark, folder, "documents").select("doc_id", *MIX_LEVELS, "text")).drop("text"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(_sized(spark, folder), table(spark, folder, "mix_targets"), MIX_LEVELS, seed=MIX_SEED)
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    docs, targets = _sized(spark, folder), table(spark, folder, "mix_targets")
+    return shares(cut(mix(docs, targets, MIX_LEVELS, seed=MIX_SEED)), docs, targets, "source")
+
+
+def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_oversized(table(spark, folder, "documents"), table(spark, folder, "split_limits"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that the splitter cuts: each has a first piece."""
+    pieces = split_oversized(table(spark, folder, "documents"), table(spark, folder, "split_limits"), with_text=False)
+    return pieces.where("piece = 0").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_top_callables": p1_top_callables,
     "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_pieces": p8_pieces,
 }
