@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codestrata.llm.encode import decode, encode, token_counts
 from codestrata.llm.mix import mix, shares
 from codestrata.llm.split import split_oversized
+from codestrata.llm.syntax import check_syntax, rates
 from codestrata.llm.topn import top_n
 from codestrata.operators.latest import latest
 from codestrata.session import cut
@@ -39,6 +40,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_top_callables(spark, folder).select("symbol_id")
 
 
+def p3_files(spark: SparkSession, folder: str) -> DataFrame:
+    return check_syntax(table(spark, folder, "documents"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_files(spark, folder).where("NOT valid").select("doc_id")
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return rates(p3_files(spark, folder), table(spark, folder, "documents"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents"))
 
@@ -82,6 +95,9 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_top_callables": p1_top_callables,
+    "p3_found": p3_found,
+    "p3_files": p3_files,
+    "p3_rates": p3_rates,
     "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip,
     "p7_mix": p7_mix,
