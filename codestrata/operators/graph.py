@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,10 @@ from codestrata.operators.rollup import ancestors
 from codestrata.session import cut
 
 
+#: A graph of at most so many edges is solved in one task; a task holds about 200 bytes an edge for it.
+LOCAL_EDGES = 1_000_000
+
+
 def distinct_edges(edges: DataFrame, keys: Sequence[str] = ("project",)) -> DataFrame:
     """One row per pair of different classes that any edge connects."""
     named = edges.where("src_class IS NOT NULL AND dst_class IS NOT NULL AND src_class <> dst_class")
@@ -73,12 +79,32 @@ def distance(abstract: Column, unstable: Column) -> Column:
     return F.abs(abstract + unstable - 1)
 
 
-def class_rank(edges: DataFrame, classes: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100) -> DataFrame:
+def _rank_of(damping: float, tolerance: float, rounds: int):
+    def solve(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        order = pd.Index(nodes["node"])
+        n = len(order)
+        src, dst = order.get_indexer(links["src"]), order.get_indexer(links["dst"])
+        degree = np.bincount(src, minlength=n)
+        rank = np.full(n, 1 / n)
+        for _ in range(rounds):
+            got = np.bincount(dst, weights=rank[src] / degree[src], minlength=n) if len(src) else np.zeros(n)
+            new = (1 - damping) / n + damping * (got + rank[degree == 0].sum() / n)
+            moved = np.abs(new - rank).sum()
+            rank = new
+            if moved < tolerance:
+                break
+        return pd.DataFrame({"project": nodes["project"], "class": nodes["class"], "rank": rank})
+
+    return solve
+
+
+def class_rank(edges: DataFrame, classes: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """PageRank of each project's classes: `project`, `class`, `rank`; a project's ranks sum to 1.
 
     Only edges between `classes` (`project`, `class`) count, each pair once, no self-loops; the rank of classes without
     edges out is spread evenly. Each project starts uniformly; it ends when no project changed by `tolerance` in sum,
-    or after `rounds`. A project of one class has rank 1.
+    or after `rounds`. A project of one class has rank 1. A graph that is counted to have at most `local_edges` edges and
+    nodes is solved by project in memory; a larger one by rounds of joins and sums.
     """
     nodes = cut(classes.where("class IS NOT NULL").select("project", "class").distinct().withColumn("node", F.monotonically_increasing_id()))
     a = nodes.select(F.col("project").alias("p1"), F.col("class").alias("c1"), F.col("node").alias("src"))
@@ -87,8 +113,12 @@ def class_rank(edges: DataFrame, classes: DataFrame, damping: float = 0.85, tole
     pairs = pairs.join(b, F.col("project").eqNullSafe(F.col("p2")) & (F.col("dst_class") == F.col("c2"))).select("src", "dst")
     degrees = pairs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
     links = cut(pairs.join(degrees, F.col("src") == F.col("node")).select("src", "dst", "degree"))
-    sizes = nodes.groupBy("project").agg(F.count("*").alias("n"))
-    base = nodes.join(sizes, nodes.project.eqNullSafe(sizes.project)).select("node", nodes.project, "n").join(degrees.select("node", F.lit(True).alias("gives")), "node", "left")
+    if links.count() <= local_edges and nodes.count() <= local_edges:
+        placed = links.join(nodes.select(F.col("node").alias("src"), F.col("project").alias("of")), "src").select("of", "src", "dst")
+        names = nodes.select("project", "class", "node")
+        return names.groupBy("project").cogroup(placed.groupBy("of")).applyInPandas(_rank_of(damping, tolerance, rounds), f"project {nodes.schema['project'].dataType.simpleString()}, class string, rank double")
+    sizes = nodes.groupBy(F.col("project").alias("sp")).agg(F.count("*").alias("n"))
+    base = nodes.join(sizes, F.col("project").eqNullSafe(F.col("sp"))).select("node", "project", "n").join(degrees.select("node", F.lit(True).alias("gives")), "node", "left")
     state = cut(base.select("node", "project", "n", F.coalesce("gives", F.lit(False)).alias("gives"), F.try_divide(F.lit(1.0), F.col("n").cast("double")).alias("rank")))
     width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(rounds):
@@ -126,15 +156,65 @@ def connected_components(pairs: DataFrame) -> DataFrame:
         label = label.drop("was")
 
 
-def strongly_connected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """`node` and `component` (its smallest member) of all strongly connected components with more than one node.
-
-    Nodes without a way in or out among the rest are trimmed first; of what is left, the smallest label that reaches a
+def _components_of(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strongly connected components of more than one node, by depth-first search without recursion."""
+    out: dict[str, list[str]] = {}
+    for batch in pairs:
+        for s, d in batch[["s", "d"]].itertuples(index=False):
+            out.setdefault(s, []).append(d)
+            out.setdefault(d, [])
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    path: list[str] = []
+    on_path: set[str] = set()
+    rows: list[tuple[str, str]] = []
+    for root in out:
+        if root in index:
+            continue
+        work = [(root, iter(out[root]))]
+        index[root] = low[root] = len(index)
+        path.append(root)
+        on_path.add(root)
+        while work:
+            node, rest = work[-1]
+            for nxt in rest:
+                if nxt not in index:
+                    index[nxt] = low[nxt] = len(index)
+                    path.append(nxt)
+                    on_path.add(nxt)
+                    work.append((nxt, iter(out[nxt])))
+                    break
+                if nxt in on_path:
+                    low[node] = min(low[node], index[nxt])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    members = []
+                    while True:
+                        m = path.pop()
+                        on_path.discard(m)
+                        members.append(m)
+                        if m == node:
+                            break
+                    if len(members) > 1:
+                        rows += [(m, min(members)) for m in members]
+    yield pd.DataFrame(rows, columns=["node", "component"])
+
+
+def strongly_connected(edges: DataFrame, src: str = "src", dst: str = "dst", local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """`node` (a string) and `component` (its smallest member) of all strongly connected components with more than one
+    node.
+
+    A graph whose edges are counted to be at most `local_edges` is one task's work. A larger one: nodes without a way in or out among the rest are trimmed first; of what is left, the smallest label that reaches a
     node forward and the smallest that it reaches are propagated, and nodes for which both agree form components;
     then the edges between different labels go and the rest repeats. Rounds depend on the graph's shape.
     """
     width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     live = cut(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s IS NOT NULL AND d IS NOT NULL AND s <> d").distinct())
+    if live.count() <= local_edges:
+        return live.coalesce(1).mapInPandas(_components_of, "node string, component string")
     found = None
     while True:
         before = -1
@@ -165,16 +245,38 @@ def _least_label(live: DataFrame, src: str, dst: str, width: int) -> DataFrame:
             return label.select("node", "label")
 
 
-def shortest_cycles(edges: DataFrame, members: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def _cycle_of(group: pd.DataFrame) -> pd.DataFrame:
+    start, out = group["component"].iloc[0], {}
+    for s, d in group[["s", "d"]].itertuples(index=False):
+        out.setdefault(s, []).append(d)
+    level, seen = {start: [start]}, {start}
+    while level:
+        ahead: dict[str, list[str]] = {}
+        for node, way in level.items():
+            for d in out.get(node, ()):
+                if d not in ahead or [*way, d] < ahead[d]:
+                    ahead[d] = [*way, d]
+        if start in ahead:
+            return pd.DataFrame({"component": [start], "cycle": [ahead[start]]})
+        level = {d: way for d, way in ahead.items() if d not in seen}
+        seen |= set(level)
+    return pd.DataFrame({"component": [], "cycle": []})
+
+
+def shortest_cycles(edges: DataFrame, members: DataFrame, src: str = "src", dst: str = "dst", local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Per component of `members` (`node`, `component`): `size`, sorted `members`, and `cycle`, the shortest cycle
     through the smallest member, of several the first in order of names.
 
-    Breadth first from all components' smallest members at once; each round is a join of the frontier with the edges
+    Components whose edges are counted to be at most `local_edges` in all are searched one by one in memory. Else it goes
+    breadth first from all components' smallest members at once; each round is a join of the frontier with the edges
     inside components. Only one way to each node is kept, so the frontier never exceeds the nodes.
     """
     m1 = members.select(F.col("node").alias("s"), F.col("component").alias("c1"))
     m2 = members.select(F.col("node").alias("d"), F.col("component").alias("c2"))
     inner = cut(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s <> d").distinct().join(m1, "s").join(m2, "d").where("c1 = c2").select("s", "d", F.col("c1").alias("component")))
+    held = members.groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members"))
+    if inner.count() <= local_edges:
+        return held.join(inner.groupBy("component").applyInPandas(_cycle_of, "component string, cycle array<string>"), "component")
     frontier = members.where("node = component").select("component", "node", F.array("node").alias("way"))
     seen, closed, width = frontier.select("component", "node"), None, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     open_components = members.select("component").distinct()
@@ -189,7 +291,6 @@ def shortest_cycles(edges: DataFrame, members: DataFrame, src: str = "src", dst:
         if frontier.isEmpty():
             break
         seen = cut(seen.unionByName(frontier.select("component", "node")).coalesce(width))
-    held = members.groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members"))
     return held.join(closed, "component")
 
 

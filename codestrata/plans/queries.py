@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.plans import divergence, drift, hierarchy
+from codestrata.plans import divergence, drift, findings, graphs, hierarchy, measures, texts
 
-MODULES = (divergence, drift, hierarchy)
+MODULES = (measures, findings, graphs, divergence, drift, hierarchy, texts)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
