@@ -168,10 +168,18 @@ closed : '-'? NUMBER (('+' | '-') NUMBER)? | strings | 'None' | 'True' | 'False'
 pattern_argument : pattern | NAME '=' pattern ;
 pattern_item : ('-'? NUMBER (('+' | '-') NUMBER)? | strings | dotted | 'None' | 'True' | 'False') ':' pattern | '**' NAME ;
 
-parameters : parameter (',' parameter)* ','? ;
-parameter : NAME (':' expr)? ('=' expr)? | '*' (NAME (':' star_expr)?)? | '**' NAME (':' expr)? | '/' ;
-lambda_parameters : lambda_parameter (',' lambda_parameter)* ','? ;
-lambda_parameter : NAME ('=' expr)? | '*' NAME? | '**' NAME | '/' ;
+parameters : front (',' stars)? ','? | stars ','? ;
+front : bare (',' bare)* (',' '/' (',' bare)*)? (',' given)* | bare (',' bare)* (',' given)+ ',' '/' (',' given)* | given (',' given)* (',' '/' (',' given)*)? ;
+stars : '*' NAME (':' star_expr)? (',' plain)* (',' keywords)? | '*' (',' plain)+ (',' keywords)? | keywords ;
+keywords : '**' bare ;
+bare : NAME (':' expr)? ;
+given : bare '=' expr ;
+plain : bare ('=' expr)? ;
+lambda_parameters : l_front (',' l_stars)? ','? | l_stars ','? ;
+l_front : NAME (',' NAME)* (',' '/' (',' NAME)*)? (',' l_given)* | NAME (',' NAME)* (',' l_given)+ ',' '/' (',' l_given)* | l_given (',' l_given)* (',' '/' (',' l_given)*)? ;
+l_stars : '*' NAME (',' l_plain)* (',' '**' NAME)? | '*' (',' l_plain)+ (',' '**' NAME)? | '**' NAME ;
+l_given : NAME '=' expr ;
+l_plain : NAME ('=' expr)? ;
 
 star_exprs : star_expr (',' star_expr)* ','? ;
 star_expr : expr | '*' binary ;
@@ -185,8 +193,9 @@ factor : ('+' | '-' | '~')* 'await'? atom trailer* ;
 trailer : '.' NAME | arguments | '[' slices ']' ;
 slices : slice (',' slice)* ','? ;
 slice : star_named | expr? ':' expr? (':' expr?)? ;
-arguments : '(' (argument (',' argument)* ','?)? ')' ;
-argument : named comprehension? | NAME '=' expr | '*' expr | '**' expr ;
+arguments : '(' ( named comprehension | positional (',' positional)* (',' named_arguments)? ','? | named_arguments ','? )? ')' ;
+positional : named | '*' expr ;
+named_arguments : (NAME '=' expr | '*' expr) (',' (NAME '=' expr | '*' expr))* (',' (NAME '=' expr | '**' expr))* | '**' expr (',' (NAME '=' expr | '**' expr))* ;
 comprehension : ('async'? 'for' targets 'in' logical ('if' condition)*)+ ;
 condition : logical | NAME ':=' logical ;
 atom : NAME | NUMBER | strings | 'None' | 'True' | 'False' | '...' | '(' ( yield | star_named comprehension | (star_named (',' star_named)* ','?)? ) ')'

@@ -32,9 +32,14 @@ def json_kinds(text: str) -> list[str] | None:
 # ---- XML ----
 
 _NAME = r"[:A-Za-z_\xc0-\xd6\xd8-\xf6\xf8-˿Ͱ-ͽͿ-῿‌‍⁰-↏Ⰰ-⿯、-퟿豈-﷏ﷰ-�\U00010000-\U000effff][-.0-9:A-Za-z_\xb7\xc0-\xd6\xd8-\xf6\xf8-ͽͿ-῿‌‍‿⁀⁰-↏Ⰰ-⿯、-퟿豈-﷏ﷰ-�\U00010000-\U000effff]*"
+_S, _LITERAL = r"[ \t\r\n]+", r"(?:\"[^\"]*\"|'[^']*')"
+_EXTERNAL = rf"(?:SYSTEM{_S}{_LITERAL}|PUBLIC{_S}{_LITERAL}{_S}{_LITERAL})"
 _XML = re.compile(
     rf"""(?P<COMMENT><!--(?:(?!--)(?s:.))*-->)|(?P<CDATA><!\[CDATA\[(?s:.*?)\]\]>)
-|(?P<DOCTYPE><!DOCTYPE[ \t\r\n]+{_NAME}(?:[^\[\]<>"']|"[^"]*"|'[^']*')*(?:\[(?:[^\]"'<]|"[^"]*"|'[^']*'|<!--(?s:.*?)-->|<(?!!--)(?:[^>"']|"[^"]*"|'[^']*')*>)*\][ \t\r\n]*)?>)
+|(?P<DOCTYPE><!DOCTYPE{_S}{_NAME}(?:{_S}{_EXTERNAL})?[ \t\r\n]*(?:\[(?:[ \t\r\n]|%{_NAME};|<!--(?:(?!--)(?s:.))*-->|<\?{_NAME}(?:{_S}(?s:.*?))?\?>
+   |<!ENTITY{_S}(?:%{_S})?{_NAME}{_S}(?:{_LITERAL}|{_EXTERNAL}(?:{_S}NDATA{_S}{_NAME})?)[ \t\r\n]*>
+   |<!NOTATION{_S}{_NAME}{_S}(?:{_EXTERNAL}|PUBLIC{_S}{_LITERAL})[ \t\r\n]*>
+   |<!(?:ELEMENT|ATTLIST){_S}{_NAME}(?:{_S}(?:[^<>"']|{_LITERAL})*)?>)*\][ \t\r\n]*)?>)
 |(?P<PI><\?(?P<target>{_NAME})(?:[ \t\r\n](?s:.*?))?\?>)
 |(?P<CLOSE></(?P<end>{_NAME})[ \t\r\n]*>)
 |<(?P<tag>{_NAME})(?P<attributes>(?:[ \t\r\n]+{_NAME}[ \t\r\n]*=[ \t\r\n]*(?:"[^<"]*"|'[^<']*'))*)[ \t\r\n]*(?P<slash>/?)>
@@ -468,7 +473,6 @@ def yaml_kinds(text: str) -> list[str] | None:
 
 def php_kinds(text: str) -> list[str] | None:
     """None also for a text without any opening tag."""
-    kinds = [k for k, _, _ in php_lexer.tokens(text)]
-    if not kinds or kinds[-1] == "BAD" or kinds == ["HTML"]:
-        return None
-    return kinds
+    lexer = php_lexer.Lexer(text)
+    kinds = [k for k, _, _ in lexer.run()]
+    return kinds if lexer.opened and "BAD" not in kinds[-1:] else None
