@@ -56,7 +56,7 @@ class _Bad(Exception):
 class Lexer:
     def __init__(self, text: str) -> None:
         self.text, self.tokens, self.comments = text, [], []
-        self.line, self.marked = 1, 0
+        self.line, self.marked, self.opened = 1, 0, False
 
     def at(self, pos: int) -> int:
         """The line of an offset; offsets only grow."""
@@ -74,6 +74,7 @@ class Lexer:
                     self.tokens.append(("HTML", text[pos:end], self.at(pos)))
                     if m is None:
                         break
+                self.opened = True
                 if m.group() == "<?=":
                     self.tokens.append(("OPEN_ECHO", "<?=", self.at(m.start())))
                 pos = self.code(m.end(), n, "")
