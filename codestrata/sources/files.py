@@ -21,7 +21,7 @@ def discover(spark: SparkSession, paths: Sequence[str], suffix: str = ".php", ex
     inside = F.lit(False)
     for d in excluded:
         inside = inside | F.contains(F.col("path"), F.lit(f"/{d}/"))
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.make_valid_utf8(F.col("content").cast("string"))  # bytes that are no UTF-8 become replacement characters
     return rows.where(~inside).select(F.regexp_replace("path", "^file:/*", "/").alias("file"), text.alias("text")).dropDuplicates(["file"]).withColumn("is_generated", is_generated(F.col("text")))
 
 
