@@ -97,7 +97,7 @@ def decode(encoded: DataFrame, id_column: str = "doc_id", ids_column: str = "ids
     hexed = named.groupBy("id", F.expr(f"coalesce(pos, 0) div {BLOCK}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("h")))).alias("at"))
     parts = hexed.select("id", "block", F.array_join(F.transform("at", lambda x: x["h"]), "").alias("h"))
     whole = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("block", "h"))).alias("at"))
-    return whole.select(F.col("id").alias(id_column), F.decode(F.unhex(F.array_join(F.transform("at", lambda x: x["h"]), "")), "UTF-8").alias("text"))
+    return whole.select(F.col("id").alias(id_column), F.make_valid_utf8(F.unhex(F.array_join(F.transform("at", lambda x: x["h"]), "")).cast("string")).alias("text"))
 
 
 def token_counts(docs: DataFrame, text_column: str = "text", path: str | None = None, name: str = "tokens") -> DataFrame:

@@ -57,3 +57,10 @@ def test_very_long_texts(text):
     ids = vocabulary.encode(text, vocabulary.default_path())
     names = {v: k for k, v in vocabulary.ranks(vocabulary.default_path()).items()}
     assert b"".join(names[i] for i in ids).decode() == text
+
+
+def test_lists_cut_inside_a_character_decode(spark):
+    ids = vocabulary.encode("ab 漢", vocabulary.default_path())
+    df = spark.createDataFrame([(1, ids[:-1]), (2, None), (3, []), (4, [10**6])], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.text for r in decode(df).collect()}
+    assert got[1].startswith("ab ") and "\ufffd" in got[1] and (got[2], got[3], got[4]) == ("", "", "")
