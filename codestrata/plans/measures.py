@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.operators import formula
+from codestrata.operators.quantiles import percentiles
 from codestrata.operators.rank import severity_rank
 from codestrata.operators.rollup import aggregates, leaves, roll, roll_by_definition, roll_up_paths, weighted_mean
 from codestrata.operators.rules import severity
@@ -45,6 +46,11 @@ def rollup_findings(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("level", "name", "price_count", "price_p95", "severity").orderBy(severity_rank(F.col("severity")), F.desc("price_p95"), "level", "name")
 
 
+def region_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of very large groups, found by narrowing instead of by holding a group's values."""
+    return rounded(percentiles(_sales(spark, folder).select("region", "price"), ["region"], "price", [0.05, 0.5, 0.95]), 4)
+
+
 _SALES = """
 WITH sales AS (SELECT c_custkey, n_name, r_name, l_extendedprice AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey
                JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
@@ -135,13 +141,14 @@ h AS (SELECT project, class_key, ca, cm, ma, mm, mc,
 """
 
 QUERIES = {
-    "rollup_findings": rollup_findings, "agg_strategies_by_level": agg_strategies_by_level, "callable_to_class": callable_to_class, "namespace_rollup": namespace_rollup,
+    "rollup_findings": rollup_findings, "agg_strategies_by_level": agg_strategies_by_level, "region_percentiles": region_percentiles, "callable_to_class": callable_to_class, "namespace_rollup": namespace_rollup,
     "project_rollup": project_rollup, "definition_rollup": definition_rollup, "weighted_rollup": weighted_rollup, "health_class": health_class, "health_namespace": health_namespace, "formula_chain": formula_chain,
 }
 _LONG = ", l AS (SELECT project, class_key, unnest(['ccn', 'mi', 'loc']) AS m, unnest([ccn::DOUBLE, mi, loc::DOUBLE]) AS v FROM sub WHERE type = 'method')\n"
 ORACLE = {
     "agg_strategies_by_level": _SALES + "SELECT * FROM agg",
     "rollup_findings": _SALES + "SELECT level, name, price_count, price_p95, CASE WHEN price_p95 >= 90000 THEN 'error' ELSE 'warning' END AS severity FROM agg WHERE price_p95 >= 88000",
+    "region_percentiles": _SALES + ", r AS (SELECT r_name AS region, unnest([0.05, 0.5, 0.95]::DOUBLE[]) AS share, unnest(quantile_cont(price, [0.05, 0.5, 0.95])) AS p FROM sales GROUP BY r_name) SELECT region, share, round(p, 4) AS percentile FROM r",
     "callable_to_class": SUBJECTS + f"SELECT project, class_key, {seven('ccn', 'ccn')}, sum(ccn)::BIGINT AS wmc, count(*) AS symbol_method_count FROM sub WHERE type = 'method' GROUP BY ALL",
     "namespace_rollup": SUBJECTS + _PATHS + f"SELECT project, namespace, {seven('ccn', 'ccn')}, {seven('loc', 'loc')} FROM up GROUP BY ALL",
     "project_rollup": SUBJECTS
