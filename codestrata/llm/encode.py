@@ -12,9 +12,11 @@ from pyspark.sql.types import ArrayType, LongType, StringType
 from codestrata.llm import vocabulary
 from codestrata.session import cut
 
-#: The most frequent words, so many at most and each of HEAD_CHARS characters at most, are sent to every task: under
-#: 20 MB however large the corpus is. All other words meet their ids in a shuffle.
+#: The most frequent words, so many at most and each of HEAD_CHARS characters at most, are sent to every task, and the
+#: most frequent longer ones, such as separator lines: under 20 MB and 16 MB however large the corpus is. All other
+#: words meet their ids in a shuffle.
 HEAD_WORDS, HEAD_CHARS = 65_536, 48
+LONG_WORDS, LONG_CHARS = 512, 2048
 #: Words are gathered in blocks of so many before the blocks of a document are, so that no task holds the words of a
 #: huge document one by one.
 BLOCK = 4096
@@ -65,7 +67,10 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     path = path or vocabulary.default_path()
     seen = occurrences(docs, id_column, text_column)
     table = cut(word_table(seen, path)) if not _is_empty(docs) else word_table(seen, path)
-    head = table.where(F.length("word") <= HEAD_CHARS).orderBy(F.desc("uses"), "word").limit(HEAD_WORDS).select("word", "ids")
+    size = F.length("word")
+    short = table.where(size <= HEAD_CHARS).orderBy(F.desc("uses"), "word").limit(HEAD_WORDS)
+    long = table.where((size > HEAD_CHARS) & (size <= LONG_CHARS) & (F.col("uses") > 1)).orderBy(F.desc("uses"), "word").limit(LONG_WORDS)
+    head = short.unionByName(long).select("word", "ids")
     tried = seen.join(F.broadcast(head), "word", "left")
     from_head = tried.where("ids IS NOT NULL OR word IS NULL").select("id", "pos", "ids")
     from_tail = tried.where("ids IS NULL AND word IS NOT NULL").drop("ids").join(table.select("word", "ids"), "word").select("id", "pos", "ids")

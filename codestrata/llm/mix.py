@@ -106,12 +106,15 @@ def mix(
     names = list(levels)
     sized = docs.where(F.col(size_column) > 0).select(F.col(id_column).alias("id"), *names, F.col(size_column).cast("long").alias("size"))
     wanted = targets.where(F.col(names[0]).isNotNull()).groupBy(names[0]).agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("cap"))
-    sized = sized.join(wanted.select(names[0]), names[0], "left_semi")
+    by_label = {r[0]: (float(r["share"]), int(r["cap"])) for r in wanted.limit(MOST_LEAVES).collect()}
+    if len(by_label) <= 1000:  # a filter, where a join would gather the rows of a label
+        sized = sized.where(F.col(names[0]).isin(*by_label))
+    else:
+        sized = sized.join(wanted.select(names[0]), names[0], "left_semi")
     totals = sized.groupBy(*names).agg(F.sum("size").alias("held"))
     found = totals.limit(MOST_LEAVES + 1).collect()
     if len(found) > MOST_LEAVES:
         raise ValueError(f"more than {MOST_LEAVES} combinations of {names}: give fewer levels")
-    by_label = {r[0]: (float(r["share"]), int(r["cap"])) for r in wanted.limit(MOST_LEAVES).collect()}
     held = {tuple(r[c] for c in names): int(r["held"]) for r in found}
     rows = []
     for labels, (budget, cap) in plan(by_label, list(held.items()), total).items():

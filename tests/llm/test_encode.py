@@ -40,6 +40,7 @@ def test_words_beyond_the_broadcast_head(spark, monkeypatch):
     import codestrata.llm.encode as module
 
     monkeypatch.setattr(module, "HEAD_WORDS", 3)
+    monkeypatch.setattr(module, "LONG_WORDS", 1)
     monkeypatch.setattr(module, "BLOCK", 7)
     rows = [(i, t) for i, t in enumerate(TEXTS)]
     got = {r.doc_id: r.ids for r in encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
