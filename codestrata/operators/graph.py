@@ -339,6 +339,33 @@ def layer_violations(edges: DataFrame, assigned: DataFrame, allowed: DataFrame)
     return crossing.join(ok, (F.col("src_layer") == F.col("al")) & (F.col("dst_layer") == F.col("bl")) & (F.col("at").isNull() | (F.col("at") == F.col("dep_type"))), "left_anti")
 
 
+def layer_diagnostics(assigned: DataFrame, layers: Sequence[str]) -> DataFrame:
+    """Per declared layer: `classes` that it has, `matched` ones (also those that an earlier layer took), and `status`:
+    empty (nothing matches), shadowed (earlier layers take all of it) or used. `layers` has the size of a policy."""
+    spark = assigned.sparkSession
+    declared = spark.createDataFrame([(i, n) for i, n in enumerate(layers)], "ordinal int, layer string")
+    own = assigned.where("layer IS NOT NULL").groupBy("layer").agg(F.count("*").alias("classes"))
+    any_ = assigned.select(F.explode("matches").alias("layer")).groupBy("layer").agg(F.count("*").alias("matched"))
+    rows = declared.join(own, "layer", "left").join(any_, "layer", "left").select("ordinal", "layer", F.coalesce("classes", F.lit(0)).alias("classes"), F.coalesce("matched", F.lit(0)).alias("matched"))
+    return rows.withColumn("status", F.when(F.col("matched") == 0, "empty").when(F.col("classes") == 0, "shadowed").otherwise("used"))
+
+
+def reachable(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """All (`src`, `dst`) such that a way of one or more edges leads from src to dst; cycles end by themselves.
+
+    The result is as large as it is: use it for hierarchies (parents and interfaces of classes), where ways are short.
+    Each round joins the pairs found last with all pairs, so ways double in length: rounds are log2 of the longest.
+    """
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    found = new = links
+    while not new.isEmpty():
+        step = new.join(found.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).distinct()
+        new = cut(step.join(found, ["src", "dst"], "left_anti").coalesce(width))
+        found = cut(found.unionByName(new).coalesce(width))
+    return found
+
+
 def edge_export(edges: DataFrame) -> DataFrame:
     """Per pair of classes the sorted distinct kinds of its edges and their number."""
     named = edges.where("src_class IS NOT NULL AND dst_class IS NOT NULL")

@@ -53,6 +53,19 @@ def unused_directives(findings: DataFrame, directives: DataFrame) -> DataFrame:
     return symbol.unionByName(file).unionByName(line)
 
 
+def bind_directives(directives: DataFrame, scopes: DataFrame) -> DataFrame:
+    """`directives` (`directive_id`, `file`, `line`) with the `subject_key` and `scope_rank` of the declaration they
+    belong to: the narrowest of `scopes` (`file`, `start`, `end`, `subject_key`, `scope_rank`) around the line, or, for
+    a comment above a declaration, the one that starts on the next line. Of several the higher rank, then the smaller
+    span, then the key decides. Unbound ones keep nulls. The join is by file, so a file only meets itself."""
+    d = directives.drop("subject_key", "scope_rank")
+    s = scopes.select(F.col("file").alias("sf"), "start", "end", "subject_key", "scope_rank")
+    inside = (F.col("line") >= F.col("start") - 1) & (F.col("line") <= F.col("end"))
+    hits = d.select("directive_id", "file", "line").join(s, (F.col("file") == F.col("sf")) & inside)
+    best = F.min_by(F.struct("subject_key", "scope_rank"), F.struct(-F.col("scope_rank"), F.col("end") - F.col("start"), F.col("subject_key"))).alias("b")
+    return d.join(hits.groupBy("directive_id").agg(best), "directive_id", "left").select(*d.columns, "b.subject_key", "b.scope_rank")
+
+
 def in_change_scope(findings: DataFrame, changed: DataFrame) -> DataFrame:
     """`findings` with `in_scope`: their file is among the `changed` paths, or their namespace is one of a changed file's
     or above one, or they are about the project (no file). `changed`: `path`, `namespace`."""

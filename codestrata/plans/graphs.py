@@ -92,6 +92,17 @@ def layer_assignment(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("project", F.coalesce("layer", F.lit("(none)")).alias("layer")).agg(F.count("*").alias("classes"), F.count_if(F.size("matches") > 1).alias("shadowed"))
 
 
+def layer_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.layer_diagnostics(_layered(spark, folder), LAYERS)
+
+
+def class_ancestors(spark: SparkSession, folder: str) -> DataFrame:
+    """Every class with each class and interface above it, by extends and implements."""
+    up = _edges(spark, folder).where("dep_type IN ('extends', 'implements') AND src_class <> dst_class")
+    pairs = up.select(F.concat_ws("::", "project", "src_class").alias("src"), F.concat_ws("::", "project", "dst_class").alias("dst"))
+    return graph.reachable(pairs)
+
+
 def layer_violations(spark: SparkSession, folder: str) -> DataFrame:
     allowed = spark.createDataFrame(ALLOWED, "src_layer string, dst_layer string, dep_type string")
     found = graph.layer_violations(_edges(spark, folder), _layered(spark, folder), allowed)
@@ -119,7 +130,7 @@ _LAYERED = """WITH cl AS (SELECT project, src_class AS class, max(src_ns) AS ns
 lm AS (SELECT *, list_filter(['Domain', 'Infrastructure', 'Console', 'Http'], lambda x: coalesce((ends_with(ns, chr(92) || x) OR contains(ns, chr(92) || x || chr(92))) AND NOT ends_with(class, 'Factory'), false)) AS m FROM cl),
 ly AS (SELECT project, class, m[1] AS layer, len(m) AS n FROM lm)
 """
-QUERIES = {f.__name__: f for f in (coupling_class, coupling_namespace, coupling_boundary, main_sequence, noc, dit, class_rank, circular_dependencies, connected_namespaces, layer_assignment, layer_violations, layer_templates, edge_export)}
+QUERIES = {f.__name__: f for f in (coupling_class, coupling_namespace, coupling_boundary, main_sequence, noc, dit, class_rank, circular_dependencies, connected_namespaces, layer_assignment, layer_diagnostics, class_ancestors, layer_violations, layer_templates, edge_export)}
 ORACLE = {
     "coupling_class": _PAIRS.format(where=f" AND (dst_class NOT IN {_B} OR dep_type = 'extends')")
     + """, o AS (SELECT project, s AS class, d AS other, 1 AS o, 0 AS i FROM pr UNION ALL SELECT project, d, s, 0, 1 FROM pr), u AS (SELECT project, class, other, max(o) AS o, max(i) AS i FROM o GROUP BY ALL)
@@ -141,6 +152,11 @@ r AS (SELECT DISTINCT project, e AS c, 0 AS depth FROM p WHERE (project, e) NOT
 t AS (SELECT * FROM r UNION ALL SELECT p.project, p.c, t.depth + 1 FROM t JOIN p ON p.project = t.project AND p.e = t.c)
 SELECT project, c AS class, depth::BIGINT AS dit FROM t WHERE depth > 0""",
     "layer_assignment": _LAYERED + "SELECT project, coalesce(layer, '(none)') AS layer, count(*) AS classes, count(*) FILTER (WHERE n > 1) AS shadowed FROM ly GROUP BY ALL",
+    "layer_diagnostics": _LAYERED.replace("m[1] AS layer, len(m) AS n", "m[1] AS layer, m")
+    + """, d AS (SELECT unnest(['Domain', 'Infrastructure', 'Console', 'Http']) AS layer, unnest([0, 1, 2, 3]) AS ordinal), c AS (SELECT ordinal, d.layer, (SELECT count(*) FROM ly WHERE ly.layer = d.layer) AS classes, (SELECT count(*) FROM ly WHERE list_contains(m, d.layer)) AS matched FROM d)
+SELECT *, CASE WHEN matched = 0 THEN 'empty' WHEN classes = 0 THEN 'shadowed' ELSE 'used' END AS status FROM c""",
+    "class_ancestors": """WITH RECURSIVE e AS (SELECT DISTINCT project || '::' || src_class AS src, project || '::' || dst_class AS dst FROM edges WHERE dep_type IN ('extends', 'implements') AND src_class <> dst_class),
+r AS (SELECT * FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT src, dst FROM r""",
     "layer_violations": _LAYERED
     + """SELECT e.project, src_class, dst_class, dep_type, a.layer AS src_layer, b.layer AS dst_layer, count(*) AS edges FROM edges e JOIN ly a ON a.project = e.project AND a.class = e.src_class JOIN ly b ON b.project = e.project AND b.class = e.dst_class
 WHERE a.layer <> b.layer AND NOT ((a.layer = 'Http' AND b.layer = 'Domain') OR (a.layer = 'Console' AND b.layer = 'Domain') OR (a.layer = 'Infrastructure' AND b.layer = 'Domain' AND dep_type IN ('implements', 'extends'))) GROUP BY ALL""",

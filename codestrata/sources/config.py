@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
-from graphlib import TopologicalSorter
+from graphlib import CycleError, TopologicalSorter
 from typing import Any
 
 from codestrata.operators.rules import RULES, Rule
@@ -70,3 +70,19 @@ def collector_order(provides: Mapping[str, set[str]], requires: Mapping[str, set
     if missing := {m for ms in requires.values() for m in ms} - set(owner):
         raise ConfigError(f"nobody provides {sorted(missing)}")
     return list(TopologicalSorter({c: {owner[m] for m in requires.get(c, ())} for c in provides}).static_order())
+
+
+def check_layers(layers: Sequence[str], allowed: Sequence[tuple[str, str, str | None]]) -> list[str]:
+    """What is wrong with a layer policy: unknown layers, a layer that is declared twice or allowed everything, cycles."""
+    found = [f"layer {n} is declared twice" for n in sorted({n for n in layers if layers.count(n) > 1})]
+    found += [f"unknown layer {n}" for n in sorted({n for a, b, _ in allowed for n in (a, b)} - set(layers) - {"*"})]
+    found += [f"{a} may use every layer" for a, b, _ in allowed if b == "*"]
+    uses: dict[str, set[str]] = {}
+    for a, b, _ in allowed:
+        if a != b and b != "*":
+            uses.setdefault(a, set()).add(b)
+    try:
+        TopologicalSorter(uses).prepare()
+    except CycleError as e:
+        found.append("cycle: " + " > ".join(e.args[1]))
+    return found
