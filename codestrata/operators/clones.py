@@ -7,9 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A window at more places than this is a common phrase and starts no clone; a fixed value of the operator, since it
-#: decides the result. It also bounds the pairs of a window.
-MOST_PLACES = 100
+from codestrata.session import cut
 
 _SPLIT = r"""\$[A-Za-z_]\w*|[A-Za-z_]\w*|[0-9][0-9a-zA-Z_.]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|\S"""
 
@@ -21,35 +19,45 @@ def normal_tokens(text: Column) -> Column:
 
 
 def windows(files: DataFrame, k: int) -> DataFrame:
-    """`files` (`file`, `tokens`) to `file`, `pos`, `hash` of each run of `k` tokens; shorter files give none."""
+    """`files` (`file`, `tokens`) to `file`, `pos`, `hash` of each run of `k` tokens; shorter files give none. `before` and
+    `after` are hashes of the tokens beside the run; at the border of a file they are its own, equal to no other."""
     long = files.where(F.size("tokens") >= k)
     at = F.sequence(F.lit(0), F.size("tokens") - k)
-    spread = long.select("file", F.posexplode(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("tokens", i + 1, F.lit(k)), "\x1f")))).alias("pos", "hash"))
-    return spread
+    hash_of = lambda i: F.xxhash64(F.array_join(F.slice("tokens", i + 1, F.lit(k)), "\x1f"))
+    beside = lambda i: F.when(F.get("tokens", i).isNotNull(), F.xxhash64(F.get("tokens", i)))
+    each = F.transform(at, lambda i: F.struct(hash_of(i).alias("hash"), beside(i - 1).alias("before"), beside(i + k).alias("after")))
+    spread = long.select("file", F.posexplode(each).alias("pos", "w")).select("file", "pos", "w.*")
+    return spread.select("file", "pos", "hash", *[F.coalesce(c, F.xxhash64(F.lit(c), "file", "pos")).alias(c) for c in ("before", "after")])
 
 
-def clone_pairs(files: DataFrame, k: int = 70, most_places: int = MOST_PLACES) -> DataFrame:
+def clone_pairs(files: DataFrame, k: int = 70) -> DataFrame:
     """Maximal equal runs of at least `k` tokens: `a_file`, `a_pos`, `b_file`, `b_pos`, `tokens`.
 
-    Windows that occur at 2 to `most_places` places are paired by hash; on each diagonal (two files, difference of
-    positions) unbroken runs of windows are one clone. Runs of one file that overlap themselves are dropped. Equal hashes
+    A run begins where equal windows have different tokens before them and ends where they have different ones after
+    them; on each diagonal (two files, difference of positions) a beginning and the end that follows it are one clone. So
+    windows are paired only at the two ends of a run, places that share the token beside them never, and no window is
+    too frequent: there are two rows for each run. Runs of one file that overlap themselves are dropped. Equal hashes
     of different windows can't be told apart here; with 64 bits they are not to be expected within one corpus.
     """
     all_windows = windows(files, k)
-    places = all_windows.groupBy("hash").agg(F.count("*").alias("places")).where(F.col("places").between(2, most_places)).select("hash")
-    cand = all_windows.join(places, "hash")
-    a = cand.select(F.col("hash").alias("h"), F.col("file").alias("a_file"), F.col("pos").alias("a_pos"))
-    b = cand.select(F.col("hash").alias("h"), F.col("file").alias("b_file"), F.col("pos").alias("b_pos"))
-    pairs = a.join(b, "h").where((F.col("a_file") < F.col("b_file")) | ((F.col("a_file") == F.col("b_file")) & (F.col("a_pos") < F.col("b_pos"))))
-    diagonal = Window.partitionBy("a_file", "b_file", "shift").orderBy("a_pos")
-    runs = pairs.withColumn("shift", F.col("b_pos") - F.col("a_pos")).withColumn("island", F.col("a_pos") - F.row_number().over(diagonal))
-    out = runs.groupBy("a_file", "b_file", "shift", "island").agg(F.min("a_pos").alias("a_pos"), F.min("b_pos").alias("b_pos"), (F.count("*") + (k - 1)).alias("tokens"))
-    return out.where((F.col("a_file") != F.col("b_file")) | (F.col("shift") >= F.col("tokens"))).select("a_file", "a_pos", "b_file", "b_pos", "tokens")
+    differ = [(F.min(c) < F.max(c)).alias(f"{c}_differ") for c in ("before", "after")]
+    borders = all_windows.groupBy("hash").agg(*differ).where("before_differ OR after_differ")
+    sides = [F.when(F.col(f"{c}_differ"), F.struct(F.lit(c == "after").alias("last"), F.col(c).alias("beside"))) for c in ("before", "after")]
+    ends = cut(all_windows.join(borders, "hash").select("hash", "file", "pos", F.explode(F.filter(F.array(*sides), lambda x: x.isNotNull())).alias("s")).select("hash", "s.*", "file", "pos"))
+    others = ends.select("hash", "last", F.col("beside").alias("other")).distinct()
+    a = ends.join(others, ["hash", "last"]).where("beside < other").select("hash", "last", "other", F.struct("file", "pos").alias("x"))
+    b = ends.select("hash", "last", F.col("beside").alias("other"), F.struct("file", "pos").alias("y"))
+    pairs = a.join(b, ["hash", "last", "other"]).select("last", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    marks = pairs.select(F.col("a.file").alias("a_file"), F.col("a.pos").alias("a_pos"), F.col("b.file").alias("b_file"), F.col("b.pos").alias("b_pos"), "last", (F.col("b.pos") - F.col("a.pos")).alias("shift"))
+    diagonal = Window.partitionBy("a_file", "b_file", "shift").orderBy("a_pos", "last")
+    runs = marks.withColumn("tokens", F.lead("a_pos").over(diagonal).cast("long") - F.col("a_pos") + k).where("NOT last")
+    return runs.where((F.col("a_file") != F.col("b_file")) | (F.col("shift") >= F.col("tokens"))).select("a_file", "a_pos", "b_file", "b_pos", "tokens")
 
 
 def clone_blocks(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """One row per duplicated content: `block` (its identity), `tokens`, `places` (sorted structs of file and pos)."""
-    sides = pairs.select(F.col("a_file").alias("file"), F.col("a_pos").alias("pos"), "tokens").unionByName(pairs.select(F.col("b_file").alias("file"), F.col("b_pos").alias("pos"), "tokens")).distinct()
+    ends = F.array(*[F.struct(F.col(f"{x}_file").alias("file"), F.col(f"{x}_pos").alias("pos")) for x in "ab"])
+    sides = pairs.select(F.explode(ends).alias("s"), "tokens").select("s.*", "tokens").distinct()
     texts = files.select("file", F.col("tokens").alias("all_tokens"))
     ident = F.sha2(F.concat_ws("\x1f", F.col("tokens").cast("string"), F.array_join(F.slice("all_tokens", F.col("pos") + 1, F.col("tokens").cast("int")), "\x1f")), 256)
     named = sides.join(texts, "file").select("file", "pos", "tokens", F.substring(ident, 1, 16).alias("block"))

@@ -144,6 +144,14 @@ def test_clones(spark):
     assert clones.greedy_cover(blocks.withColumn("group", F.lit(1))).count() == 2
 
 
+def test_clones_have_no_most_frequent_window(spark):
+    body = [f"t{i}" for i in range(12)]
+    files = spark.createDataFrame([(f"f{n:03}", [f"x{n}", *body, f"y{n}"]) for n in range(102)], "file string, tokens array<string>")
+    pairs = clones.clone_pairs(files, 10)
+    assert pairs.count() == 102 * 101 // 2 and {r[0:2] for r in pairs.select("a_pos", "tokens").distinct().collect()} == {(1, 12)}
+    assert [len(r.places) for r in clones.clone_blocks(pairs, files).collect()] == [102]
+
+
 def test_suppression_and_projection(spark):
     f = spark.createDataFrame([(1, "a#a.x", "s1", "f", 5, "error", "N"), (2, "b#b", "s2", "f", 9, "warning", "N"), (3, "c#c", "s3", "g/h", 1, "warning", "N\\M"), (4, "cfg#cfg", "p", None, None, "error", None)], "finding_id int, channel string, subject_key string, file string, line int, severity string, namespace string")
     d = spark.createDataFrame([(10, "symbol", "s1", None, None, "a"), (11, "next-line", None, "f", 8, "*"), (12, "file", None, "zzz", None, "*")], "directive_id int, kind string, subject_key string, file string, line int, selector string")
