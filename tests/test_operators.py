@@ -152,6 +152,32 @@ def test_clones_have_no_most_frequent_window(spark):
     assert [len(r.places) for r in clones.clone_blocks(pairs, files).collect()] == [102]
 
 
+def test_a_frequent_window_does_not_break_a_clone(spark):
+    body, common = [f"t{i}" for i in range(40)], [f"t{i}" for i in range(15, 25)]
+    rows = [("a", ["p", *body, "q"]), ("b", ["r", *body, "s"]), *[(f"c{n:03}", [f"x{n}", *common, f"y{n}"]) for n in range(100)]]
+    files = spark.createDataFrame(rows, "file string, tokens array<string>")
+    got = clones.clone_pairs(files, 10)
+    assert [tuple(r) for r in got.where("a_file = 'a' AND b_file = 'b'").collect()] == [("a", 1, "b", 1, 40)]
+    assert got.where("a_file IN ('a', 'b') AND b_file LIKE 'c%' AND tokens = 10").count() == 200
+
+
+def test_clones_as_by_brute_force(spark):
+    dice = random.Random(5)
+    texts = {f"f{n}": [dice.choice("ab") for _ in range(dice.randint(0, 40))] + ["a", "b"] * dice.randint(0, 8) for n in range(8)}
+    want = set()
+    for f, s in texts.items():
+        for g, t in texts.items():
+            for i in range(len(s)):
+                for j in range(len(t)):
+                    if (f, i) < (g, j) and not (i and j and s[i - 1] == t[j - 1]):
+                        n = next((x for x in range(min(len(s) - i, len(t) - j)) if s[i + x] != t[j + x]), min(len(s) - i, len(t) - j))
+                        if n >= 6 and (f != g or j - i >= n):
+                            want.add((f, i, g, j, n))
+    files = spark.createDataFrame(list(texts.items()), "file string, tokens array<string>")
+    got = [tuple(r) for r in clones.clone_pairs(files, 6).collect()]
+    assert len(got) == len(want) > 100 and set(got) == want
+
+
 def test_suppression_and_projection(spark):
     f = spark.createDataFrame([(1, "a#a.x", "s1", "f", 5, "error", "N"), (2, "b#b", "s2", "f", 9, "warning", "N"), (3, "c#c", "s3", "g/h", 1, "warning", "N\\M"), (4, "cfg#cfg", "p", None, None, "error", None)], "finding_id int, channel string, subject_key string, file string, line int, severity string, namespace string")
     d = spark.createDataFrame([(10, "symbol", "s1", None, None, "a"), (11, "next-line", None, "f", 8, "*"), (12, "file", None, "zzz", None, "*")], "directive_id int, kind string, subject_key string, file string, line int, selector string")
