@@ -147,14 +147,17 @@ def changes(files: DataFrame, uses: DataFrame, values: DataFrame, least_common:
     )
 
 
-def steady(entries: DataFrame, keys: list[str], aliases: Mapping[str, tuple[str, str]]) -> DataFrame:
+def steady(entries: DataFrame, keys: list[str], aliases: Mapping[str, tuple[str, str]], records: DataFrame | None = None) -> DataFrame:
     """One table with steady columns: `keys` (one row each) and the columns that `aliases` maps field names to.
 
     `entries`: keys, `field`, `text`, `type`. `aliases`: field name -> (column, Spark type); the casts come from it.
     Text that the type can't hold becomes null, with its field name in `not_cast`; several fields of one column that
     meet in a record give the first of them in the order of `aliases`. Fields without alias are left to `other`, a
-    map of their texts, so nothing is lost.
+    map of their texts, so no entry is lost. Keys without entries have a row only if `records` (keys) names them: null
+    columns and empty `not_cast` and `other`.
     """
+    if records is not None:
+        entries = entries.unionByName(records.select(*keys), allowMissingColumns=True)
     columns: dict[str, str] = {c: t for c, t in aliases.values()}
     aggs, failed = [], []
     for column, kind in columns.items():

@@ -52,10 +52,12 @@ ALIASES = {
 
 
 def p2_table(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record with any field, with steady columns."""
-    rows = table(spark, folder, "raw_exports").withColumn("name", F.try_variant_get(json_object(F.col("payload")), "$.name", "string"))
-    rows = rows.select("record_id", "export_id", "stream", "name", "payload")
-    return steady(fields_of(rows, "payload", "metrics"), ["record_id", "export_id", "stream", "name"], ALIASES)
+    """One row per record, with steady columns; `is_object` is false if its payload is no JSON object."""
+    doc = json_object(F.col("payload"))
+    rows = table(spark, folder, "raw_exports").select("record_id", "export_id", "stream", F.try_variant_get(doc, "$.name", "string").alias("name"), doc.isNotNull().alias("is_object"), "payload")
+    keys = ["record_id", "export_id", "stream", "name", "is_object"]
+    out = steady(fields_of(rows, "payload", "metrics"), keys, ALIASES, rows.select(*keys))
+    return out.select(*[c for c in out.columns if c != "is_object"], "is_object")
 
 
 _BASE = r"""

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from codestrata.operators.drift import changes, fields_of, json_object, lifespans, steady
+from codestrata.plans.drift import p2_table
 
 
 def _doc(spark, rows):
@@ -62,3 +63,13 @@ def test_steady_table_keeps_what_has_no_alias(spark):
     got = {r.item: r for r in steady(entries, ["item"], {"loc": ("loc", "bigint"), "LOC": ("loc", "bigint")}).collect()}
     assert got["a"].loc == 12 and got["a"].other == {"zzz": "5"} and got["a"].not_cast == []
     assert got["b"].loc is None and got["b"].not_cast == ["LOC"]
+
+
+def test_table_has_every_record(spark, tmp_path):
+    payloads = [m(loc=3), m(), m(loc=None), '{"name": "n"}', "no json", "[1]", None]
+    rows = [(n, 1, "s" if n else None, p) for n, p in enumerate(payloads)]
+    spark.createDataFrame(rows, "record_id long, export_id long, stream string, payload string").write.parquet(f"{tmp_path}/raw_exports.parquet")
+    got = {r.record_id: r for r in p2_table(spark, str(tmp_path)).collect()}
+    assert [got[n].loc for n in range(7)] == [3, *[None] * 6]
+    assert [got[n].is_object for n in range(7)] == [True] * 4 + [False] * 3
+    assert all(got[n].other == {} and got[n].not_cast == [] for n in range(7)) and got[3].name == "n"
