@@ -41,7 +41,8 @@ K = 40
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _sources(spark, folder).where("lang = 'php'")
+    """PHP files by language or by the end of the path, since either may be null."""
+    rows = _sources(spark, folder).where((F.col("lang") == "php") | F.lower("path").rlike(r"\.(php|inc|phtml)$"))
     return rows.select(F.col("doc_id").alias("file"), clones.normal_tokens(F.col("text")).alias("tokens"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import matching, text
 from codestrata.operators import clones, formula, graph, policy, rollup, rules
+from codestrata.plans import texts
 from codestrata.sinks import formats
 
 
@@ -178,6 +179,15 @@ def test_clones_as_by_brute_force(spark):
     assert len(got) == len(want) > 100 and set(got) == want
 
 
+def test_clones_of_files_without_language_or_path(spark, tmp_path):
+    text = "<?php " + " ".join(f"f{i}();" for i in range(20))
+    rows = [(1, "php", "a.php"), (2, None, "src\\B.PHP"), (3, "php", None), (4, None, "c.py"), (5, "python", None), (6, None, None)]
+    spark.createDataFrame([(*r, "source_code", text) for r in rows], "doc_id long, lang string, path string, doc_kind string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = texts.clone_pairs(spark, str(tmp_path))
+    assert {(r.a_file, r.b_file) for r in got.collect()} == {(1, 2), (1, 3), (2, 3)}
+    assert [r.places for r in texts.clone_blocks(spark, str(tmp_path)).collect()] == [3]
+
+
 def test_suppression_and_projection(spark):
     f = spark.createDataFrame([(1, "a#a.x", "s1", "f", 5, "error", "N"), (2, "b#b", "s2", "f", 9, "warning", "N"), (3, "c#c", "s3", "g/h", 1, "warning", "N\\M"), (4, "cfg#cfg", "p", None, None, "error", None)], "finding_id int, channel string, subject_key string, file string, line int, severity string, namespace string")
     d = spark.createDataFrame([(10, "symbol", "s1", None, None, "a"), (11, "next-line", None, "f", 8, "*"), (12, "file", None, "zzz", None, "*")], "directive_id int, kind string, subject_key string, file string, line int, selector string")
