@@ -1,5 +1,5 @@
-"""Grammars of the languages whose files are checked, over the tokens of lexers.py. Each language has its dialects as
-start rules of one grammar; a file is valid if any of them derives it."""
+"""Grammars of the languages whose files are checked, over the tokens of lexers.py. Dialects of a
+language are start rules of one grammar, a file being valid if any of them derives it; each language has one here."""
 
 JSON = """
 value : '{' (pair (',' pair)*)? '}' | '[' (value (',' value)*)? ']' | STRING | NUMBER | WORD ;

@@ -17,7 +17,7 @@ ENDS = {
     ".php": "php", ".inc": "php", ".phtml": "php", ".py": "python", ".json": "json", ".json.dist": "json",
     ".yaml": "yaml", ".yml": "yaml", ".xml": "xml", ".xml.dist": "xml",
 }
-#: Of each language: its lexer, its grammar, and the start rules of its dialects, which run together.
+#: Of each language: its lexer, its grammar, and the start rules of its dialects, which run together; each has one.
 LANGUAGES = {
     "php": (lexers.php_kinds, "PHP", ("file",)),
     "python": (lexers.python_kinds, "PYTHON", ("file",)),
@@ -60,7 +60,7 @@ def check_syntax(docs: DataFrame, id_column: str = "doc_id", path_column: str =
     open, not for what has been read. Other columns are not read. An empty table gives an empty table.
 
     Files are parsed where they lie, by generalised LL over a graph-structured stack, all dialects of a language at
-    once; a file is invalid if every dialect rejects it.
+    once; a file is invalid if every dialect rejects it. Each language has one dialect in LANGUAGES.
     """
     files = docs.select(F.col(id_column).alias("id"), language_of(F.col(path_column)).alias("language"), F.col(text_column).alias("text"))
     files = files.where(F.col("language").isNotNull() & F.col("text").rlike(r"(?U)\S"))
