@@ -765,7 +765,7 @@ _ENDS = frozenset("; , ( ) [ ] { } = == === != !== && || - + * / % . < > <= >= <
 def operand(p: Parser, i: int, step: int) -> tuple[str, ...]:
     """The simple operand beside an operator: a chain of names and accesses without brackets, bounded by operators."""
     out, j = [], i + step
-    while 0 <= j < len(p.toks) and p.kinds[j] not in _ENDS and len(out) < 12:
+    while 0 <= j < len(p.toks) and p.kinds[j] not in _ENDS:
         out.append(p.toks[j][1])
         j += step
     if 0 <= j < len(p.toks) and p.kinds[j] in ("(", "[", ")", "]", "*", "/", "%", ".", "+", "-") and not (step < 0 and p.kinds[j] == "(" or step > 0 and p.kinds[j] == ")"):

@@ -61,6 +61,12 @@ def test_edges_entries_and_directives():
     assert [(r[1], r[3], r[5]["selector"], r[5]["reason"]) for r in rows if r[0] == "directive"] == [("symbol", 14, "complexity.cyclomatic", "why")]
 
 
+@pytest.mark.parametrize("left, right, same", [("$a->b->c->d->e->f->g", "$a->b->c->d->e->f->g", True), ("$a->b->c->d->e->f->g", "$a->b->c->d->e->f->h", False), ("$a->b->c->d->e->f->g", "$a->b->c->d->e->f->g()", False)])
+def test_long_operands(left, right, same):
+    rows = facts(f"<?php function f($a) {{ return {left} === {right}; }}")
+    assert ("identical_subexpression" in {r[1] for r in rows if r[0] == "entry"}) == same
+
+
 def test_lines():
     v = values(facts("<?php\n\n// c\n$a = 1; // d\n/* e\n f */\n"), "file", "")
     assert (v["loc"], v["blank"], v["cloc"], v["lloc"]) == (7, 2, 3, 2)
