@@ -102,8 +102,8 @@ def class_rank(edges: DataFrame, classes: DataFrame, damping: float = 0.85, tole
     """PageRank of each project's classes: `project`, `class`, `rank`; a project's ranks sum to 1.
 
     Only edges between `classes` (`project`, `class`) count, each pair once, no self-loops; the rank of classes without
-    edges out is spread evenly. Each project starts uniformly; it ends when no project changed by `tolerance` in sum,
-    or after `rounds`. A project of one class has rank 1. A graph that is counted to have at most `local_edges` edges and
+    edges out is spread evenly. Each project starts uniformly; it ends when it changed by less than `tolerance` in
+    sum, or after `rounds`, whatever other projects do. A project of one class has rank 1. A graph that is counted to have at most `local_edges` edges and
     nodes is solved by project in memory; a larger one by rounds of joins and sums.
     """
     nodes = cut(classes.where("class IS NOT NULL").select("project", "class").distinct().withColumn("node", F.monotonically_increasing_id()))
@@ -119,17 +119,18 @@ def class_rank(edges: DataFrame, classes: DataFrame, damping: float = 0.85, tole
         return names.groupBy("project").cogroup(placed.groupBy("of")).applyInPandas(_rank_of(damping, tolerance, rounds), f"project {nodes.schema['project'].dataType.simpleString()}, class string, rank double")
     sizes = nodes.groupBy(F.col("project").alias("sp")).agg(F.count("*").alias("n"))
     base = nodes.join(sizes, F.col("project").eqNullSafe(F.col("sp"))).select("node", "project", "n").join(degrees.select("node", F.lit(True).alias("gives")), "node", "left")
-    state = cut(base.select("node", "project", "n", F.coalesce("gives", F.lit(False)).alias("gives"), F.try_divide(F.lit(1.0), F.col("n").cast("double")).alias("rank")))
+    state = cut(base.select("node", "project", "n", F.coalesce("gives", F.lit(False)).alias("gives"), F.try_divide(F.lit(1.0), F.col("n").cast("double")).alias("rank"), F.lit(True).alias("moves")))
     width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(rounds):
         given = links.join(state.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
         loose = state.where("NOT gives").groupBy("project").agg(F.sum("rank").alias("loose"))
         joined = state.join(given, "node", "left").join(loose.withColumnRenamed("project", "lp"), F.col("project").eqNullSafe(F.col("lp")), "left")
         new = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.coalesce("loose", F.lit(0.0)) / F.col("n"))
+        new = F.when(F.col("moves"), new).otherwise(F.col("rank"))
         moved = cut(joined.select("node", "project", "n", "gives", new.alias("rank"), F.abs(new - F.col("rank")).alias("by")).coalesce(width))
-        largest = moved.groupBy("project").agg(F.sum("by").alias("by")).agg(F.max("by")).first()[0]
-        state = moved.drop("by")
-        if largest is None or largest < tolerance:
+        moving = cut(moved.groupBy(F.col("project").alias("mp")).agg((F.sum("by") >= tolerance).alias("moves")))
+        state = moved.drop("by").join(moving, F.col("project").eqNullSafe(F.col("mp"))).drop("mp")
+        if moving.where("moves").isEmpty():
             break
     return nodes.select("node", "class").join(state.select("node", "project", "rank"), "node").select("project", "class", "rank")
 

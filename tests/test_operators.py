@@ -188,6 +188,15 @@ def test_clones_of_files_without_language_or_path(spark, tmp_path):
     assert [r.places for r in texts.clone_blocks(spark, str(tmp_path)).collect()] == [3]
 
 
+def test_class_rank_stops_by_project_either_way(spark):
+    rows = [("quick", "a", "b"), ("quick", "b", "a"), (None, "a", "b"), *[("slow", f"n{i}", f"n{i + 1}") for i in range(6)], ("slow", "n6", "n0"), ("slow", "n3", "n0"), ("mid", "x", "y"), ("mid", "y", "x"), ("mid", "z", "x")]
+    edges = spark.createDataFrame(rows, "project string, src_class string, dst_class string")
+    classes = edges.selectExpr("project", "src_class AS class").union(edges.selectExpr("project", "dst_class")).distinct()
+    ends = [{(r["project"], r["class"]): r["rank"] for r in graph.class_rank(edges, classes, tolerance=0.2, rounds=8, local_edges=n).collect()} for n in (100, 0)]
+    assert len(ends[0]) == 14 and ends[0].keys() == ends[1].keys()
+    assert all(abs(v - ends[1][k]) < 1e-12 for k, v in ends[0].items())
+
+
 def test_suppression_and_projection(spark):
     f = spark.createDataFrame([(1, "a#a.x", "s1", "f", 5, "error", "N"), (2, "b#b", "s2", "f", 9, "warning", "N"), (3, "c#c", "s3", "g/h", 1, "warning", "N\\M"), (4, "cfg#cfg", "p", None, None, "error", None)], "finding_id int, channel string, subject_key string, file string, line int, severity string, namespace string")
     d = spark.createDataFrame([(10, "symbol", "s1", None, None, "a"), (11, "next-line", None, "f", 8, "*"), (12, "file", None, "zzz", None, "*")], "directive_id int, kind string, subject_key string, file string, line int, selector string")
