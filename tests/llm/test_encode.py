@@ -22,12 +22,30 @@ def reference(text):
 
 def test_ids_equal_the_library_s_and_decode_to_the_text(spark):
     rows = [(i, t, "clash", 0, "clash") for i, t in enumerate(TEXTS)]
-    encoded = encode(spark.createDataFrame(rows + rows[3:6], SCHEMA)).cache()
+    encoded = encode(spark.createDataFrame(rows, SCHEMA)).cache()
     got = {r.doc_id: r.ids for r in encoded.collect()}
     assert encoded.count() == len(TEXTS) and got == {i: reference(t) for i, t in enumerate(TEXTS)}
     assert {r.doc_id: r.text for r in decode(encoded).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+def test_repeated_and_null_ids_are_rows_of_their_own(spark):
+    rows = [(1, "ab cd"), (1, "ab cd"), (1, "other text entirely"), (None, "null id"), (None, None), (2, "")]
+    got = encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.ids) for r in got), key=key) == sorted(((i, reference(t)) for i, t in rows), key=key)
+
+
+def test_rare_words_reuse_the_shuffle_of_the_texts(spark, tmp_path, monkeypatch):
+    import codestrata.llm.encode as module
+
+    monkeypatch.setattr(module, "HEAD_WORDS", 3)
+    spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    out = encode(spark.read.parquet(str(tmp_path / "d")))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and "ReusedExchange" in plan
+
+
 def test_random_code_points(spark):
     rng = random.Random(4)
     pick = lambda: chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0xD7FF), rng.randrange(0xE000, 0xFFFE), rng.randrange(0x10000, 0x1FFFF)]))
@@ -41,7 +59,6 @@ def test_words_beyond_the_broadcast_head(spark, monkeypatch):
 
     monkeypatch.setattr(module, "HEAD_WORDS", 3)
     monkeypatch.setattr(module, "LONG_WORDS", 1)
-    monkeypatch.setattr(module, "BLOCK", 7)
     rows = [(i, t) for i, t in enumerate(TEXTS)]
     got = {r.doc_id: r.ids for r in encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: reference(t) for i, t in rows}
