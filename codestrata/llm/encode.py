@@ -51,7 +51,8 @@ def word_table(split: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield batch.assign(ids=[vocabulary.encode_word(w, path) for w in batch["word"]])
 
-    distinct = split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
+    # an inner explode would have Spark add a filter on the size of `words`, and so split every text twice
+    distinct = split.select(F.explode_outer("words").alias("word")).where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("uses"))
     return distinct.mapInPandas(encoded, "word string, uses bigint, ids array<int>")
 
 
