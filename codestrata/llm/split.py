@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 from math import sqrt
@@ -19,6 +18,8 @@ from codestrata.llm import vocabulary
 BLOCK_UNITS = 6
 #: A cut is looked for in the last part of what fits, from this share of it on.
 LEAST_FILL = 0.5
+#: Limits of at most so many kinds are sent to every task; more are joined, and a crowded kind is split at run time.
+MOST_KINDS = 10_000
 
 _BREAK = re.compile(r"\n[ \t\r]*\n\s*|\n|(?<=[.!?;])\s+|(?<=[。！？])")
 _WORD = re.compile(r"\w+")
@@ -40,27 +41,41 @@ def cohesion_depths(units: list[str], k: int = BLOCK_UNITS) -> list[float]:
     Similarity of a gap: cosine of the word counts of the `k` units before and after it. Depth: how far the similarity
     climbs on the way to the nearest peak on the left plus the same on the right.
     """
-    counts = [Counter(w.lower() for w in _WORD.findall(u)) for u in units]
+    numbers: dict[str, int] = {}
+    words = [[numbers.setdefault(w.lower(), len(numbers)) for w in _WORD.findall(u)] for u in units]
     n = len(units)
     if n < 2:
         return []
-    left, right = Counter(counts[0]), Counter()
-    for c in counts[1 : 1 + k]:
-        right.update(c)
+    left, right = [0] * len(numbers), [0] * len(numbers)
+    dot = left_norm = right_norm = 0  # kept up word by word, so a gap costs no more than the words that it passes
+    for w in words[0]:
+        left_norm += 2 * left[w] + 1
+        left[w] += 1
+    for unit in words[1 : 1 + k]:
+        for w in unit:
+            dot += left[w]
+            right_norm += 2 * right[w] + 1
+            right[w] += 1
     sims = []
     for gap in range(n - 1):
-        dot = sum(v * right[w] for w, v in left.items() if w in right)
-        norm = sqrt(sum(v * v for v in left.values()) * sum(v * v for v in right.values()))
+        norm = sqrt(left_norm * right_norm)
         sims.append(dot / norm if norm else 0.0)
-        if gap + 1 < n - 1:
-            left.update(counts[gap + 1])
-            right.subtract(counts[gap + 1])
-            if gap + 1 - k >= 0:
-                left.subtract(counts[gap + 1 - k])
-                left = +left
-            if gap + 1 + k < n:
-                right.update(counts[gap + 1 + k])
-            right = +right
+        for w in words[gap + 1]:  # from the right block to the left one
+            right[w] -= 1
+            right_norm -= 2 * right[w] + 1
+            dot += right[w] - left[w]
+            left_norm += 2 * left[w] + 1
+            left[w] += 1
+        if gap + 1 - k >= 0:
+            for w in words[gap + 1 - k]:
+                left[w] -= 1
+                left_norm -= 2 * left[w] + 1
+                dot -= right[w]
+        if gap + 1 + k < n:
+            for w in words[gap + 1 + k]:
+                dot += left[w]
+                right_norm += 2 * right[w] + 1
+                right[w] += 1
     peak_left, peak_right = list(sims), list(sims)
     for i in range(1, len(sims)):  # the peak to which one climbs without going down again
         if sims[i - 1] >= sims[i]:
@@ -96,7 +111,7 @@ class Splitter:
         chars = list(accumulate((len(w) for w, _ in words), initial=0))
         tokens = list(accumulate((len(i) for _, i in words), initial=0))
         total = tokens[-1]
-        overlap = max(0, min(overlap, limit // 2))  # else a piece could bring nothing new
+        overlap = max(0, overlap)
         breaks = _breaks(text)
         edges = [0, *(b for b, _ in breaks), len(text)]
         depths = cohesion_depths([text[a:b] for a, b in zip(edges, edges[1:])])
@@ -184,8 +199,10 @@ def split_oversized(
     text, never above the limit unless the limit is below one character's tokens), `cut` (what ends the piece:
     paragraph, line, sentence, word, word part, character, or end), `max_tokens` and, if asked for, `text`. Pieces
     cover the text; each starts `overlap_tokens` before the one before it ends, or at the character boundary before
-    that; an overlap above half of the limit counts as half. Null texts, null kinds and kinds without a limit give no rows, nor
-    do null limits; a null overlap counts as 0. Rows that are repeated are split repeatedly. Other columns are not read.
+    that; `overlap` is what it really shares (less only where a character or a piece cut inside a word leaves no room for
+    anything new). An overlap that isn't below its limit is an error. Null texts, null kinds and kinds without a limit give
+    no rows, nor do null limits; a null overlap counts as 0, and so does a negative one. Rows that are repeated are split
+    repeatedly. Other columns are not read.
 
     Method: words of sliding blocks before and after each line or sentence are compared; valleys of the similarity are
     topic boundaries; each piece ends at the deepest valley in the second half of what fits. Where there is no natural
@@ -193,11 +210,15 @@ def split_oversized(
     """
     path = path or vocabulary.default_path()
     bounds = limits.select(F.col(kind_column).alias("kind"), F.col("max_tokens").cast("int").alias("max_tokens"), F.coalesce("overlap_tokens", F.lit(0)).cast("int").alias("overlap")).where("max_tokens > 0")
+    wrong = F.format_string("overlap of %d tokens, limit of %d", "overlap", "max_tokens")
+    bounds = bounds.withColumn("overlap", F.when(F.col("overlap") < F.col("max_tokens"), F.col("overlap")).otherwise(F.raise_error(wrong)))
+    if limits.limit(MOST_KINDS + 1).count() <= MOST_KINDS:
+        bounds = F.broadcast(bounds)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(kind_column).alias("kind"))
     # a token has at least one byte, so texts of at most max_tokens bytes need not be encoded
     large = rows.join(bounds, "kind").where(F.octet_length("text") > F.col("max_tokens")).select("id", "text", "max_tokens", "overlap")
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"id {kind}, piece int, start_char int, end_char int, start_token int, end_token int, n_tokens int, cut string, max_tokens int" + ", text string" * with_text
+    schema = f"id {kind}, piece int, start_char int, end_char int, start_token int, end_token int, n_tokens int, overlap int, cut string, max_tokens int" + ", text string" * with_text
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         splitter = Splitter(path)
@@ -206,8 +227,10 @@ def split_oversized(
             out = []
             for id_, text, limit, overlap in batch.itertuples(index=False):
                 if len(vocabulary.encode(text, path)) > limit:
+                    before = 0
                     for at, (a, b, s, e, n, cut) in enumerate(splitter.pieces(text, limit, overlap)):
-                        out.append((id_, at, a, b, s, e, n, cut, limit, *([text[a:b]] if with_text else [])))
+                        out.append((id_, at, a, b, s, e, n, before - s, cut, limit, *([text[a:b]] if with_text else [])))
+                        before = e
             yield pd.DataFrame(out, columns=names)
 
     return large.mapInPandas(split, schema).withColumnRenamed("id", id_column)

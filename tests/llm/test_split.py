@@ -19,8 +19,8 @@ def test_pieces(limit, overlap):
             assert n == len(vocabulary.encode(text[a:b], PATH)) <= limit
         for x, y in zip(got, got[1:]):
             assert x[0] < y[0] <= x[1] < y[1]  # no gap, and something new each time
-            most = min(overlap, limit // 2)
-            assert x[3] - y[2] >= most - 1 or y[2] == 0
+            shared = x[3] - y[2]
+            assert shared >= overlap - 1 or y[2] == 0 or limit < 40  # little room: a piece cut inside a word may share less
         if text is PROSE and limit > 30:
             assert all(p[5] in ("paragraph", "sentence", "line", "end") for p in got)
 
@@ -31,6 +31,36 @@ def test_valleys_lie_between_topics():
     assert max(range(5), key=depths.__getitem__) == 2 and cohesion_depths(["one"]) == []
 
 
+def test_cohesion_equals_brute_force():
+    import random
+    from collections import Counter
+    from math import sqrt
+
+    rng = random.Random(3)
+    units = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(6))) for _ in range(60)]
+    for k in (1, 3, 6):
+        sims = []
+        for g in range(59):
+            a, b = (Counter(" ".join(u).split()) for u in (units[max(0, g + 1 - k) : g + 1], units[g + 1 : g + 1 + k]))
+            norm = sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+            sims.append(sum(a[w] * b[w] for w in a) / norm if norm else 0.0)
+
+        def peak(i, step):
+            while 0 <= i + step < 59 and sims[i + step] >= sims[i]:
+                i += step
+            return sims[i]
+
+        assert cohesion_depths(units, k) == pytest.approx([peak(i, -1) + peak(i, 1) - 2 * sims[i] for i in range(59)])
+
+
+def test_an_overlap_must_be_below_its_limit(spark):
+    docs = spark.createDataFrame([(1, PROSE, "prose")], "doc_id long, text string, doc_kind string")
+    with pytest.raises(Exception, match="overlap of 60 tokens, limit of 60"):
+        split_oversized(docs, spark.createDataFrame([("prose", 60, 60)], "doc_kind string, max_tokens int, overlap_tokens int")).collect()
+    got = split_oversized(docs, spark.createDataFrame([("prose", 60, 40)], "doc_kind string, max_tokens int, overlap_tokens int")).orderBy("piece").collect()
+    assert got[0].overlap == 0 and all(r.overlap == before.end_token - r.start_token and r.overlap >= 40 for before, r in zip(got, got[1:]))
+
+
 def test_table(spark):
     rows = [(1, PROSE, "prose", "c"), (2, "short", "prose", "c"), (3, None, "prose", "c"), (4, PROSE, None, "c"), (5, PROSE, "unknown", "c"), (6, "", "prose", "c"), (1, PROSE, "prose", "c"), (7, PROSE, "none", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, doc_kind string, piece string")
