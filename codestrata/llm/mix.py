@@ -2,89 +2,74 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codestrata.session import cut
+
 #: A leaf's records are ordered within so many buckets of their seeded hash, so that no task sorts a whole leaf.
 ORDER_BUCKETS = 4096
-#: The tree of weights is planned on the driver; it holds combinations of labels, never records.
-MOST_LEAVES = 1_000_000
-
-
-@dataclass
-class Node:
-    """A node of the tree of weights: its share among its siblings and what it can give with all repetitions."""
-
-    weight: float = 0.0
-    capacity: float = 0.0
-    budget: float = 0.0
-    children: dict[str, Node] = field(default_factory=dict)
-
-
-def fill(nodes: Sequence[Node], budget: float) -> None:
-    """Share `budget` among siblings by weight; what one can't give goes to the others by their weights, as long as
-    any of them can. Never gives a node more than its capacity, so that a family's shortage stays in the family until
-    the whole family is exhausted."""
-    open_nodes = [n for n in nodes if n.weight > 0 and n.capacity > 0]
-    for n in nodes:
-        n.budget = 0.0
-    left = budget
-    while open_nodes and left > 1e-9:
-        whole = sum(n.weight for n in open_nodes)
-        full = [n for n in open_nodes if left * n.weight / whole >= n.capacity]
-        if not full:
-            for n in open_nodes:
-                n.budget = left * n.weight / whole
-            return
-        for n in full:
-            n.budget = n.capacity
-        left -= sum(n.capacity for n in full)
-        open_nodes = [n for n in open_nodes if n.budget == 0.0]
-
-
-def spread(node: Node) -> None:
-    """Share a node's budget down the tree."""
-    fill(list(node.children.values()), node.budget)
-    for child in node.children.values():
-        spread(child)
-
-
-def plan(targets: Mapping[str, tuple[float, int]], leaves: Sequence[tuple[tuple, int]], total: float | None) -> dict[tuple, tuple[float, int]]:
-    """Tokens that each leaf gives, and its cap of repetitions.
-
-    `targets`: label of the first level -> (share, cap). `leaves`: (labels from the first level down, tokens held).
-    Below the first level weights are in proportion to the tokens held. Without `total` it is the largest at which
-    every target that holds anything can have its share.
+#: Plans of at most so many leaves are sent to every task; larger ones are joined, crowded leaves being split at run time.
+SENT_LEAVES = 100_000
+#: Records are filtered by at most so many labels; by more they are joined.
+FILTERED_LABELS = 1000
+
+
+def _same(a: Sequence[str], b: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(a, b)], F.lit(True))
+
+
+def _fill(nodes: DataFrame, family: Sequence[str]) -> DataFrame:
+    """`nodes` with `budget`: their family's (`given`), shared by `weight`; what one can't give beyond its `capacity`
+    goes to its siblings by their weights, as long as any of them can. No node gets more than its capacity.
+
+    In order of capacity per weight, if a node were the first that isn't filled, the level reached there would be
+    (given - capacities before) / weights from there on; the true level is the highest of these.
+    """
+    order = Window.partitionBy(*family).orderBy(F.col("capacity") / F.col("weight"))
+    full = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    whole = Window.partitionBy(*family)
+    level = nodes.withColumn("level", (F.col("given") - full) / rest).withColumn("level", F.max("level").over(whole))
+    return level.withColumn("budget", F.greatest(F.lit(0.0), F.least("capacity", F.col("level") * F.col("weight")))).drop("level")
+
+
+def plan(held: DataFrame, targets: DataFrame, levels: Sequence[str], total: float | None = None) -> DataFrame:
+    """The leaves of the tree of weights: `levels`, `held`, `share` and `cap` of their target, `capacity` (all that they
+    can give), `weight`, and `budget`, the tokens that they are to give.
+
+    `held`: `levels`, from the root's children to the leaves, and `held`, the tokens of each combination. `targets`: the
+    last level's column, `target_share`, `max_repeats`; null shares and caps count as 0, a label that is repeated keeps
+    its largest. A target is shared by its leaves in proportion to what they hold; a node weighs what its leaves do.
+    `total` is what the mix should hold; without it all tokens that any leaf with a weight and a capacity holds. Budgets
+    run down from the root, so a leaf's shortage goes to its siblings, and only what a whole family can't give to the
+    family's siblings. If the whole tree can't give `total`, each leaf gives its capacity.
     """
-    root = Node(budget=0.0)
-    for label, (share, _) in targets.items():
-        root.children[label] = Node(weight=max(0.0, share))
-    for labels, tokens in leaves:
-        if labels[0] not in targets:
-            continue
-        cap, node = targets[labels[0]][1], root
-        for depth, label in enumerate(labels):
-            node = node.children.setdefault(label, Node())
-            node.capacity += tokens * cap
-            if depth:
-                node.weight += tokens
-    held = [n for n in root.children.values() if n.weight > 0 and n.capacity > 0]
-    if total is None:
-        total = min((n.capacity / n.weight for n in held), default=0.0) * sum(n.weight for n in held)
-    root.budget = total
-    spread(root)
-    out = {}
-    for labels, _ in leaves:
-        if labels[0] in targets:
-            node = root
-            for label in labels:
-                node = node.children[label]
-            out[labels] = (node.budget, targets[labels[0]][1])
-    return out
+    names, label = list(levels), levels[-1]
+    wanted = targets.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("wanted")).agg(
+        F.max(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("cap")
+    )
+    leaves = held.join(wanted, F.col(label) == F.col("wanted")).where("share > 0 AND cap > 0 AND held > 0").drop("wanted")
+    of_label = Window.partitionBy(label)
+    leaves = leaves.withColumn("capacity", F.col("held").cast("double") * F.col("cap")).withColumn("weight", F.col("share") * F.col("held") / F.sum("held").over(of_label))
+    leaves = cut(leaves)
+    sums = [F.sum("capacity").alias("capacity"), F.sum("weight").alias("weight")]
+    root = leaves.agg(F.least(F.lit(total) if total is not None else F.sum("held").cast("double"), F.sum("capacity")).alias("given"))
+    budgets = None
+    for depth in range(1, len(names) + 1):
+        family, mine = names[: depth - 1], names[:depth]
+        nodes = leaves if depth == len(names) else leaves.groupBy(*mine).agg(*sums)
+        if budgets is None:
+            nodes = nodes.join(root)  # one row
+        else:
+            up = budgets.select(*[F.col(c).alias(f"up_{c}") for c in family], F.col("budget").alias("given"))
+            nodes = nodes.join(up, _same(family, [f"up_{c}" for c in family])).drop(*[f"up_{c}" for c in family])
+        budgets = _fill(nodes, family)
+    return budgets.drop("given")
 
 
 def mix(
@@ -92,50 +77,38 @@ def mix(
 ) -> DataFrame:
     """The records of a mix, one row per use: the id, `levels`, `epoch` (1 is a record's first use) and the size.
 
-    `targets`: the first level's column, `target_share`, `max_repeats` (how often a record may be used at most); one row
-    a label, null shares and caps count as 0, a label that is repeated keeps its largest share. Records of labels
-    without a target, and of size null or below 1, take no part; a target without records gets nothing and its share
-    goes to the others. Null labels at lower levels are labels. An empty table gives an empty mix. Ids should be unique;
-    repeated rows are records of their own.
+    `targets`: the last level's column, `target_share`, `max_repeats` (how often a record may be used at most). Records of
+    labels without a target, and of size null or below 1, take no part; a target without records gets nothing and its
+    share goes to the others. Null labels at upper levels are labels. An empty table gives an empty mix. Ids should be
+    unique; repeated rows are records of their own.
 
-    Method: shares run down the tree of levels; a leaf that can't give its part even with all repetitions leaves the
-    shortage to its siblings, and only what the whole family can't give goes to the family's siblings. A leaf gives
-    whole epochs and then the prefix, by tokens, of one more, in an order seeded by `seed` and the epoch. The last
-    record of a prefix is the one whose middle is still within it, so each leaf is off by half a record at most.
+    Method: `plan` runs shares down the tree of levels. A leaf gives whole epochs and then the prefix, by tokens, of one
+    more, in an order seeded by `seed` and the epoch. The last record of a prefix is the one whose middle is still within
+    it, so each leaf is off by half a record at most.
     """
-    names = list(levels)
+    names, label = list(levels), levels[-1]
     sized = docs.where(F.col(size_column) > 0).select(F.col(id_column).alias("id"), *names, F.col(size_column).cast("long").alias("size"))
-    wanted = targets.where(F.col(names[0]).isNotNull()).groupBy(names[0]).agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("cap"))
-    by_label = {r[0]: (float(r["share"]), int(r["cap"])) for r in wanted.limit(MOST_LEAVES).collect()}
-    if len(by_label) <= 1000:  # a filter, where a join would gather the rows of a label
-        sized = sized.where(F.col(names[0]).isin(*by_label))
-    else:
-        sized = sized.join(wanted.select(names[0]), names[0], "left_semi")
-    totals = sized.groupBy(*names).agg(F.sum("size").alias("held"))
-    found = totals.limit(MOST_LEAVES + 1).collect()
-    if len(found) > MOST_LEAVES:
-        raise ValueError(f"more than {MOST_LEAVES} combinations of {names}: give fewer levels")
-    held = {tuple(r[c] for c in names): int(r["held"]) for r in found}
-    rows = []
-    for labels, (budget, cap) in plan(by_label, list(held.items()), total).items():
-        epochs = min(cap, int(budget // held[labels] + 1e-9))
-        rest = min(budget - epochs * held[labels], held[labels]) if epochs < cap else 0.0
-        rows.append((*labels, epochs, float(max(0.0, rest))))
-    spark = docs.sparkSession
-    schema = ", ".join(f"l{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)) + ", epochs int, rest double"
-    plans = spark.createDataFrame(rows, schema)
-    same = [F.col(c).eqNullSafe(F.col(f"l{i}")) for i, c in enumerate(names)]
-    records = sized.join(plans, same, "inner")
+    labels = targets.where(F.col(label).isNotNull()).select(label).distinct()
+    few = [r[0] for r in labels.limit(FILTERED_LABELS + 1).collect()]
+    sized = sized.where(F.col(label).isin(*few)) if len(few) <= FILTERED_LABELS else sized.join(labels, label, "left_semi")
+    leaves = cut(plan(sized.groupBy(*names).agg(F.sum("size").alias("held")), targets, names, total))
+    epochs = F.least(F.col("cap").cast("int"), F.floor(F.col("budget") / F.col("held") + 1e-9).cast("int"))
+    leaf = [f"l{i}" for i in range(len(names))]
+    plans = leaves.select(*[F.col(c).alias(x) for c, x in zip(names, leaf)], epochs.alias("epochs"), "cap", "held", "budget")
+    rest = F.when(F.col("epochs") < F.col("cap"), F.greatest(F.lit(0.0), F.least(F.col("held").cast("double"), F.col("budget") - F.col("epochs") * F.col("held")))).otherwise(0.0)
+    plans = plans.select(*leaf, "epochs", rest.alias("rest"))
+    if leaves.limit(SENT_LEAVES + 1).count() <= SENT_LEAVES:
+        plans = F.broadcast(plans)
+    records = sized.join(plans, _same(names, leaf), "inner")
     order = F.xxhash64(F.lit(seed), F.col("epochs"), F.col("id"))
     records = records.withColumn("order", order).withColumn("bucket", F.pmod("order", F.lit(ORDER_BUCKETS)))
     whole = records.where("epochs > 0").select("id", *names, F.explode(F.expr("sequence(1, epochs)")).alias("epoch"), "size")
 
     open_records = records.where("rest > 0")
-    leaf = [f"l{i}" for i in range(len(names))]
     held_before = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = open_records.groupBy(*leaf, "bucket").agg(F.sum("size").alias("in_bucket"))
     buckets = buckets.select(*[F.col(c).alias(f"b{c}") for c in leaf], F.col("bucket").alias("b"), F.coalesce(F.sum("in_bucket").over(held_before), F.lit(0)).alias("before"), "in_bucket")
-    placed = open_records.join(buckets, [*[F.col(c).eqNullSafe(F.col(f"b{c}")) for c in leaf], F.col("bucket") == F.col("b")]).where(F.col("before") < F.col("rest"))
+    placed = open_records.join(buckets, _same(leaf, [f"b{c}" for c in leaf]) & (F.col("bucket") == F.col("b"))).where(F.col("before") < F.col("rest"))
     inside = placed.where(F.col("before") + F.col("in_bucket") <= F.col("rest"))
     running = Window.partitionBy(*leaf, "bucket").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, 0)
     edge = placed.where(F.col("before") + F.col("in_bucket") > F.col("rest")).withColumn("upto", F.col("before") + F.sum("size").over(running))
@@ -146,12 +119,21 @@ def mix(
 
 
 def shares(mixed: DataFrame, docs: DataFrame, targets: DataFrame, label: str, size_column: str = "tokens") -> DataFrame:
-    """One row per target: `target_share`, `max_repeats`, `held_tokens`, `used_tokens`, `reached_share`."""
-    held = docs.groupBy(label).agg(F.sum(size_column).alias("held_tokens"))
+    """One row per target: `target_share`, `max_repeats`, `held_tokens`, `used_tokens`, `reached_share`, and `outcome`:
+    absent (nothing is held), exhausted (all of it is used as often as it may be), above or below (the reached share, by
+    more than a thousandth: it took over shortages of others), or met."""
+    held = docs.where(F.col(size_column) > 0).groupBy(label).agg(F.sum(size_column).alias("held_tokens"))
     used = mixed.groupBy(label).agg(F.sum(size_column).alias("used_tokens"))
     whole = mixed.agg(F.sum(size_column).alias("whole"))
     rows = targets.join(held, label, "left").join(used, label, "left").join(whole)  # whole is one row
-    return rows.select(
-        label, "target_share", "max_repeats", F.coalesce("held_tokens", F.lit(0)).alias("held_tokens"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"),
+    zero = F.lit(0).cast("long")
+    rows = rows.select(
+        label, "target_share", "max_repeats", F.coalesce("held_tokens", zero).alias("held_tokens"), F.coalesce("used_tokens", zero).alias("used_tokens"),
         F.coalesce(F.try_divide("used_tokens", "whole"), F.lit(0.0)).alias("reached_share"),
     )
+    off = F.col("reached_share") - F.col("target_share")
+    return rows.withColumn(
+        "outcome",
+        F.when(F.col("held_tokens") == 0, "absent").when(F.col("used_tokens") >= F.col("held_tokens") * F.col("max_repeats"), "exhausted")
+        .when(off > 0.001, "above").when(off < -0.001, "below").otherwise("met"),
+    )

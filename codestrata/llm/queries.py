@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm.encode import decode, encode, token_counts
-from codestrata.llm.mix import mix, shares
+from codestrata.llm.mix import mix, plan, shares
 from codestrata.llm.split import split_oversized
 from codestrata.llm.syntax import check_syntax, rates
 from codestrata.llm.topn import top_n
@@ -64,7 +64,7 @@ def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return same.groupBy("lang").agg(F.count("*").alias("documents"), F.count_if("same").alias("same"))
 
 
-MIX_LEVELS = ("source", "doc_kind", "lang")  # targets are given for sources; kinds and languages keep their proportion
+MIX_LEVELS = ("doc_kind", "lang", "source")  # domain, language, source; targets are given for sources
 MIX_SEED = 20250101
 
 
@@ -82,6 +82,13 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(cut(mix(docs, targets, MIX_LEVELS, seed=MIX_SEED)), docs, targets, "source")
 
 
+def p7_budgets(spark: SparkSession, folder: str) -> DataFrame:
+    """The tree of weights with characters for tokens: what each leaf holds, can give, and is to give."""
+    held = table(spark, folder, "documents").where("n_chars > 0").groupBy(*MIX_LEVELS).agg(F.sum("n_chars").alias("held"))
+    leaves = plan(held, table(spark, folder, "mix_targets"), MIX_LEVELS)
+    return leaves.select(*MIX_LEVELS, "held", "capacity", F.round("budget", 3).alias("budget"))
+
+
 def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "documents"), table(spark, folder, "split_limits"))
 
@@ -102,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_roundtrip": p6_roundtrip,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_budgets": p7_budgets,
     "p8_found": p8_found,
     "p8_pieces": p8_pieces,
 }
