@@ -11,24 +11,27 @@ from __future__ import annotations
 
 import re
 
-_TOKEN = re.compile(r"\s*(?:('(?:[^']|\\')+')|([A-Za-z_]+)|([:;|()*+?]))")
-MATCH, CALL, BRANCH, JUMP, RETURN = range(5)
+_TOKEN = re.compile(r"\s*(?:('(?:[^']|\\')+')|([A-Za-z_]+)|([:;|()*+?])|(@[\w.]+))")
+MATCH, CALL, BRANCH, JUMP, RETURN, GUARD = range(6)
 END = "<end>"
 
 
 class _Node:
-    """A rule called at a place: its callers as (slot to return to, caller's node), and where it ended last."""
+    """A rule called at a place by ways of the same dialects: its callers as (slot to return to, caller's node), where it
+    ended last, and for which dialects."""
 
-    __slots__ = ("edges", "end")
+    __slots__ = ("edges", "end", "ended")
 
     def __init__(self, edges: list) -> None:
-        self.edges, self.end = edges, -1
+        self.edges, self.end, self.ended = edges, -1, 0
 
 
 class Grammar:
-    """`rule : alternatives ;` ...; terminals are 'quoted' or UPPER CASE, rules lower case; ( ) * + ? as usual."""
+    """`rule : alternatives ;` ...; terminals are 'quoted' or UPPER CASE, rules lower case; ( ) * + ? as usual. `@d` lets
+    only dialect d and those after it go on."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, dialects: tuple[str, ...] = ("",)) -> None:
+        self.dialects = dialects
         self.kinds: dict[str, int] = {END: 0}
         self.op: list[int] = []
         self.arg: list = []
@@ -115,6 +118,9 @@ class Grammar:
                 self._emit(inner)
                 self._add(JUMP, branch)
                 self.arg[branch].append(len(self.op))
+        elif item[0] == "@":
+            first = self.dialects.index(item[1:])
+            self._add(GUARD, sum(1 << d for d in range(first, len(self.dialects))))
         elif item[0] == "'":
             self._add(MATCH, self.kinds.setdefault(item[1:-1].replace("\\'", "'"), len(self.kinds)))
         elif item.isupper():
@@ -151,6 +157,8 @@ class Grammar:
                 new, ne = set().union(*(first[t] for t in arg)), any(empty[t] for t in arg)
             elif op == JUMP:
                 new, ne = first[arg], empty[arg]
+            elif op == GUARD:
+                new, ne = first[s + 1], empty[s + 1]
             else:
                 new, ne = set(), True
             if new <= f and ne == e:
@@ -188,12 +196,12 @@ class Grammar:
         get = self.kinds.get
         return [get(k, -1) for k in kinds] + [0]
 
-    def accepts(self, kinds: list[str], starts: tuple[str, ...]) -> set[str]:
-        """Those of the start rules that derive the whole sequence of token kinds."""
-        return self.parse(kinds, starts)[0]
+    def accepts(self, kinds: list[str], start: str) -> tuple[str, ...]:
+        """The dialects in which rule `start` derives the whole sequence of token kinds."""
+        return self.parse(kinds, start)[0]
 
-    def parse(self, kinds: list[str], starts: tuple[str, ...]) -> tuple[set[str], int]:
-        """Those of the start rules, run together over one stack, that derive the whole sequence of token kinds, and
+    def parse(self, kinds: list[str], start_rule: str) -> tuple[tuple[str, ...], int]:
+        """The dialects, run together over one stack, in which `start_rule` derives the whole sequence of token kinds, and
         the number of tokens of the longest beginning that any of them could still go on from.
 
         All ways move on token by token together, so that only the calls made at the present token are looked up;
@@ -202,26 +210,23 @@ class Grammar:
         toks = self.codes(kinds)
         last = len(toks) - 1
         op, arg, start, may = self.op, self.arg, self.start, self.may
-        called_here: dict[int, _Node] = {}  # by rule
-        seen: set[tuple[int, _Node]] = set()  # ways that were set aside at this token
-        roots = {}
-        now: list[tuple[int, _Node]] = []
-        for name in starts:
-            r = self.rule_of[name]
-            roots[name] = called_here[r] = _Node([])
-            now.append((start[r], roots[name]))
-        following: list[tuple[int, _Node]] = []
+        called_here: dict[tuple[int, int], _Node] = {}  # by rule and dialects
+        seen: set[tuple[int, _Node, int]] = set()  # ways that were set aside at this token
+        every = (1 << len(self.dialects)) - 1
+        root = called_here[self.rule_of[start_rule], every] = _Node([])
+        now: list[tuple[int, _Node, int]] = [(start[self.rule_of[start_rule]], root, every)]
+        following: list[tuple[int, _Node, int]] = []
         i, tok = 0, toks[0]
         while True:
             if now:
-                slot, node = now.pop()
+                slot, node, mask = now.pop()
             elif following:
                 i += 1
                 tok = toks[i]
                 now = list(dict.fromkeys(following)) if len(following) > 1 else following
                 following, called_here = [], {}
                 seen.clear()
-                slot, node = now.pop()
+                slot, node, mask = now.pop()
             else:
                 break
             while True:
@@ -231,7 +236,7 @@ class Grammar:
                         break
                     slot += 1
                     if now or following:
-                        following.append((slot, node))
+                        following.append((slot, node, mask))
                         break
                     i += 1
                     tok = toks[i]
@@ -242,9 +247,9 @@ class Grammar:
                     r = arg[slot]
                     if tok not in may[r]:
                         break
-                    called = called_here.get(r)
+                    called = called_here.get((r, mask))
                     if called is None:
-                        called_here[r] = called = _Node([(slot + 1, node)])
+                        called_here[r, mask] = called = _Node([(slot + 1, node)])
                         slot, node = start[r], called
                         continue
                     edge = (slot + 1, node)
@@ -254,28 +259,38 @@ class Grammar:
                     if called.end != i:
                         break
                     slot += 1  # the rule has already derived nothing here
+                    mask = called.ended
                 elif o == BRANCH:
                     ways = arg[slot].get(tok)
                     if ways is None:
                         break
                     if len(ways) > 1:
                         for w in ways[1:]:
-                            if (w, node) not in seen:
-                                seen.add((w, node))
-                                now.append((w, node))
+                            if (w, node, mask) not in seen:
+                                seen.add((w, node, mask))
+                                now.append((w, node, mask))
                     slot = ways[0]
                 elif o == JUMP:
                     slot = arg[slot]
+                elif o == GUARD:
+                    mask &= arg[slot]
+                    if not mask:
+                        break
+                    slot += 1
                 else:
-                    if node.end == i:
+                    if node.end != i:
+                        node.end, node.ended = i, mask
+                    elif mask | node.ended == node.ended:
                         break
-                    node.end = i
+                    else:
+                        node.ended |= mask
                     edges = node.edges
                     if not edges:
                         break
-                    for e in edges[1:]:
-                        if e not in seen:
-                            seen.add(e)
-                            now.append(e)
+                    for s, n in edges[1:]:
+                        if (s, n, mask) not in seen:
+                            seen.add((s, n, mask))
+                            now.append((s, n, mask))
                     slot, node = edges[0]
-        return {name for name, node in roots.items() if node.end == last}, i
+        ended = root.ended if root.end == last else 0
+        return tuple(d for at, d in enumerate(self.dialects) if ended >> at & 1), i

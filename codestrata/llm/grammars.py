@@ -1,5 +1,16 @@
-"""Grammars of the languages whose files are checked, over the tokens of lexers.py. Dialects of a
-language are start rules of one grammar, a file being valid if any of them derives it; each language has one here."""
+"""Grammars of the languages whose files are checked, over the tokens of lexers.py.
+
+DIALECTS names each language's dialects, oldest first; `@d` in a rule stands before what exists from dialect d on. All
+dialects of a language are parsed together, a file being valid if any of them derives it. JSON and YAML have one each.
+"""
+
+DIALECTS = {
+    "php": ("7.4", "8.0", "8.1", "8.2", "8.3", "8.4"),
+    "python": ("3.7", "3.8", "3.9", "3.10", "3.11", "3.12", "3.13"),
+    "json": ("rfc8259",),
+    "yaml": ("1.1",),
+    "xml": ("standalone", "external"),
+}
 
 JSON = """
 value : '{' (pair (',' pair)*)? '}' | '[' (value (',' value)*)? ']' | STRING | NUMBER | WORD ;
@@ -7,10 +18,11 @@ pair : STRING ':' value ;
 """
 
 XML = """
-document : DECL? misc* (DOCTYPE misc*)? element misc* ;
+document : DECL? misc* (DOCTYPE misc*)? undeclared? element misc* ;
+undeclared : @external UNDECLARED ;
 misc : COMMENT | PI | SPACE ;
 element : EMPTY | OPEN content* CLOSE ;
-content : element | TEXT | SPACE | CDATA | COMMENT | PI ;
+content : element | TEXT | SPACE | CDATA | COMMENT | PI | undeclared ;
 """
 
 YAML = """
@@ -25,10 +37,10 @@ block_content : block_seq | block_map | flow_content ;
 flow_content : flow_seq | flow_map | SCALAR ;
 block_seq : SEQ_START (ENTRY block_node?)* BLOCK_END ;
 indentless : (ENTRY block_node?)+ ;
-block_map : MAP_START (KEY loose_node? (VALUE loose_node?)? | VALUE loose_node?)* BLOCK_END ;
+block_map : MAP_START (KEY loose_node? (VALUE loose_node?)?)* BLOCK_END ;
 flow_seq : '[' (flow_item (',' flow_item)* ','?)? ']' ;
 flow_map : '{' (flow_item (',' flow_item)* ','?)? '}' ;
-flow_item : flow_node | KEY flow_node? (VALUE flow_node?)? | VALUE flow_node? ;
+flow_item : flow_node | KEY flow_node? (VALUE flow_node?)? ;
 """
 
 PHP = """
@@ -52,7 +64,7 @@ statement : block | ';' | HTML | OPEN_ECHO exprs ';' | 'echo' exprs ';' | expr '
   | 'for' '(' exprs? ';' exprs? ';' exprs? ')' ( statement | ':' statement* 'endfor' ';' )
   | 'foreach' '(' expr 'as' target ('=>' target)? ')' ( statement | ':' statement* 'endforeach' ';' )
   | 'switch' parens ( '{' ';'? case_item* '}' | ':' ';'? HTML? case_item* 'endswitch' ';' )
-  | 'break' expr? ';' | 'continue' expr? ';' | 'return' expr? ';'
+  | 'throw' expr ';' | 'break' expr? ';' | 'continue' expr? ';' | 'return' expr? ';'
   | 'global' simple_variable (',' simple_variable)* ';'
   | 'static' static_variable (',' static_variable)* ';'
   | 'unset' '(' expr (',' expr)* ','? ')' ';'
@@ -60,32 +72,32 @@ statement : block | ';' | HTML | OPEN_ECHO exprs ';' | 'echo' exprs ';' | expr '
   | 'goto' NAME ';'
   | 'declare' '(' NAME '=' expr (',' NAME '=' expr)* ')' ( statement | ':' statement* 'enddeclare' ';' )
   | attributes? ( function_declaration | class_declaration ) ;
-catch : 'catch' '(' name ('|' name)* VAR? ')' block ;
+catch : 'catch' '(' name ('|' name)* (VAR | @8.0) ')' block ;
 case_item : ('case' expr | 'default') (':' | ';') statement* ;
 static_variable : VAR ('=' expr)? ;
 simple_variable : VAR | '$' simple_variable | '$' '{' expr '}' ;
 target : '&' variable | variable | array | 'list' '(' items ')' ;
 
 function_declaration : 'function' '&'? (NAME | 'readonly') '(' parameters ')' (':' type)? block ;
-class_declaration : ('abstract' | 'final' | 'readonly')* 'class' NAME ('extends' name)? ('implements' names)? members
+class_declaration : ('abstract' | 'final' | @8.2 'readonly')* 'class' NAME ('extends' name)? ('implements' names)? members
   | 'interface' NAME ('extends' names)? members | 'trait' NAME members
-  | 'enum' NAME (':' type)? ('implements' names)? members ;
-attributes : ('#[' attribute (',' attribute)* ','? ']')+ ;
+  | @8.1 'enum' NAME (':' type)? ('implements' names)? members ;
+attributes : @8.0 ('#[' attribute (',' attribute)* ','? ']')+ ;
 attribute : name arguments? ;
-parameters : (parameter (',' parameter)* ','?)? ;
-parameter : attributes? modifier* type? '&'? '...'? VAR ('=' expr)? hooks? ;
-type : '?' simple_type | type_part ('|' type_part)* ;
-type_part : simple_type ('&' simple_type)* | '(' simple_type ('&' simple_type)+ ')' ;
-simple_type : NAME | QNAME | 'array' | 'callable' | 'static' ;
-modifier : ('public' | 'protected' | 'private') ('(' NAME ')')? | 'static' | 'abstract' | 'final' | 'readonly' | 'var' ;
+parameters : (parameter (',' parameter)* (@8.0 ',')?)? ;
+parameter : attributes? (@8.0 modifier+)? type? '&'? '...'? VAR ('=' expr)? hooks? ;
+type : '?' simple_type | type_part (@8.0 '|' type_part)* ;
+type_part : simple_type (@8.1 '&' simple_type)* | @8.2 '(' simple_type ('&' simple_type)+ ')' ;
+simple_type : NAME | QNAME | 'array' | 'callable' | @8.0 'static' ;
+modifier : ('public' | 'protected' | 'private') (@8.4 '(' NAME ')')? | 'static' | 'abstract' | 'final' | @8.1 'readonly' | 'var' ;
 
 members : '{' member* '}' ;
 member : attributes? ( modifier+ (class_constant | method | property) | class_constant | method )
-  | 'use' names (';' | '{' adaptation* '}') | attributes? 'case' member_name ('=' expr)? ';' ;
-class_constant : 'const' type? member_name '=' expr (',' member_name '=' expr)* ';' ;
+  | 'use' names (';' | '{' adaptation* '}') | attributes? @8.1 'case' member_name ('=' expr)? ';' ;
+class_constant : 'const' (@8.3 type)? member_name '=' expr (',' member_name '=' expr)* ';' ;
 method : 'function' '&'? member_name '(' parameters ')' (':' type)? (';' | block) ;
 property : type? VAR ('=' expr)? ( (',' VAR ('=' expr)?)* ';' | hooks ) ;
-hooks : '{' hook* '}' ;
+hooks : @8.4 '{' hook* '}' ;
 hook : attributes? modifier* '&'? NAME ('(' parameters ')')? (';' | block | '=>' expr ';') ;
 adaptation : (name '::')? member_name ( 'insteadof' names | 'as' ( ('public' | 'protected' | 'private') member_name? | member_name ) ) ';' ;
 member_name : NAME | MAGIC | 'enum' | 'abstract' | 'and' | 'array' | 'as' | 'break' | 'callable' | 'case' | 'catch' | 'class' | 'clone'
@@ -98,32 +110,34 @@ member_name : NAME | MAGIC | 'enum' | 'abstract' | 'and' | 'array' | 'as' | 'bre
 expr : unary ( operator unary | 'instanceof' class_reference | '?' expr? ':' unary )* ;
 operator : '+' | '-' | '*' | '/' | '%' | '.' | '**' | '<<' | '>>' | '<' | '<=' | '>' | '>=' | '==' | '!=' | '<>' | '===' | '!==' | '<=>'
   | '&' | '|' | '^' | '&&' | '||' | '??' | 'and' | 'or' | 'xor' ;
-unary : ('+' | '-' | '!' | '~' | '@' | CAST | 'clone' | 'print' | 'throw' | 'include' | 'include_once' | 'require' | 'require_once' | 'yield from')* operand ;
+unary : ('+' | '-' | '!' | '~' | '@' | CAST | 'clone' | 'print' | @8.0 'throw' | 'include' | 'include_once' | 'require' | 'require_once' | 'yield from')* operand ;
 operand : ('++' | '--') variable
   | base suffix* ending?
   | ( name | 'static' ) ( suffix+ ending? )?
   | ( parens | STR | quoted | new ) ( suffix+ ending? )?
-  | array ( suffix+ ending? | '=' '&'? unary )?
+  | array ( suffix+ ending? | '=' unary )?
   | 'list' '(' items ')' '=' unary
   | INT | FLOAT | MAGIC | closure | match
   | 'isset' '(' expr (',' expr)* ','? ')' | 'empty' parens | 'eval' parens | 'exit' arguments?
   | 'yield' ( expr ('=>' expr)? )? ;
 base : simple_variable ;
+referred : ( base | name | 'static' | parens | STR | quoted | array ) suffix* | new access suffix* ;
 variable : ( base | name | 'static' | parens | STR | quoted | array | new ) suffix* ;
-suffix : '[' expr? ']' | ('->' | '?->') ( NAME | simple_variable | '{' expr '}' )
-  | '::' ( NAME | simple_variable | 'class' | '{' expr '}' ) | arguments ;
-ending : '=' '&'? unary | ('+=' | '-=' | '*=' | '/=' | '.=' | '%=' | '**=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '??=') unary | '++' | '--' ;
+suffix : access | arguments ;
+access : '[' expr? ']' | ('->' | @8.0 '?->') ( NAME | simple_variable | '{' expr '}' )
+  | '::' ( NAME | simple_variable | 'class' | @8.3 '{' expr '}' ) ;
+ending : '=' ( '&' referred | unary ) | ('+=' | '-=' | '*=' | '/=' | '.=' | '%=' | '**=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '??=') unary | '++' | '--' ;
 arguments : '(' (argument (',' argument)* ','?)? ')' ;
-argument : '...' expr? | member_name ':' expr | expr ;
+argument : '...' (expr | @8.1) | @8.0 member_name ':' expr | expr ;
 array : '[' items ']' | 'array' '(' items ')' ;
 items : item? (',' item?)* ;
 item : expr ('=>' (expr | '&' variable | 'list' '(' items ')'))? | '&' variable | '...' expr | 'list' '(' items ')' ;
-new : 'new' ( attributes? 'readonly'? 'class' arguments? ('extends' name)? ('implements' names)? members | class_reference arguments? ) ;
+new : 'new' ( attributes? (@8.3 'readonly')? 'class' arguments? ('extends' name)? ('implements' names)? members | class_reference arguments? ) ;
 class_reference : name | 'static' | parens | base ( '[' expr? ']' | ('->' | '?->') ( NAME | simple_variable | '{' expr '}' ) | '::' simple_variable )*
   | name '::' simple_variable | 'static' '::' simple_variable ;
 closure : attributes? 'static'? ( 'function' '&'? '(' parameters ')' ( 'use' '(' ('&'? VAR (',' '&'? VAR)* ','?)? ')' )? (':' type)? block
   | 'fn' '&'? '(' parameters ')' (':' type)? '=>' unary ) ;
-match : 'match' parens '{' (arm (',' arm)* ','?)? '}' ;
+match : @8.0 'match' parens '{' (arm (',' arm)* ','?)? '}' ;
 arm : ('default' ','? | expr (',' expr)* ','?) '=>' expr ;
 quoted : DQ_OPEN ( ENC_VAR | ENC_OPEN expr ENC_CLOSE )* DQ_CLOSE ;
 """
@@ -132,7 +146,7 @@ PYTHON = """
 file : ( NEWLINE | statement )* ;
 statement : simple (';' simple)* ';'? NEWLINE | compound ;
 simple : assignment | 'return' star_exprs? | 'raise' (expr ('from' expr)?)? | 'pass' | 'break' | 'continue' | 'del' targets
-  | 'assert' expr (',' expr)? | 'global' NAME (',' NAME)* | 'nonlocal' NAME (',' NAME)* | import | 'type' NAME type_params? '=' expr ;
+  | 'assert' expr (',' expr)? | 'global' NAME (',' NAME)* | 'nonlocal' NAME (',' NAME)* | import | @3.12 'type' NAME type_params? '=' expr ;
 import : 'import' dotted ('as' NAME)? (',' dotted ('as' NAME)?)*
   | 'from' ( ('.' | '...')* dotted | ('.' | '...')+ ) 'import' ( '*' | imported (',' imported)* | '(' imported (',' imported)* ','? ')' ) ;
 dotted : NAME ('.' NAME)* ;
@@ -150,14 +164,14 @@ compound : 'if' named block ('elif' named block)* ('else' block)?
   | 'while' named block ('else' block)?
   | 'async'? 'for' targets 'in' star_exprs block ('else' block)?
   | 'try' block ( except+ ('else' block)? ('finally' block)? | 'finally' block )
-  | 'async'? 'with' ( with_item (',' with_item)* | '(' with_item (',' with_item)* ','? ')' ) block
+  | 'async'? 'with' ( with_item (',' with_item)* | @3.9 '(' with_item (',' with_item)* ','? ')' ) block
   | ('@' named NEWLINE)* ( 'async'? 'def' NAME type_params? '(' parameters? ')' ('->' expr)? block | 'class' NAME type_params? arguments? block )
-  | 'match' subject ':' NEWLINE INDENT case+ DEDENT ;
+  | @3.10 'match' subject ':' NEWLINE INDENT case+ DEDENT ;
 block : ':' ( simple (';' simple)* ';'? NEWLINE | NEWLINE INDENT ( statement | NEWLINE )+ DEDENT ) ;
-except : 'except' ( '*'? expr ('as' NAME)? )? block ;
+except : 'except' ( (@3.11 '*')? expr ('as' NAME)? )? block ;
 with_item : expr ('as' target_part)? ;
-type_params : '[' type_param (',' type_param)* ','? ']' ;
-type_param : ('*' | '**')? NAME (':' expr)? ('=' expr)? ;
+type_params : @3.12 '[' type_param (',' type_param)* ','? ']' ;
+type_param : ('*' | '**')? NAME (':' expr)? (@3.13 '=' expr)? ;
 subject : star_named ','? | star_named (',' star_named)+ ','? ;
 case : 'case' patterns ('if' named)? block ;
 patterns : open_pattern (',' open_pattern)* ','? ;
@@ -169,14 +183,14 @@ pattern_argument : pattern | NAME '=' pattern ;
 pattern_item : ('-'? NUMBER (('+' | '-') NUMBER)? | strings | dotted | 'None' | 'True' | 'False') ':' pattern | '**' NAME ;
 
 parameters : front (',' stars)? ','? | stars ','? ;
-front : bare (',' bare)* (',' '/' (',' bare)*)? (',' given)* | bare (',' bare)* (',' given)+ ',' '/' (',' given)* | given (',' given)* (',' '/' (',' given)*)? ;
-stars : '*' NAME (':' star_expr)? (',' plain)* (',' keywords)? | '*' (',' plain)+ (',' keywords)? | keywords ;
+front : bare (',' bare)* (@3.8 ',' '/' (',' bare)*)? (',' given)* | bare (',' bare)* (',' given)+ @3.8 ',' '/' (',' given)* | given (',' given)* (@3.8 ',' '/' (',' given)*)? ;
+stars : '*' NAME (':' ( expr | @3.11 '*' binary ))? (',' plain)* (',' keywords)? | '*' (',' plain)+ (',' keywords)? | keywords ;
 keywords : '**' bare ;
 bare : NAME (':' expr)? ;
 given : bare '=' expr ;
 plain : bare ('=' expr)? ;
 lambda_parameters : l_front (',' l_stars)? ','? | l_stars ','? ;
-l_front : NAME (',' NAME)* (',' '/' (',' NAME)*)? (',' l_given)* | NAME (',' NAME)* (',' l_given)+ ',' '/' (',' l_given)* | l_given (',' l_given)* (',' '/' (',' l_given)*)? ;
+l_front : NAME (',' NAME)* (@3.8 ',' '/' (',' NAME)*)? (',' l_given)* | NAME (',' NAME)* (',' l_given)+ @3.8 ',' '/' (',' l_given)* | l_given (',' l_given)* (@3.8 ',' '/' (',' l_given)*)? ;
 l_stars : '*' NAME (',' l_plain)* (',' '**' NAME)? | '*' (',' l_plain)+ (',' '**' NAME)? | '**' NAME ;
 l_given : NAME '=' expr ;
 l_plain : NAME ('=' expr)? ;
@@ -184,7 +198,7 @@ l_plain : NAME ('=' expr)? ;
 star_exprs : star_expr (',' star_expr)* ','? ;
 star_expr : expr | '*' binary ;
 star_named : '*' binary | named ;
-named : NAME ':=' expr | expr ;
+named : NAME @3.8 ':=' expr | expr ;
 expr : logical ('if' logical 'else' expr)? | 'lambda' lambda_parameters? ':' expr ;
 logical : 'not'* comparison (('and' | 'or') 'not'* comparison)* ;
 comparison : binary (('<' | '>' | '==' | '>=' | '<=' | '!=' | 'in' | 'not' 'in' | 'is' 'not'?) binary)* ;
@@ -192,17 +206,17 @@ binary : factor (('|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' |
 factor : ('+' | '-' | '~')* 'await'? atom trailer* ;
 trailer : '.' NAME | arguments | '[' slices ']' ;
 slices : slice (',' slice)* ','? ;
-slice : star_named | expr? ':' expr? (':' expr?)? ;
+slice : @3.11 '*' binary | named | expr? ':' expr? (':' expr?)? ;
 arguments : '(' ( named comprehension | positional (',' positional)* (',' named_arguments)? ','? | named_arguments ','? )? ')' ;
 positional : named | '*' expr ;
 named_arguments : (NAME '=' expr | '*' expr) (',' (NAME '=' expr | '*' expr))* (',' (NAME '=' expr | '**' expr))* | '**' expr (',' (NAME '=' expr | '**' expr))* ;
 comprehension : ('async'? 'for' targets 'in' logical ('if' condition)*)+ ;
-condition : logical | NAME ':=' logical ;
+condition : logical | NAME @3.8 ':=' logical ;
 atom : NAME | NUMBER | strings | 'None' | 'True' | 'False' | '...' | '(' ( yield | star_named comprehension | (star_named (',' star_named)* ','?)? ) ')'
   | '[' ( star_named comprehension | (star_named (',' star_named)* ','?)? ) ']'
   | '{' ( (dict_item (',' dict_item)* ','?)? | expr ':' expr comprehension | star_named comprehension | star_named (',' star_named)* ','? ) '}' ;
 dict_item : expr ':' expr | '**' binary ;
-strings : (STRING | fstring)+ ;
+strings : (STRING | fstring)+ | BYTES+ ;
 fstring : FS_START ( FS_MIDDLE | '{' (star_exprs | yield) '='? ('!' NAME)? (':' format)? '}' )* FS_END ;
 format : ( FS_MIDDLE | '{' (star_exprs | yield) '='? ('!' NAME)? (':' format)? '}' )* ;
 """

@@ -6,6 +6,7 @@ import io
 import keyword
 import re
 import tokenize
+import unicodedata
 
 from codestrata.frontend import php_lexer
 
@@ -32,6 +33,7 @@ def json_kinds(text: str) -> list[str] | None:
 # ---- XML ----
 
 _NAME = r"[:A-Za-z_\xc0-\xd6\xd8-\xf6\xf8-˿Ͱ-ͽͿ-῿‌‍⁰-↏Ⰰ-⿯、-퟿豈-﷏ﷰ-�\U00010000-\U000effff][-.0-9:A-Za-z_\xb7\xc0-\xd6\xd8-\xf6\xf8-ͽͿ-῿‌‍‿⁀⁰-↏Ⰰ-⿯、-퟿豈-﷏ﷰ-�\U00010000-\U000effff]*"
+_SP = r"[ \t\r\n]*"
 _S, _LITERAL = r"[ \t\r\n]+", r"(?:\"[^\"]*\"|'[^']*')"
 _EXTERNAL = rf"(?:SYSTEM{_S}{_LITERAL}|PUBLIC{_S}{_LITERAL}{_S}{_LITERAL})"
 _XML = re.compile(
@@ -39,7 +41,7 @@ _XML = re.compile(
 |(?P<DOCTYPE><!DOCTYPE{_S}{_NAME}(?:{_S}{_EXTERNAL})?[ \t\r\n]*(?:\[(?:[ \t\r\n]|%{_NAME};|<!--(?:(?!--)(?s:.))*-->|<\?{_NAME}(?:{_S}(?s:.*?))?\?>
    |<!ENTITY{_S}(?:%{_S})?{_NAME}{_S}(?:{_LITERAL}|{_EXTERNAL}(?:{_S}NDATA{_S}{_NAME})?)[ \t\r\n]*>
    |<!NOTATION{_S}{_NAME}{_S}(?:{_EXTERNAL}|PUBLIC{_S}{_LITERAL})[ \t\r\n]*>
-   |<!(?:ELEMENT|ATTLIST){_S}{_NAME}(?:{_S}(?:[^<>"']|{_LITERAL})*)?>)*\][ \t\r\n]*)?>)
+   |<!(?:ELEMENT|ATTLIST){_S}{_NAME}(?:[^<>"']|{_LITERAL})*>)*\][ \t\r\n]*)?>)
 |(?P<PI><\?(?P<target>{_NAME})(?:[ \t\r\n](?s:.*?))?\?>)
 |(?P<CLOSE></(?P<end>{_NAME})[ \t\r\n]*>)
 |<(?P<tag>{_NAME})(?P<attributes>(?:[ \t\r\n]+{_NAME}[ \t\r\n]*=[ \t\r\n]*(?:"[^<"]*"|'[^<']*'))*)[ \t\r\n]*(?P<slash>/?)>
@@ -50,76 +52,217 @@ _ATTRIBUTE = re.compile(rf"[ \t\r\n]+({_NAME})[ \t\r\n]*=[ \t\r\n]*(\"[^<\"]*\"|
 _REFERENCE = re.compile(rf"&(?:(?P<name>{_NAME})|\#(?P<dec>[0-9]+)|\#x(?P<hex>[0-9a-fA-F]+));|(?P<bare>&)", re.X)
 _XML_DECL = re.compile(r"""<\?xml[ \t\r\n]+version[ \t\r\n]*=[ \t\r\n]*(?:"1\.[0-9]+"|'1\.[0-9]+')(?:[ \t\r\n]+encoding[ \t\r\n]*=[ \t\r\n]*(?:"[A-Za-z][-A-Za-z0-9._]*"|'[A-Za-z][-A-Za-z0-9._]*'))?(?:[ \t\r\n]+standalone[ \t\r\n]*=[ \t\r\n]*(?:"(?:yes|no)"|'(?:yes|no)'))?[ \t\r\n]*\?>""")
 _XML_BAD = re.compile("[^\t\n\r\x20-퟿-�\U00010000-\U0010ffff]")
-_PREDEFINED = frozenset(("amp", "lt", "gt", "apos", "quot"))
 
 
-def _references(text: str, declared: set[str]) -> bool:
-    for m in _REFERENCE.finditer(text):
-        if m["bare"] or m["name"] and m["name"] not in declared:
-            return False
-        code = int(m["dec"]) if m["dec"] else int(m["hex"], 16) if m["hex"] else 32
-        if code > 0x10FFFF or _XML_BAD.match(chr(code)):
-            return False
-    return True
+_DECLARED = re.compile(
+    rf"""<!--(?:(?!--)(?s:.))*-->|<\?(?s:.*?)\?>|(?P<parameter>%{_NAME};)
+|<!ENTITY{_S}(?P<pe>%{_S})?(?P<entity>{_NAME}){_S}(?:(?P<value>{_LITERAL})|{_EXTERNAL}(?P<ndata>{_S}NDATA{_S}{_NAME})?)
+|<!ELEMENT{_S}{_NAME}(?P<element>(?:[^<>"'])*)>|<!ATTLIST{_S}{_NAME}(?P<attlist>(?:[^<>"']|{_LITERAL})*)>""",
+    re.X,
+)
+_MIXED = re.compile(rf"\({_SP}\#PCDATA(?:{_SP}\|{_SP}{_NAME})*{_SP}\)\*|\({_SP}\#PCDATA{_SP}\)".replace("\\#", "#"))
+_GROUP = re.compile(rf"\({_SP}(?:{_NAME}[?*+]?)(?:(?:{_SP},{_SP}{_NAME}[?*+]?)*|(?:{_SP}\|{_SP}{_NAME}[?*+]?)*){_SP}\)[?*+]?")
+_ENUMERATED = rf"\({_SP}[-.:\w]+(?:{_SP}\|{_SP}[-.:\w]+)*{_SP}\)"
+_ATTRIBUTE_DEFINITION = re.compile(
+    rf"{_S}{_NAME}{_S}(?:CDATA|IDREFS?|ID|ENTITY|ENTITIES|NMTOKENS?|NOTATION{_S}{_ENUMERATED}|{_ENUMERATED}){_S}"
+    rf"(?:#REQUIRED|#IMPLIED|(?:#FIXED{_S})?(?:\"[^<\"]*\"|'[^<']*'))"
+)
 
 
-def xml_kinds(text: str) -> list[str] | None:
-    """Kinds of an XML text; what no grammar can say (names of tags match, attributes are unique, entities are
-    declared) is checked on the way."""
-    out: list[str] = []
-    pos, stack, declared = int(text.startswith("﻿")), [], set(_PREDEFINED)
-    if _XML_BAD.search(text):
-        return None
-    if m := _XML_DECL.match(text, pos):
-        out.append("DECL")
-        pos = m.end()
+def _content_model(text: str) -> bool:
+    """Whether an element's declaration is EMPTY, ANY, mixed content or groups of names; innermost groups become names."""
+    if not text[:1].isspace():
+        return False
+    text = text.strip(" \t\r\n")
+    if text in ("EMPTY", "ANY") or _MIXED.fullmatch(text):
+        return True
+    while text.startswith("(") and (m := _GROUP.search(text)):
+        if m.start() == 0:
+            return m.end() == len(text)
+        text = text[: m.start()] + "g" + text[m.end() :]  # what follows a group may follow a name
+    return False
+
+
+class _Entities:
+    """What the declarations of a document say about entities, and whether references to them are allowed."""
+
+    def __init__(self) -> None:
+        self.values: dict[str, str | None] = {n: "" for n in ("amp", "lt", "gt", "apos", "quot")}
+        self.open = False  # others may be declared where only a reader of external subsets sees it
+        self.unparsed: set[str] = set()
+        self.sound: dict[tuple[str, bool], bool] = {}
+
+    def declare(self, doctype: str, standalone: bool) -> bool:
+        """Take in a document type declaration; False if a declaration in it can't be."""
+        head, _, rest = doctype.partition("[")
+        self.open = bool(re.search(r"[ \t\r\n](?:SYSTEM|PUBLIC)[ \t\r\n]", head)) and not standalone
+        for m in _DECLARED.finditer(rest):
+            if m["parameter"]:
+                self.open = not standalone
+            elif m["element"] is not None:
+                if not _content_model(m["element"]):
+                    return False
+            elif m["attlist"] is not None:
+                if not re.fullmatch(rf"(?:{_ATTRIBUTE_DEFINITION.pattern})*[ \t\r\n]*", m["attlist"]):
+                    return False
+            elif m["entity"] and not m["pe"]:
+                value = m["value"][1:-1] if m["value"] else None
+                if value is not None and ("%" in value or not _references_well_formed(value)):
+                    return False
+                self.values.setdefault(m["entity"], value)
+                if m["ndata"]:
+                    self.unparsed.add(m["entity"])
+        return True
+
+    def allowed(self, text: str, attribute: bool, within: tuple[str, ...] = ()) -> bool | None:
+        """Whether all references in a text may be there; None if one isn't declared but may be outside."""
+        out: bool | None = True
+        for m in _REFERENCE.finditer(text):
+            if m["bare"] or not m["name"] and not _is_character(m):
+                return False
+            name = m["name"]
+            if not name:
+                continue
+            if name not in self.values:
+                if not self.open:
+                    return False
+                out = None
+            elif name in within or name in self.unparsed or attribute and self.values[name] is None:
+                return False
+            elif self.values[name] and len(within) < 100:
+                key = (name, attribute)
+                if key not in self.sound:
+                    self.sound[key] = self._sound(self.values[name], attribute, (*within, name))
+                if not self.sound[key]:
+                    return False
+        return out
+
+    def _sound(self, value: str, attribute: bool, within: tuple[str, ...]) -> bool:
+        """Whether an entity's text can stand in an attribute, or is content whose tags are balanced."""
+        value = re.sub(r"&#(?:x([0-9a-fA-F]+)|([0-9]+));", lambda m: chr(int(m[1], 16) if m[1] else int(m[2])), value)
+        if attribute:
+            return "<" not in value and self.allowed(value, True, within) is not False
+        out: list[str] = []
+        return _markup(value, 0, self, out, within) and "DOCTYPE" not in out
+
+
+def _is_character(m: re.Match) -> bool:
+    code = int(m["dec"]) if m["dec"] else int(m["hex"], 16)
+    return code <= 0x10FFFF and not _XML_BAD.match(chr(code))
+
+
+def _references_well_formed(text: str) -> bool:
+    return all(not m["bare"] and (m["name"] or _is_character(m)) for m in _REFERENCE.finditer(text))
+
+
+def _markup(text: str, pos: int, entities: _Entities, out: list[str], within: tuple[str, ...] = ()) -> bool:
+    """Append the kinds of a text from `pos`; False if tags don't match, an attribute is repeated, or a reference is bad."""
+    stack: list[str] = []
+    standalone = "DECL" in out and re.search("standalone[ \t\r\n]*=[ \t\r\n]*.yes", text[:pos]) is not None
     while pos < len(text):
         m = _XML.match(text, pos)
         if m is None:
-            return None
+            return False
         pos = m.end()
         if m["tag"]:
             names = _ATTRIBUTE.findall(m["attributes"]) if m["attributes"] else ()
-            if len({a for a, _ in names}) < len(names) or "&" in m["attributes"] and not _references(m["attributes"], declared):
-                return None
+            if len({a for a, _ in names}) < len(names):
+                return False
+            if "&" in m["attributes"] and (ok := entities.allowed(m["attributes"], True, within)) is not True:
+                if ok is False:
+                    return False
+                out.append("UNDECLARED")
             out.append("EMPTY" if m["slash"] else "OPEN")
             if not m["slash"]:
                 stack.append(m["tag"])
             continue
         kind = next(k for k in ("COMMENT", "CDATA", "DOCTYPE", "PI", "CLOSE", "SPACE", "TEXT") if m[k])
-        if kind == "CLOSE" and (not stack or stack.pop() != m["end"]):
-            return None
-        if kind == "PI" and m["target"].lower() == "xml":
-            return None
-        if kind == "DOCTYPE":
-            declared |= set(re.findall(rf"<!ENTITY[ \t\r\n]+({_NAME})", m.group()))
-        if kind == "TEXT" and ("]]>" in m.group() or "&" in m.group() and not _references(m.group(), declared)):
-            return None
+        if kind == "CLOSE" and (not stack or stack.pop() != m["end"]) or kind == "PI" and m["target"].lower() == "xml":
+            return False
+        if kind == "DOCTYPE" and not entities.declare(m.group(), standalone):
+            return False
+        if kind == "TEXT":
+            if "]]>" in m.group():
+                return False
+            if "&" in m.group() and (ok := entities.allowed(m.group(), False, within)) is not True:
+                if ok is False:
+                    return False
+                out.append("UNDECLARED")
         out.append(kind)
-    return out
+    return not stack
+
+
+def xml_kinds(text: str) -> list[str] | None:
+    """Kinds of an XML text; what no grammar can say (names of tags match, attributes are unique, entities are declared,
+    balanced and not part of themselves) is checked on the way. UNDECLARED stands before a tag or text with a reference
+    that only an external part of the document type could declare."""
+    if _XML_BAD.search(text):
+        return None
+    out: list[str] = []
+    pos = int(text.startswith("\ufeff"))
+    if m := _XML_DECL.match(text, pos):
+        out.append("DECL")
+        pos = m.end()
+    return out if _markup(text, pos, _Entities(), out) else None
 
 
 # ---- Python ----
 
 _SKIP = frozenset((tokenize.COMMENT, tokenize.NL, tokenize.ENCODING, tokenize.ENDMARKER, tokenize.TYPE_COMMENT, tokenize.TYPE_IGNORE))
 _PLAIN = {
-    tokenize.NUMBER: "NUMBER", tokenize.STRING: "STRING", tokenize.NEWLINE: "NEWLINE", tokenize.INDENT: "INDENT", tokenize.DEDENT: "DEDENT",
+    tokenize.NUMBER: "NUMBER", tokenize.NEWLINE: "NEWLINE", tokenize.INDENT: "INDENT", tokenize.DEDENT: "DEDENT",
     tokenize.FSTRING_START: "FS_START", tokenize.FSTRING_MIDDLE: "FS_MIDDLE", tokenize.FSTRING_END: "FS_END",
 }
 _KEYWORDS = frozenset(keyword.kwlist)
+_D = r"[0-9](?:_?[0-9])*"
+_NUMBER = re.compile(
+    rf"0(?:_?0)*|[1-9](?:_?[0-9])*|0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+"
+    rf"|(?:{_D}\.(?:{_D})?|\.{_D})(?:[eE][+-]?{_D})?[jJ]?|{_D}[eE][+-]?{_D}[jJ]?|{_D}[jJ]"
+)
+_ESCAPES = re.compile(r"\\(?:x(?P<x>[0-9a-fA-F]{0,2})|u(?P<u>[0-9a-fA-F]{0,4})|U(?P<U>[0-9a-fA-F]{0,8})|N(?P<N>(?:\{[^}]*\})?)|(?s:.))")
 _AFTER_SOFT = frozenset("= . , ) ] } : ; ! == != < > <= >= + / % @ & | ^ and or if else in is NEWLINE += -= := **".split())
 
 
+def _escapes_fit(body: str, is_bytes: bool) -> bool:
+    """Whether the escapes of a string that isn't raw are complete and name characters."""
+    for m in _ESCAPES.finditer(body) if "\\" in body else ():
+        if m["x"] is not None:
+            if len(m["x"]) < 2:
+                return False
+        elif is_bytes:
+            continue
+        elif m["u"] is not None and len(m["u"]) < 4 or m["U"] is not None and (len(m["U"]) < 8 or int(m["U"], 16) > 0x10FFFF):
+            return False
+        elif m["N"] is not None:
+            try:
+                unicodedata.lookup(m["N"][1:-1])
+            except KeyError:
+                return False
+    return True
+
+
+def _string_kind(text: str) -> str | None:
+    """STRING or BYTES; None if its characters or escapes can't be in it."""
+    prefix = text[: min(text.find(q) for q in "'\"" if q in text)].lower()
+    if "b" in prefix and not text.isascii():
+        return None
+    if "r" not in prefix and not _escapes_fit(text[len(prefix) :], "b" in prefix):
+        return None
+    return "BYTES" if "b" in prefix else "STRING"
+
+
 def python_kinds(text: str) -> list[str] | None:
     if "\0" in text:
         return None
     out: list[str] = []
     soft: list[int] = []
+    raw: list[bool] = []  # of the formatted strings around
+    last = None
     starts_line = True
     lines = io.StringIO(text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n"))
     try:
         for t in tokenize.generate_tokens(lines.readline):
-            kind = t.type
+            kind, before, last = t.type, last, t
             if kind in _SKIP:
                 continue
             if kind == tokenize.OP:
@@ -134,7 +277,19 @@ def python_kinds(text: str) -> list[str] | None:
                         starts_line = False
                         continue
                     out.append("NAME")
+            elif kind == tokenize.STRING:
+                if (string := _string_kind(t.string)) is None:
+                    return None
+                out.append(string)
             elif kind in _PLAIN:
+                if kind == tokenize.FSTRING_START:
+                    raw.append("r" in t.string.lower())
+                elif kind == tokenize.FSTRING_END:
+                    raw.pop()
+                elif kind == tokenize.FSTRING_MIDDLE and not raw[-1] and not _escapes_fit(t.string, False):
+                    return None
+                elif kind == tokenize.NUMBER and (not _NUMBER.fullmatch(t.string) or before is not None and before.end == t.start and before.type == tokenize.NUMBER):
+                    return None
                 out.append(_PLAIN[kind])
             else:
                 return None
@@ -160,6 +315,7 @@ _YAML_BAD = re.compile("[^\t\n\r\x20-\x7e\x85\xa0-퟿-�\U00010000-\U0010fff
 _BREAKS = "\n\x85  "
 _ENDS = _BREAKS + "\0"
 _BLANK = " \t" + _ENDS
+_DIRECTIVE = re.compile(r"%(?:YAML +(?P<major>\d+)\.\d+|TAG +(?P<handle>!(?:[-\w]*!)?) +[^\s]+|(?!(?:YAML|TAG)\b)[-\w]+[^\n\x85\u2028\u2029\0]*?) *(?:(?<= )#[^\n\x85\u2028\u2029\0]*)?(?=[\n\x85\u2028\u2029\0])")
 _ANCHOR = re.compile(r"[0-9A-Za-z_-]+")
 _ESCAPE = re.compile(r'\\(?:[0abtnvfre "/\\N_LP\t]|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[\n\x85  ])')
 
@@ -177,6 +333,8 @@ class _Yaml:
         self.out: list[str] = []
         self.indent, self.indents = -1, []
         self.flow: list[str] = []
+        self.handles: set[str | None] = set()  # of tags, declared for this document
+        self.version = False
         self.key_allowed = True
         self.keys: dict[int, tuple[int, bool, int, int, int]] = {}  # by flow depth: token, required, pos, line, column
 
@@ -249,10 +407,18 @@ class _Yaml:
     def one(self, c: str, after: str) -> None:
         text, start_of_line = self.text, self.column == 0
         if start_of_line and c == "%":
+            if self.out[-1:] != ["DIRECTIVE"]:
+                self.handles, self.version = set(), False
             self.document_mark("DIRECTIVE")
-            while text[self.pos] not in _ENDS:
-                self.pos += 1
+            m = _DIRECTIVE.match(text, self.pos)
+            if m is None or m["major"] and (m["major"] != "1" or self.version) or m["handle"] and m["handle"] in self.handles:
+                raise _NotYaml
+            self.version = self.version or m["major"] is not None
+            self.handles.add(m["handle"])
+            self.pos = m.end()
         elif start_of_line and text[self.pos : self.pos + 3] in ("---", "...") and text[self.pos + 3] in _BLANK:
+            if self.out[-1:] != ["DIRECTIVE"]:
+                self.handles = set()
             self.document_mark("DOC_START" if c == "-" else "DOC_END")
             self.pos += 3
         elif c in "[{":
@@ -305,7 +471,8 @@ class _Yaml:
             self.key_allowed = False
             m = re.compile(r"!<[^>\s]+>|![^\s,\[\]{}]*").match(text, self.pos)
             self.pos = m.end()
-            if text[self.pos] not in _BLANK:
+            handle = re.match(r"![-\w]+!", m.group())
+            if text[self.pos] not in _BLANK or handle and handle.group() not in self.handles:
                 raise _NotYaml
             self.out.append("TAG")
         elif c in "|>" and not self.flow:
@@ -471,8 +638,58 @@ def yaml_kinds(text: str) -> list[str] | None:
 # ---- PHP ----
 
 
+_EQUAL, _COMPARE = frozenset(("==", "!=", "<>", "===", "!==", "<=>")), frozenset(("<", "<=", ">", ">="))
+#: What may stand between two operators of one kind without ending the chain: operands, and operators that bind closer.
+_CLOSER = frozenset("+ - * / % . ** << >> ! ~ @ CAST ++ -- -> ?-> :: instanceof new clone NAME QNAME VAR INT FLOAT STR MAGIC static $ isset empty ENC_VAR array list \\ class".split())
+_LOWER_THAN_TERNARY = frozenset("& | ^ && || ??".split())
+
+
+def _chains(kinds: list[str]) -> bool:
+    """Whether no two comparisons, and no two ternaries, stand in one chain without brackets, which PHP has no reading for."""
+    # of each open bracket: an equality was seen, a comparison was, and of each open ternary the kind of the one that ended
+    levels = [[False, False, [""]]]
+    for i, k in enumerate(kinds):
+        level = levels[-1]
+        if k in _EQUAL:
+            if level[0]:
+                return False
+            level[0], level[1] = True, False
+        elif k in _COMPARE:
+            if level[1]:
+                return False
+            level[1] = True
+        elif k in ("(", "[", "{", "#[", "ENC_OPEN", "DQ_OPEN"):
+            levels.append([False, False, [""]])
+        elif k in (")", "]", "}", "ENC_CLOSE", "DQ_CLOSE"):
+            if len(levels) > 1:
+                levels.pop()
+        elif k == "?":
+            level[0] = level[1] = False
+            kind, ended = "short" if kinds[i + 1 : i + 2] == [":"] else "full", level[2][-1]
+            if ended and (ended, kind) != ("short", "short"):
+                return False
+            level[2].append(kind)
+            level[2].append("")
+        elif k == ":":
+            level[0] = level[1] = False
+            if len(level[2]) > 1:
+                level[2].pop()
+                level[2][-2:] = [level[2][-1]]
+            else:
+                level[2] = [""]
+        elif k in _LOWER_THAN_TERNARY:
+            level[0] = level[1] = False
+        elif k not in _CLOSER:
+            level[0] = level[1] = False
+            level[2] = [""]
+    return True
+
+
 def php_kinds(text: str) -> list[str] | None:
-    """None also for a text without any opening tag."""
+    """None also for a text without any opening tag, and for casts that the language has no more."""
     lexer = php_lexer.Lexer(text)
-    kinds = [k for k, _, _ in lexer.run()]
-    return kinds if lexer.opened and "BAD" not in kinds[-1:] else None
+    found = lexer.run()
+    kinds = [k for k, _, _ in found]
+    if not lexer.opened or "BAD" in kinds[-1:] or any(k == "CAST" and t[1:-1].strip(" \t").lower() in ("unset", "real") for k, t, _ in found):
+        return None
+    return kinds if _chains(kinds) else None

@@ -49,7 +49,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return rates(p3_files(spark, folder), table(spark, folder, "documents"))
+    return rates(check_syntax(table(spark, folder, "documents"), keep=["repo"]))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
