@@ -60,12 +60,27 @@ def test_chain_star_self_link_and_null_ids(spark):
     check(spark, rows)
 
 
+def test_lone_nodes_and_names_that_share_a_hash(spark, monkeypatch):
+    import codestrata.operators.hierarchy as module
+
+    check(spark, [("s", "alone", None), ("s", "a", "only mentioned"), (None, "x", None), ("t", "alone", None), ("t", "b", "alone")])
+    real, calls = module.F.xxhash64, []
+
+    def first_seed_collides(*columns):
+        calls.append(1)
+        return module.F.lit(7).cast("long") if len(calls) <= 3 else real(*columns)
+
+    monkeypatch.setattr(module.F, "xxhash64", first_seed_collides)
+    forest = decompose(spark.createDataFrame([("s", "a", None), ("s", "b", "a"), ("s", "c", "a")], "scope string, id string, parent string"))
+    assert {(r.id, r.root, r.depth) for r in forest.nodes.collect()} == {("a", "a", 0), ("b", "a", 1), ("c", "a", 1)} and len(calls) > 3
+
+
 def test_empty(spark):
     forest = decompose(spark.createDataFrame([], "scope string, id string, parent string, root string, size int"))
     assert forest.nodes.count() == 0 and forest.paths().count() == 0 and forest.descendants().count() == 0
 
 
 def test_climb_separates_cycles(spark):
-    reached, lost = climb(spark.createDataFrame([(1, None), (2, 1), (3, 4), (4, 3), (5, 4)], "v long, p long"), sizes=True)
-    assert {(r.v, r.top, r.steps, r["size"]) for r in reached.collect()} == {(1, 1, 0, 2), (2, 1, 1, 1)}
+    reached, lost = climb(spark.createDataFrame([(1, None, 1), (2, 1, 5), (3, 4, 1), (4, 3, 1), (5, 4, 1)], "v long, p long, weight long"), sizes=True)
+    assert {(r.v, r.top, r.steps, r["size"]) for r in reached.collect()} == {(1, 1, 0, 6), (2, 1, 1, 5)}
     assert {r.v for r in on_cycles(lost).collect()} == {3, 4}
