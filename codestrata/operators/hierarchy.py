@@ -18,6 +18,8 @@ from codestrata.session import cut
 
 #: Siblings are numbered within so many buckets a parent, so that one parent's children are never one task's work.
 SIBLING_BUCKETS = 1024
+#: What a round leaves is held in so many rows a partition, but in no more partitions than a shuffle has.
+ROWS_A_PARTITION = 200_000
 
 
 def climb(links: DataFrame, sums: Sequence[str] = (), sizes: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -37,7 +39,8 @@ def climb(links: DataFrame, sums: Sequence[str] = (), sizes: bool = False) -> tu
             *[F.when(top, 0).otherwise(F.col(c)).cast("long").alias(c) for c in sums], *size,
         )
     )
-    open_rows, stride = state.where("NOT done").count(), 1
+    all_rows, open_rows = state.agg(F.count("*"), F.count_if(~F.col("done"))).first()
+    width, stride = min(width, all_rows // ROWS_A_PARTITION + 1), 1
     while open_rows:
         now = state
         if sizes:  # v's subtree so far reaches stride - 1 levels down; the subtrees stride levels below add to it
@@ -63,6 +66,7 @@ def on_cycles(ahead: DataFrame) -> DataFrame:
     it is the cycles' nodes exactly, for a stride turns each cycle onto itself.
     """
     pairs = cut(ahead)
+    width = min(int(ahead.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // ROWS_A_PARTITION + 1)
     left = None
     while True:
         image = pairs.select(F.col("a").alias("v")).distinct()
@@ -70,7 +74,7 @@ def on_cycles(ahead: DataFrame) -> DataFrame:
         if now == left or now == 0:
             return image
         left = now
-        pairs = cut(pairs.join(pairs.select(F.col("v").alias("a"), F.col("a").alias("a2")), "a").select("v", F.col("a2").alias("a")))
+        pairs = cut(pairs.join(pairs.select(F.col("v").alias("a"), F.col("a").alias("a2")), "a").select("v", F.col("a2").alias("a")).coalesce(width))
 
 
 def number_nodes(given: DataFrame) -> DataFrame:

@@ -12,11 +12,17 @@ from codestrata.operators.latest import latest
 from codestrata.tables import table
 
 
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def class_name(name: Column) -> Column:
     """ASCII lower case, no white space around, single backslashes, none in front."""
-    trimmed = F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
-    single = F.regexp_replace(F.regexp_replace(trimmed, r"\\+", r"\\"), r"^\\", "")
-    return F.translate(single, string.ascii_uppercase, string.ascii_lowercase)
+    trimmed = F.btrim(name, F.lit(WHITE))
+    single = F.when(F.contains(trimmed, F.lit("\\\\")), F.regexp_replace(trimmed, r"\\+", r"\\")).otherwise(trimmed)
+    bare = F.ltrim(single, F.lit("\\"))
+    ascii_only = F.octet_length(bare) == F.length(bare)
+    return F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def class_forest(spark: SparkSession, folder: str) -> Forest:
