@@ -8,23 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codestrata.operators.graph import connected_components
 from codestrata.session import cut
 
 #: Types in the order in which a tie of counts is decided.
 TYPES = ("integer", "number", "string", "boolean", "object", "array")
+#: Up to so many starts and endings of fields (some 100 bytes each) are sent to every task; more are joined by file and field.
+SENT_EVENTS = 200_000
+#: A steady table has so many fields at most: its columns are part of the plan.
+MOST_FIELDS = 5_000
 _END = "codestrata: end of payload"
 
 
-def json_object(text: Column) -> Column:
-    """`text` as a variant if it is exactly one JSON object, else null.
+def _wrapped(text: Column) -> Column:
+    """`text` and a mark in one array: Spark's parser stops after the first value and would take trailing rubbish; inside
+    an array it can't."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
 
-    Spark's parser stops after the first value and would take trailing rubbish; inside an array it can't. Objects that
-    name a key twice count as no JSON.
-    """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+
+def _is_object(wrapped: Column, text: Column) -> Column:
+    """Whether exactly one value was wrapped, and an object: the only JSON value that begins with a brace."""
     alone = F.try_variant_get(wrapped, "$[1]", "string").eqNullSafe(F.lit(_END)) & F.try_variant_get(wrapped, "$[2]", "variant").isNull()
-    value = F.try_variant_get(wrapped, "$[0]", "variant")
-    return F.when(alone & F.schema_of_variant(value).startswith("OBJECT"), value)
+    return alone & F.startswith(F.ltrim(text, F.lit(" \t\n\r")), F.lit("{"))
+
+
+def json_object(text: Column) -> Column:
+    """`text` as a variant if it is exactly one JSON object, else null. Objects that name a key twice count as no JSON."""
+    wrapped = _wrapped(text)
+    return F.when(_is_object(wrapped, text), F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
 def variant_type(value: Column) -> Column:
@@ -42,15 +53,21 @@ def variant_type(value: Column) -> Column:
     )
 
 
-def fields_of(records: DataFrame, payload: str, part: str) -> DataFrame:
-    """The other columns of `records` with `field`, `type`, `text` and `value` of each non-null entry of the object
-    `part` of its JSON `payload`. Payloads that are no JSON object, and parts that are none, give no rows. A dot in a
-    field's name is part of the name. `value` is the number that an entry is or, as a string, spells."""
+def fields_of(records: DataFrame, payload: str, part: str, names: Mapping[str, str] = {}) -> DataFrame:  # noqa: B006
+    """The other columns of `records`, the texts of the payload's own entries `names` (column -> entry), and `field`,
+    `type`, `text` and `value` of each non-null entry of the object `part` of its JSON `payload`.
+
+    Payloads that are no JSON object, and parts that are none, give no rows. A dot in a field's name is part of the name.
+    `value` is the number that an entry is or, as a string, spells. Each payload is parsed once.
+    """
     others = [c for c in records.columns if c != payload]
-    parsed = records.select(*others, json_object(F.col(payload)).alias("_doc"))
-    inner = parsed.select(*others, F.try_variant_get("_doc", f"$.{part}", "variant").alias("_part")).where(F.schema_of_variant("_part").startswith("OBJECT"))
+    parsed = records.select(*others, payload, _wrapped(F.col(payload)).alias("_all"))
+    inner = parsed.where(_is_object(F.col("_all"), F.col(payload))).select(
+        *others, *[F.try_variant_get("_all", f"$[0].{e}", "string").alias(c) for c, e in names.items()], F.try_variant_get("_all", f"$[0].{part}", "variant").alias("_part")
+    )
+    others += list(names)
     entries = inner.sparkSession.tvf.variant_explode(F.col("_part").outer()).select(F.col("key").alias("_key"), F.col("value").alias("_value"))
-    spread = inner.lateralJoin(entries)
+    spread = inner.lateralJoin(entries).where("_key IS NOT NULL")  # an array's entries have no keys
     kind = variant_type(F.col("_value"))
     text = F.when(F.schema_of_variant("_value").rlike("^(OBJECT|ARRAY)"), F.to_json("_value")).otherwise(F.try_variant_get("_value", "$", "string"))
     rows = spread.select(*others, F.col("_key").alias("field"), kind.alias("type"), text.alias("text")).where("type IS NOT NULL")
@@ -113,6 +130,8 @@ def changes(files: DataFrame, uses: DataFrame, values: DataFrame, least_common:
     # gone fields are looked up in the file before, new ones in the file itself, in one pass over the values
     ends = gone.select("*", F.col("file_before").alias("look"), F.lit("g").alias("mark")).unionByName(new.select("*", F.col("file").alias("look"), F.lit("n").alias("mark")))
     ends = ends.select(F.col("producer").alias("ep"), "look", F.col("field").alias("ef"), "seq", F.col("file").alias("here"), "mark", F.coalesce("old", "new").alias("kind"))
+    if ends.limit(SENT_EVENTS + 1).count() <= SENT_EVENTS:
+        ends = F.broadcast(ends)
     wanted = values.where("item IS NOT NULL").join(
         ends, F.col("producer").eqNullSafe(F.col("ep")) & (F.col("file") == F.col("look")) & (F.col("field") == F.col("ef"))
     )
@@ -147,6 +166,37 @@ def changes(files: DataFrame, uses: DataFrame, values: DataFrame, least_common:
     )
 
 
+def alias_table(log: DataFrame, uses: DataFrame) -> DataFrame:
+    """(`field`, `column`, `kind`, `uses`): which steady column each field of a catalogue belongs to, and its Spark type.
+
+    Fields that the log ever calls renames of each other, directly or through others, are one column. It is named after
+    the field of them that is used most, in lower case with single underscores (where two columns would have one name, the
+    second gets __2), and has the type of most of their uses; objects and arrays are strings.
+    """
+    counts = cut(uses.groupBy("field", "type").agg(F.sum("uses").alias("n")))
+    pairs = log.where("change = 'renamed'").select(F.col("field").alias("a"), F.col("new_field").alias("b"))
+    names = counts.select(F.col("field").alias("a"), F.lit(None).cast("string").alias("b"))
+    joined = connected_components(pairs.unionByName(names)).select(F.col("node").alias("field"), "component")
+    per_field = counts.groupBy("field").agg(F.sum("n").alias("uses")).join(joined, "field")
+    rank = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type"))
+    per_type = counts.join(joined, "field").groupBy("component", "type").agg(F.sum("n").alias("n"))
+    kind = F.max_by("type", F.struct("n", -rank)).alias("type")
+    columns = per_field.groupBy("component").agg(F.max_by("field", F.struct("uses", "field")).alias("named")).join(per_type.groupBy("component").agg(kind), "component")
+    snake = F.lower(F.regexp_replace(F.regexp_replace("named", "([a-z0-9])([A-Z])", "$1_$2"), "[^A-Za-z0-9]+", "_"))
+    again = F.row_number().over(Window.partitionBy(snake).orderBy("named"))
+    spark_type = F.when(F.col("type") == "integer", "bigint").when(F.col("type") == "number", "double").when(F.col("type") == "boolean", "boolean").otherwise("string")
+    columns = columns.select("component", F.when(again == 1, snake).otherwise(F.concat_ws("__", snake, again)).alias("column"), spark_type.alias("kind"))
+    return per_field.join(columns, "component").select("field", "column", "kind", "uses")
+
+
+def aliases_of(table: DataFrame) -> dict[str, tuple[str, str]]:
+    """An alias table as `steady` takes it, the fields used most first."""
+    rows = table.orderBy(F.desc("uses"), "field").limit(MOST_FIELDS + 1).collect()
+    if len(rows) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} fields: choose those that the table should have")
+    return {r["field"]: (r["column"], r["kind"]) for r in rows}
+
+
 def steady(entries: DataFrame, keys: list[str], aliases: Mapping[str, tuple[str, str]], records: DataFrame | None = None) -> DataFrame:
     """One table with steady columns: `keys` (one row each) and the columns that `aliases` maps field names to.
 
@@ -162,8 +212,8 @@ def steady(entries: DataFrame, keys: list[str], aliases: Mapping[str, tuple[str,
     aggs, failed = [], []
     for column, kind in columns.items():
         names = [f for f, (c, _) in aliases.items() if c == column]
-        cast = F.trim("text").try_cast("double")
-        whole = cast.try_cast(kind) if kind in ("bigint", "int") else F.col("text").try_cast(kind)
+        number = F.trim("text").try_cast("double")
+        whole = number.try_cast(kind) if kind in ("bigint", "int") else number if kind == "double" else F.col("text").try_cast(kind)
         parts = [F.max(F.when(F.col("field") == f, whole)) for f in names]
         aggs.append(F.coalesce(*parts).alias(column))
         failed += [F.max(F.when((F.col("field") == f) & whole.isNull(), F.lit(f))) for f in names]

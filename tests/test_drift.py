@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from codestrata.operators.drift import changes, fields_of, json_object, lifespans, steady
+from codestrata.operators.drift import alias_table, aliases_of, changes, fields_of, json_object, lifespans, steady
 from codestrata.plans.drift import p2_table
 
 
@@ -67,9 +67,30 @@ def test_steady_table_keeps_what_has_no_alias(spark):
 
 def test_table_has_every_record(spark, tmp_path):
     payloads = [m(loc=3), m(), m(loc=None), '{"name": "n"}', "no json", "[1]", None]
-    rows = [(n, 1, "s" if n else None, p) for n, p in enumerate(payloads)]
-    spark.createDataFrame(rows, "record_id long, export_id long, stream string, payload string").write.parquet(f"{tmp_path}/raw_exports.parquet")
+    rows = [(n, 1, "s" if n else None, 5, p) for n, p in enumerate(payloads)]
+    spark.createDataFrame(rows, "record_id long, export_id long, stream string, exported_at int, payload string").write.parquet(f"{tmp_path}/raw_exports.parquet")
     got = {r.record_id: r for r in p2_table(spark, str(tmp_path)).collect()}
     assert [got[n].loc for n in range(7)] == [3, *[None] * 6]
     assert [got[n].is_object for n in range(7)] == [True] * 4 + [False] * 3
     assert all(got[n].other == {} and got[n].not_cast == [] for n in range(7)) and got[3].name == "n"
+
+
+def test_aliases_come_from_renames(spark):
+    names = ("a", "b", "c")
+    rows = [("p", 1, 1, n, m(classLoc=i, size=i / 2, tag="x")) for i, n in enumerate(names)]
+    rows += [("p", 2, 2, n, m(**{"class.lines": i, "size": i / 2, "Tag": "y", "flag": True})) for i, n in enumerate(names)]
+    rows += [("q", 3, 1, n, m(**{"class.lines": i})) for i, n in enumerate(names)] + [("q", 4, 2, n, m(cl=str(i), tag_2="z")) for i, n in enumerate(names)]
+    rows += [("r", 5, 1, "a", m(classLoc=9, tag_2="z"))]
+    files, uses, entries = _doc(spark, rows)
+    table = alias_table(changes(files, uses, entries), uses)
+    got = {r.field: (r.column, r.kind) for r in table.collect()}
+    assert got["class.lines"] == got["classLoc"] == got["cl"] == ("class_lines", "bigint")  # the most used name of the three
+    assert got["size"] == ("size", "double") and got["flag"] == ("flag", "boolean")
+    assert {got["tag"], got["Tag"]} == {("tag", "string"), ("tag__2", "string")} and got["tag_2"] == ("tag_2", "string")
+    wide = steady(entries, ["file", "item"], aliases_of(table)).where("item = 'b'").collect()
+    assert {r.file: r.class_lines for r in wide} == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
+def test_an_array_s_entries_are_no_fields(spark):
+    _, _, entries = _doc(spark, [("p", 1, 1, "x", '{"metrics":[{"a":1}]}'), ("p", 1, 1, "y", '{"metrics":{}}'), ("p", 1, 1, "z", '{"metrics":{"a":null}}')])
+    assert entries.count() == 0
