@@ -105,3 +105,27 @@ def substitute(template: str, bindings: Column) -> Column:
     for n in re.findall(r"\{([A-Za-z_]\w*)\}", template):
         out = F.replace(out, F.lit("{" + n + "}"), bindings[n])
     return out
+
+
+# fixed values: the names of the language's own classes, as patterns over families of names
+_BUILTIN = "|".join((
+    r"(Logic|BadFunctionCall|BadMethodCall|Domain|InvalidArgument|Length|OutOfRange|Runtime|OutOfBounds|Overflow|Range|Underflow|UnexpectedValue|Json|ClosedGenerator|Error|PDO|RequestParseBody)?Exception",
+    r"(Arithmetic|DivisionByZero|Assertion|Compile|Parse|Type|ArgumentCount|Value|UnhandledMatch|Fiber)?Error",
+    r"stdClass|Closure|Generator|Fiber|WeakReference|WeakMap|Throwable|Stringable|ArrayAccess|Countable|Serializable|JsonSerializable|Traversable|BackedEnum|UnitEnum",
+    r"Attribute|AllowDynamicProperties|Override|SensitiveParameter(Value)?|ReturnTypeWillChange|Deprecated|NoDiscard|Directory|StreamBucket|php_user_filter|__PHP_Incomplete_Class|PropertyHookType|RoundingMode|DelayedTargetValidation",
+    r"(Append|Array|Caching|CallbackFilter|Directory|Empty|Filesystem|Filter|Glob|Infinite|Internal|Iterator|Limit|Multiple|NoRewind|Outer|Parent|Recursive(Array|Caching|CallbackFilter|Directory|Filter|Iterator|Regex|Tree)?|Regex|Seekable)?Iterator|IteratorAggregate",
+    r"ArrayObject|Spl(DoublyLinkedList|FixedArray|(Max|Min)?Heap|ObjectStorage|PriorityQueue|Queue|Stack|(Temp)?FileObject|FileInfo|Observer|Subject)",
+    r"Date(Time(Immutable|Interface|Zone)?|Interval|Period|Error|Exception|(Object|Range)Error|Invalid(Operation|TimeZone)Exception|Malformed(IntervalString|PeriodString|String)Exception)",
+    r"Reflection[A-Za-z]*|Reflector|PDO(Statement|Row)?|(Random|Dom|Filter|Pdo)\\.+",
+))
+BUILTIN = rf"^\\?({_BUILTIN})$"
+
+
+def is_builtin(name: Column) -> Column:
+    """Whether a name, with or without a leading backslash, is one of the language's own classes; false for null."""
+    return F.coalesce(name.rlike(BUILTIN), F.lit(False))
+
+
+def under(name: Column, prefixes: Iterable[str]) -> Column:
+    """Whether a class is in one of the namespaces `prefixes` or below; false for null names and no prefixes."""
+    return any_of([F.startswith(name, F.lit(p.strip("\\") + "\\")) for p in prefixes])

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codestrata.functions.matching import is_builtin, under
+from codestrata.operators.hierarchy import climb, number_nodes, on_cycles
 from codestrata.operators.rollup import ancestors
 from codestrata.session import cut
 
@@ -24,21 +26,23 @@ def distinct_edges(edges: DataFrame, keys: Sequence[str] = ("project",)) -> Data
     return named.select(*keys, "src_class", "dst_class").distinct()
 
 
-def without_builtins(edges: DataFrame, builtins: Sequence[str]) -> DataFrame:
+def without_builtins(edges: DataFrame) -> DataFrame:
     """Edges without those to the language's own classes, but with every `extends`."""
-    return edges.where(~F.coalesce(F.col("dst_class").isin(*builtins), F.lit(False)) | F.col("dep_type").eqNullSafe("extends"))
+    return edges.where(~is_builtin(F.col("dst_class")) | F.col("dep_type").eqNullSafe("extends"))
 
 
-def class_coupling(edges: DataFrame) -> DataFrame:
+def class_coupling(edges: DataFrame, framework: Sequence[str] = ()) -> DataFrame:
     """Per project and class: `ce`, `ca` (distinct targets, sources), `cbo` (distinct classes on either side),
-    `instability` ce/(ca+ce), and `ce_packages`, the distinct top-level namespaces of targets other than its own."""
+    `instability` ce/(ca+ce), `ce_packages`, the distinct top-level namespaces of targets other than its own,
+    `ce_framework`, the targets in the namespaces `framework`, and `cbo_app`, the coupled classes outside them."""
     pairs = distinct_edges(edges)
     top = lambda c: F.substring_index(c, "\\", 1)
     out = pairs.select("project", F.col("src_class").alias("class"), F.col("dst_class").alias("other"), F.lit(1).alias("o"), F.lit(0).alias("i"))
     into = pairs.select("project", F.col("dst_class").alias("class"), F.col("src_class").alias("other"), F.lit(0).alias("o"), F.lit(1).alias("i"))
     per_other = out.unionByName(into).groupBy("project", "class", "other").agg(F.max("o").alias("o"), F.max("i").alias("i"))
     packages = F.countDistinct(F.when((F.col("o") == 1) & (top(F.col("other")) != top(F.col("class"))), top(F.col("other"))))
-    sums = per_other.groupBy("project", "class").agg(F.sum("o").alias("ce"), F.sum("i").alias("ca"), F.count("*").alias("cbo"), packages.alias("ce_packages"))
+    framed = under(F.col("other"), framework)
+    sums = per_other.groupBy("project", "class").agg(F.sum("o").alias("ce"), F.sum("i").alias("ca"), F.count("*").alias("cbo"), packages.alias("ce_packages"), F.count_if((F.col("o") == 1) & framed).alias("ce_framework"), F.count_if(~framed).alias("cbo_app"))
     return sums.withColumn("instability", F.coalesce(F.try_divide(F.col("ce").cast("double"), F.col("ca") + F.col("ce")), F.lit(0.0)))
 
 
@@ -295,10 +299,35 @@ def shortest_cycles(edges: DataFrame, members: DataFrame, src: str = "src", dst:
     return held.join(closed, "component")
 
 
-def children(edges: DataFrame) -> DataFrame:
-    """NOC: per project and class the number of distinct classes that extend it directly."""
+def children(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """NOC: per project and class of `classes` the number of distinct classes that extend it directly, 0 if none does."""
     kids = edges.where("dep_type = 'extends' AND src_class <> dst_class").select("project", "dst_class", "src_class").distinct()
-    return kids.groupBy("project", F.col("dst_class").alias("class")).agg(F.count("*").alias("noc"))
+    counts = kids.groupBy(F.col("project").alias("kp"), F.col("dst_class").alias("kc")).agg(F.count("*").alias("n"))
+    mine = classes.select("project", "class").distinct()
+    return mine.join(counts, F.col("project").eqNullSafe(F.col("kp")) & (F.col("class") == F.col("kc")), "left").select("project", "class", F.coalesce("n", F.lit(0)).alias("noc"))
+
+
+def inheritance_depth(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """DIT: per project and class of `classes` the number of `extends` steps up to the last known parent, 0 without one.
+
+    Of several parents the first by name counts. A class of the language ends the way, whatever it extends itself; so does
+    a parent without a parent of its own, declared or not. A cycle is cut before its first member by name: the class that
+    extends it has 1, and so on around the cycle; what leads into the cycle goes on counting from there.
+    """
+    links = edges.where("dep_type = 'extends' AND src_class IS NOT NULL AND dst_class IS NOT NULL").groupBy("project", "src_class").agg(F.min("dst_class").alias("parent"))
+    parent = F.when(is_builtin(F.col("parent")), F.concat(F.lit("\0"), "parent")).otherwise(F.col("parent"))  # not the class of that name here
+    nodes = number_nodes(links.select(F.col("project").alias("scope"), F.col("src_class").alias("id"), parent.alias("parent")))
+    reached, lost = climb(nodes.select("v", "p"))
+    circle = cut(nodes.join(on_cycles(lost), "v").select("v", "p", "id"))
+    names = connected_components(circle.select(F.col("v").alias("a"), F.col("p").alias("b")))
+    first = circle.join(names.withColumnRenamed("node", "v"), "v").groupBy("component").agg(F.min(F.struct("id", "v")).alias("m")).select(F.col("m.v").alias("p"))
+    broken = circle.join(first, "p").select("v", F.lit(True).alias("broken"))  # on the cycle and just before its first member
+    rest = nodes.select("v", "p").join(lost.select("v"), "v").join(broken, "v", "left")
+    unwound, _ = climb(rest.select("v", F.when(F.col("broken").isNull(), F.col("p")).alias("p")))
+    depths = reached.select("v", F.col("steps").alias("dit")).unionByName(unwound.select("v", (F.col("steps") + 1).alias("dit")))
+    known = nodes.where("declared").join(depths, "v").select(F.col("scope").alias("kp"), F.col("id").alias("kc"), "dit")
+    mine = classes.select("project", "class").distinct()
+    return mine.join(known, F.col("project").eqNullSafe(F.col("kp")) & (F.col("class") == F.col("kc")), "left").select("project", "class", F.coalesce("dit", F.lit(0).cast("long")).alias("dit"))
 
 
 def assign_layers(classes: DataFrame, layers: Sequence[tuple[str, Column]]) -> DataFrame:

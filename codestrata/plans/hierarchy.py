@@ -49,12 +49,12 @@ def p4_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return class_forest(spark, folder).descendants().select(F.col("scope").alias("project"), F.col("id").alias("fqcn"), "descendant", "below")
 
 
-_NAME = r"translate(regexp_replace(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\\+', '\\', 'g'), '^\\', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+NAME_SQL = r"translate(regexp_replace(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\\+', '\\', 'g'), '^\\', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BASE = (
     "WITH RECURSIVE d AS (SELECT project, "
-    + _NAME.format("fqcn")
+    + NAME_SQL.format("fqcn")
     + " AS c, nullif("
-    + _NAME.format("extends")
+    + NAME_SQL.format("extends")
     + """, '') AS e, recorded_at FROM class_decls WHERE fqcn IS NOT NULL),
 cur AS (SELECT project, c, e FROM d QUALIFY row_number() OVER (PARTITION BY project, c ORDER BY recorded_at DESC NULLS LAST, e DESC NULLS LAST) = 1),
 roots AS (SELECT project, c FROM cur WHERE e IS NULL UNION SELECT project, e FROM cur WHERE e IS NOT NULL AND (project, e) NOT IN (SELECT (project, c) FROM cur)),
