@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from codestrata.frontend.php_lexer import Lexer
+from codestrata.frontend.php_taint import injections, repeated
 
 NPATH_MOST = 1e9  # fixed value: paths are counted up to here
 _AND, _OR = ("&&", "and"), ("||", "or", "xor")
@@ -41,7 +42,7 @@ class Callable_:
     kind: str
     line: int
     end_line: int
-    parameters: list  # (name, type or '', promoted, default is bool)
+    parameters: list  # (name, type or '', promoted, line, marked as sensitive)
     returns: str
     body: list
     modifiers: tuple = ()
@@ -237,6 +238,8 @@ class Parser:
             else:
                 self.namespace = ""
             self.imports = {}
+            if self.kinds[j] not in (";", "{"):
+                raise Unreadable
             return (Statement("block", ln, bodies=[self.statements(j + 1, m[j])]), m[j] + 1) if self.kinds[j] == "{" else (None, j + 1)
         if k == "use" and not self.stack:
             return None, self.use(i)
@@ -254,6 +257,8 @@ class Parser:
         if k == "NAME" and self.kinds[i + 1] == ":" and self.kinds[i + 2] != ":":
             return None, i + 2
         j = self.until(i, end, (";",))
+        if j >= end:  # a statement that its block, or the file, cuts off
+            raise Unreadable
         kind = k if k in ("return", "throw", "break", "continue", "goto", "echo", "exit", "global", "unset") else "expr"
         a = i + (kind != "expr")
         self.nested(i, j)
@@ -264,6 +269,8 @@ class Parser:
 
     def use(self, i: int) -> int:
         end = self.until(i, len(self.toks), (";",))
+        if end >= len(self.toks):
+            raise Unreadable
         parts = [t for t in self.toks[i + 1 : end] if t[0] not in ("function", "const")]
         prefix, last = "", None
         for n, (kind, text, _) in enumerate(parts):
@@ -290,11 +297,12 @@ class Parser:
         return "".join(out), i
 
     def parameters(self, i: int) -> list:
-        out, end = [], self.match_of[i]
+        out, end, marked = [], self.match_of[i], False
         i += 1
         while i < end:
             if self.kinds[i] == "#[":
-                i = self.match_of[i] + 1
+                names = [t[1].lstrip("\\").lower() for t in self.toks[i + 1 : self.match_of[i]] if t[0] in ("NAME", "QNAME")]
+                marked, i = marked or "sensitiveparameter" in names, self.match_of[i] + 1
                 continue
             promoted = False
             while self.kinds[i] in _MODIFIERS:
@@ -307,8 +315,8 @@ class Parser:
             name = self.toks[i][1]
             stop = self.until(i, end, (",",))
             self.nested(i, stop)
-            out.append((name, kind, promoted, self.line(i)))
-            i = stop + 1
+            out.append((name, kind, promoted, self.line(i), marked))
+            marked, i = False, stop + 1
         return out
 
     def function(self, i: int, kind: str, modifiers: tuple) -> int:
@@ -594,7 +602,15 @@ class Measures:
         return block(self.c.body)
 
     def statements(self) -> int:
-        return sum(s.kind != "block" for s in self.walk())
+        """Statements, and each branch, case and handler of one."""
+        n = 0
+        for s in self.walk():
+            n += s.kind != "block"
+            if s.kind in ("if", "try"):
+                n += len(s.bodies) - 1 + (s.tail is not None)
+            elif s.kind == "switch":
+                n += len(s.bodies)
+        return n
 
     def halstead(self) -> dict[str, float]:
         ops, args, kinds, toks = Counter(), Counter(), self.p.kinds, self.p.toks
@@ -685,6 +701,7 @@ def class_values(p: Parser, c: Class_) -> dict[str, float]:
     accessor = lambda m: re.match(r"(get|is|has|set)[A-Z0-9_]", m.name) is not None and Measures(p, m).statements() <= 1
     getters = [m for m in methods if accessor(m) and not m.name.startswith("set")]
     setters = [m for m in methods if accessor(m) and m.name.startswith("set")]
+    promoted = [x for m in methods for x in m.parameters if x[2]]
     ctor = [m for m in methods if m.name.lower() == "__construct"]
     pub = [m for m in methods if sight(m) == "public"]
     pub_props = [x for x in c.properties if x[1] == "public"]
@@ -699,9 +716,10 @@ def class_values(p: Parser, c: Class_) -> dict[str, float]:
     out = {
         "lcom": lcom, "tcc": tcc, "lcc": lcc, "rfc": len(methods) + len(other), "rfc_own": len(methods), "rfc_external": len(other), "methodCountTotal": len(methods),
         "methodCount": len(methods) - len(getters) - len(setters) - len(ctor), "propertyCount": len(c.properties), "getterCount": len(getters), "setterCount": len(setters), "classLoc": c.end_line - c.line + 1,
-        "woc": 100.0 if not members else math.floor(100 * doing / members + 0.5), "isDataClass": float(len(methods) - len(getters) - len(setters) - len(ctor) == 0), "isReadonly": float("readonly" in c.modifiers),
+        "woc": 100.0 if not members else math.floor(100 * doing / members + 0.5), "isDataClass": float(len(methods) - len(getters) - len(setters) - len(ctor) == 0), "isReadonly": float("readonly" in c.modifiers), "members": members,
+        "isPromotedOnly": float(bool(c.properties) and len(promoted) == len(c.properties)), "isException": float(any(x.rpartition("\\")[2].endswith(("Exception", "Error")) for x in c.extends)),
         "isAbstract": float("abstract" in c.modifiers), "isInterface": float(c.kind == "interface"), "typeCoverage.pct": 100.0 if not total else round(100 * known / total, 2), "unusedPrivate": len(dead),
-        "wmc": sum(Measures(p, m).cyclomatic() for m in methods if m.body or m.span[1] > m.span[0]), "constructorParameters": len(ctor[0].parameters) if ctor else 0,
+        "wmc": sum(Measures(p, m).cyclomatic() for m in methods), "constructorParameters": len(ctor[0].parameters) if ctor else 0,
     }
     for what in ("public", "protected", "private"):
         out[f"methodCount.{what}"], out[f"propertyCount.{what}"] = sum(sight(m) == what for m in methods), sum(x[1] == what for x in c.properties)
@@ -725,8 +743,11 @@ _DEBUG = frozenset(("var_dump", "print_r", "var_export", "dd", "dump", "debug_pr
 _GLOBALS = frozenset(("$_GET", "$_POST", "$_REQUEST", "$_COOKIE", "$_SERVER", "$_FILES", "$_SESSION", "$_ENV", "$GLOBALS"))
 
 
-def entries(p: Parser) -> Iterator[tuple[str, int, str]]:
+def entries(p: Parser, tree: list[Statement]) -> Iterator[tuple[str, int, str]]:
     """(smell, line, detail) from tokens and statements."""
+    yield from injections(p)
+    for what, line in repeated(p, tree):
+        yield "identical_subexpression", line, what
     kinds, toks = p.kinds, p.toks
     for i, (k, t, line) in enumerate(toks):
         if k == "NAME" and t.lower() in _DEBUG and kinds[i + 1] == "(" and kinds[i - 1] not in ("->", "?->", "::", "function"):
@@ -752,9 +773,9 @@ def entries(p: Parser) -> Iterator[tuple[str, int, str]]:
         elif k in ("==", "===", "!=", "!==", "&&", "||", "-", "/", "%", "<", ">", "<=", ">=", "<=>", "and", "or", "xor"):
             a, b = operand(p, i, -1), operand(p, i, 1)
             if a and a == b:
-                yield "identical_subexpression", line, k
+                yield "identical_subexpression", line, f"identical_operands {k}"
     for c in p.callables:
-        for name, kind, _, line in c.parameters:
+        for name, kind, _, line, _ in c.parameters:
             if kind.lower().lstrip("?") == "bool":
                 yield "boolean_argument", line, name.lstrip("$")
 
@@ -774,11 +795,14 @@ def operand(p: Parser, i: int, step: int) -> tuple[str, ...]:
 
 
 _IGNORE = re.compile(r"@(?:\w+-)?ignore(?P<kind>-file|-next-line)?\s+(?P<selector>[\w.#*-]+)(?:\s+--\s*(?P<reason>.*))?")
-_THRESHOLD = re.compile(r"@(?:\w+-)?threshold\s+(?P<selector>[\w.#*-]+)\s+(?:warning=(?P<w>[\d.]+)|(?P<both>[\d.]+))?(?:\s*(?:error=(?P<e>[\d.]+)|(?P<second>[\d.]+)))?")
+_THRESHOLD = re.compile(r"@(?:\w+-)?threshold\s+(?P<selector>[\w.#*-]+)(?P<values>[ \t][^\n\r]*)?")
+_NUMBER = r"-?\d+(?:\.\d+)?"
+_VALUES = re.compile(rf"(?P<both>{_NUMBER})(?:\s+(?P<second>{_NUMBER}))?|(?=\S)(?:warning=(?P<w>{_NUMBER}))?\s*(?:error=(?P<e>{_NUMBER}))?")
 
 
 def directives(p: Parser) -> Iterator[tuple[str, int, dict[str, str]]]:
-    """(kind, line, details) of ignore and threshold comments; text in back-ticks is none."""
+    """(kind, line, details) of ignore and threshold comments; text in back-ticks is none. One number sets both thresholds;
+    a threshold without a number, or with anything else, is malformed."""
     for comment, line in p.comments:
         for n, part in enumerate(comment.split("\n")):
             part = re.sub(r"`[^`]*`", "", part)
@@ -786,16 +810,18 @@ def directives(p: Parser) -> Iterator[tuple[str, int, dict[str, str]]]:
                 kind = {"-file": "file", "-next-line": "next-line"}.get(m["kind"] or "", "symbol")
                 yield kind, line + n, {"selector": m["selector"], "reason": (m["reason"] or "").replace("*/", "").strip()}
             elif m := _THRESHOLD.search(part):
-                w, e = m["w"] or m["both"], m["e"] or m["second"]
-                if w or e:
-                    yield "threshold", line + n, {"selector": m["selector"], "warning": w or "", "error": e or (m["both"] if m["both"] and not m["second"] else "") or ""}
+                v = _VALUES.fullmatch((m["values"] or "").replace("*/", "").strip())
+                detail = {"selector": m["selector"], "warning": "", "error": "", "malformed": str(v is None).lower()}
+                if v:
+                    detail["warning"], detail["error"] = v["both"] or v["w"] or "", v["second"] or v["both"] or v["e"] or ""
+                yield "threshold", line + n, detail
 
 
 def facts(text: str) -> list[tuple[str, str, str, int, dict[str, float], dict[str, str]]]:
     """All rows of one file."""
     try:
         p = Parser(text)
-        p.file()
+        tree = p.file()
     except (Unreadable, IndexError, KeyError, RecursionError):
         return [("failure", "", "", 0, {}, {})]
     out = [("file", "", "", 1, {k: float(v) for k, v in file_values(text, p).items()}, {})]
@@ -813,9 +839,9 @@ def facts(text: str) -> list[tuple[str, str, str, int, dict[str, float], dict[st
             "mi": maintainability(h["halstead.volume"], ccn, statements), "isVoConstructor": c.name.lower() == "__construct" and not c.body and all(x[2] for x in c.parameters), **h,
         }
         out.append(("callable", f"{c.owner}::{c.name}", c.owner, c.line, {k: float(v) for k, v in value.items()}, {"kind": c.kind, "end_line": str(c.end_line)}))
-        for name, *_ in c.parameters:
-            out.append(("parameter", name.lstrip("$"), f"{c.owner}::{c.name}", c.line, {}, {}))
+        for name, _, _, line, marked in c.parameters:
+            out.append(("parameter", name.lstrip("$"), f"{c.owner}::{c.name}", line, {}, {"sensitive": str(marked).lower()}))
     out += [("edge", s, t, line, {}, {"dep_type": kind}) for s, t, kind, line in p.edges]
-    out += [("entry", kind, "", line, {}, {"detail": detail}) for kind, line, detail in entries(p)]
+    out += [("entry", kind, "", line, {}, {"detail": detail}) for kind, line, detail in entries(p, tree)]
     out += [("directive", kind, "", line, {}, detail) for kind, line, detail in directives(p)]
     return out

@@ -161,7 +161,7 @@ class Lexer:
 
     def quoted(self, pos: int, end: int, quote: str) -> int:
         """Interpolated text from `pos` up to `quote` (or to `end` for heredocs, whose quote is '')."""
-        text, stop = self.text, _STOP[quote]
+        text, stop, begin = self.text, _STOP[quote], pos
         self.tokens.append(("DQ_OPEN", quote, self.at(pos)))
         while True:
             m = stop.search(text, pos, end)
@@ -189,7 +189,7 @@ class Lexer:
                 pos = v.end()
             else:
                 pos += 1
-        self.tokens.append(("DQ_CLOSE", quote, self.at(min(pos, end))))
+        self.tokens.append(("DQ_CLOSE", text[begin : min(pos, end)], self.at(min(pos, end))))  # with the whole text
         return pos
 
     def heredoc(self, m: re.Match, end: int) -> int:

@@ -1,4 +1,4 @@
-"""Line counts, markers, smells and sensitive names in source text, as Spark columns."""
+"""Line counts, markers and sensitive names in source text, as Spark columns."""
 
 from __future__ import annotations
 
@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 SENSITIVE_WORDS = ("password", "passwd", "pwd", "secret", "credential", "credentials")
 KEY_QUALIFIERS = ("api", "secret", "private", "encryption", "signing", "auth", "access")
 TOKEN_QUALIFIERS = ("auth", "access", "bearer", "api", "refresh", "jwt")
-HARMLESS_AFTER = tuple(
-    """field column name label type length hash reset policy manager service provider format pattern regex rule input
-    param header validator checker encoder hasher min max expiry expires lifetime timeout prefix suffix path url file
-    storage handler factory builder generator upgrader verifier extractor error option config setting strength""".split()
-)
-HARMLESS_BEFORE = tuple(
-    """option config setting reset type error invalid event subject name field column url path cache storage format min
-    max default hashed encoded is has can should needs requires""".split()
-)
+HARMLESS_AFTER = (
+    "field", "column", "name", "label", "type", "length", "hash", "reset", "policy", "manager", "service", "provider", "format", "pattern", "regex", "rule", "input",
+    "param", "header", "validator", "checker", "encoder", "hasher", "min", "max", "expiry", "expires", "lifetime", "timeout", "prefix", "suffix", "path", "url", "file",
+    "storage", "handler", "factory", "builder", "generator", "upgrader", "verifier", "extractor", "error", "option", "config", "setting", "strength",
+)
+HARMLESS_BEFORE = (
+    "option", "config", "setting", "reset", "type", "error", "invalid", "event", "subject", "name", "field", "column", "url", "path", "cache", "storage", "format", "min",
+    "max", "default", "hashed", "encoded", "is", "has", "can", "should", "needs", "requires",
+)
 
 
 def lines_of(text: Column) -> Column:
@@ -50,33 +50,6 @@ def is_generated(text: Column) -> Column:
     return F.coalesce(F.substring(text, 1, 2048).rlike(r"(?im)(^\s*(//|#|/\*|\*)|/\*).*@generated\b"), F.lit(False))
 
 
-#: Smell name -> (pattern of a line, severity: E error, W warning). The names of debugging functions are fixed values.
-SMELLS = {
-    "boolean_argument": (r"\bfunction\b[^(]*\([^)]*\bbool\s+\$[A-Za-z_]", "W"),
-    "count_in_loop": (r"\b(for|while)\s*\(.*\b(count|sizeof)\s*\(", "W"),
-    "debug_code": (r"\b(var_dump|print_r|var_export|dd|dump|debug_print_backtrace|debug_zval_dump)\s*\(", "E"),
-    "empty_catch": (r"\bcatch\s*\([^)]*\)\s*\{\s*\}", "E"),
-    "error_suppression": (r"(^|[=(,;\s])@[A-Za-z_$]", "W"),
-    "eval": (r"\beval\s*\(", "E"),
-    "exit": (r"\b(exit|die)\b\s*[(;]", "W"),
-    "goto": (r"\bgoto\s+[A-Za-z_]", "E"),
-    "superglobals": (r"\$(_GET|_POST|_REQUEST|_COOKIE|_SERVER|_FILES|_SESSION|_ENV|GLOBALS)\b", "W"),
-}
-
-# fixed values: the inputs, the sinks and what makes input harmless
-_INPUT = r"\$(_GET|_POST|_REQUEST|_COOKIE)\b"
-INJECTIONS = {
-    "sql_injection": (r"(?i)\b(select|insert|update|delete)\b.*" + _INPUT + r"|\b(mysql_query|mysqli_query|pg_query|pg_query_params|sqlite_query)\s*\(.*" + _INPUT, r"\bintval\s*\("),
-    "xss": (r"\b(echo|print)\b.*" + _INPUT, r"\b(htmlspecialchars|htmlentities|strip_tags|intval)\s*\("),
-    "command_injection": (r"\b(exec|system|passthru|shell_exec|proc_open|popen)\s*\(.*" + _INPUT, r"\b(escapeshellarg|escapeshellcmd)\s*\("),
-}
-
-
-def injection(line: Column, kind: str) -> Column:
-    sink, harmless = INJECTIONS[kind]
-    return line.rlike(sink) & ~line.rlike(harmless)
-
-
 def name_words(name: Column) -> Column:
     """camelCase, PascalCase and snake_case names as lower-case words."""
     snake = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2"), r"([A-Z]+)([A-Z][a-z])", "$1_$2")

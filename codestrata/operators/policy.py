@@ -226,11 +226,45 @@ def uncovered(run_scope: DataFrame, recorded_scope: DataFrame) -> DataFrame:
 
 
 def verdict(findings: DataFrame, fail_on: str = "error", complete: bool = True, config_channels: Sequence[str] = ()) -> DataFrame:
-    """One row, `exit_code`: 4 for an incomplete run, 2 for a configuration error or an error at `fail_on`, 1 for a
-    finding at or above `fail_on` that is only a warning, else 0."""
-    level = {"error": 2, "warning": 1, "info": 0}[fail_on]
+    """One row, `exit_code`: 4 for an incomplete run, else 2 for a configuration error or an error, 1 for a warning, if
+    that is at or above `fail_on` (error, warning, or none: only configuration errors count), else 0."""
+    if fail_on not in ("error", "warning", "none"):
+        raise ValueError(f"fail_on is error, warning or none, not {fail_on!r}")
+    level = {"error": 2, "warning": 1, "none": 3}[fail_on]
     worst = F.max(F.when(F.col("severity") == "error", 2).when(F.col("severity") == "warning", 1).otherwise(0))
     config = F.coalesce(F.max(F.col("channel").isin(*config_channels).cast("int")), F.lit(0))
     row = findings.agg(worst.alias("worst"), config.alias("config"))
-    code = F.when(F.lit(not complete), 4).when(F.col("config") > 0, 2).when(F.col("worst") >= level, F.when(F.col("worst") == 2, 2).otherwise(1)).otherwise(0)
+    code = F.when(F.lit(not complete), 4).when(F.col("config") > 0, 2).when(F.col("worst") >= level, F.col("worst")).otherwise(0)
     return row.select(code.alias("exit_code"))
+
+
+def diagnose(directives: DataFrame, channels: DataFrame, unused: DataFrame | None = None) -> DataFrame:
+    """What is wrong with directives: `directive_id`, `channel`, `reason`.
+
+    `directives`: `directive_id`, `kind` (symbol, file, next-line or threshold), `selector`, `warning`, `error`, `malformed`.
+    `channels`: `channel`, `shape`, `worse`, `warning_only`: a catalogue. A selector that names no channel is unresolved; a
+    threshold for occurrences only is unsupported; a malformed one, a negative one, one whose error is milder than its
+    warning, and an error level for a rule that only warns, is invalid. `unused` (`directive_id`) are reported as such.
+    """
+    known = channels.select("channel", "shape", "worse", "warning_only")
+    met = directives.join(F.broadcast(known), selects(F.col("selector"), F.col("channel")), "left")
+    each = met.groupBy("directive_id", "kind", "selector", "warning", "error", "malformed").agg(
+        F.count("channel").alias("named"), F.count_if(F.col("shape") == "magnitude").alias("measured"),
+        F.max((F.col("worse") == "lower").cast("int")).alias("lower"), F.min(F.col("warning_only").cast("int")).alias("warns"),
+    )
+    w, e, threshold = F.col("warning"), F.col("error"), F.col("kind") == "threshold"
+    milder = F.when(F.col("lower") == 1, e > w).otherwise(e < w)
+    reason = (
+        F.when(threshold & F.col("malformed"), "malformed")
+        .when(F.col("named") == 0, "unresolved")
+        .when(threshold & (F.col("measured") == 0), "no thresholds")
+        .when(threshold & ((w < 0) | (e < 0)), "negative")
+        .when(threshold & (F.col("warns") == 1) & e.isNotNull(), "only warns")
+        .when(threshold & milder, "error milder than warning")
+    )
+    codes = {"malformed": "invalid-threshold", "negative": "invalid-threshold", "only warns": "invalid-threshold", "error milder than warning": "invalid-threshold", "unresolved": "unresolved-directive", "no thresholds": "unsupported-threshold", "unused": "unused-directive"}
+    channel = F.create_map(*[F.lit(x) for k, v in codes.items() for x in (k, f"annotation.{v}#annotation.{v}")])
+    found = each.select("directive_id", reason.alias("reason")).where("reason IS NOT NULL")
+    if unused is not None:
+        found = found.unionByName(unused.join(found, "directive_id", "left_anti").select("directive_id", F.lit("unused").alias("reason")))
+    return found.select("directive_id", channel[F.col("reason")].alias("channel"), "reason")

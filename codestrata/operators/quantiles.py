@@ -12,6 +12,8 @@ from codestrata.session import cut
 
 #: Buckets by which a group's values are narrowed down in a round, and rows of a group that are sorted at last.
 BUCKETS, FEW = 1024, 100_000
+#: Up to so many open intervals are sent to every task.
+SENT_RANKS = 100_000
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], few: int = FEW, buckets: int = BUCKETS) -> DataFrame:
@@ -36,6 +38,9 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence
     settled = None
 
     def match(left: DataFrame, right: DataFrame) -> DataFrame:
+        # the open intervals are few for large groups; a range behind equal keys would send a group's values to one task
+        if right.limit(SENT_RANKS + 1).count() <= SENT_RANKS:
+            right = F.broadcast(right)
         cond = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
         return left.join(right, cond + [(F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))])
 

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.operators.quantiles import percentiles
+
 STRATEGIES = ("sum", "avg", "max", "min", "count", "p95", "p5")
 
 
@@ -26,10 +28,24 @@ def aggregates(value: Column, prefix: str, names: Iterable[str] = STRATEGIES) ->
     return [strategy(n, value.cast("double") if n != "count" else value).alias(f"{prefix}_{n}") for n in wanted]
 
 
-def roll(facts: DataFrame, keys: Sequence[str], values: Sequence[str], names: Iterable[str] = STRATEGIES) -> DataFrame:
+def roll(facts: DataFrame, keys: Sequence[str], values: Sequence[str], names: Iterable[str] = STRATEGIES, large: bool = False) -> DataFrame:
     """All aggregates of `values` by `keys`, with partial aggregation before the shuffle. Groups without any non-null
-    value have nulls and count 0. Null keys are a group."""
-    return facts.groupBy(*keys).agg(*[a for v in values for a in aggregates(F.col(v), v, list(names))])
+    value have nulls and count 0. Null keys are a group.
+
+    A percentile's buffer holds the distinct values of its group. `large` says that groups may have more of them than a
+    task can hold: then the same percentiles are found by narrowing, and no group is ever in one place.
+    """
+    wanted = list(names)
+    shares = {n: s for n, s in (("p95", 0.95), ("p5", 0.05)) if n in wanted}
+    if not large or not shares:
+        return facts.groupBy(*keys).agg(*[a for v in values for a in aggregates(F.col(v), v, wanted)])
+    plain = [n for n in wanted if n not in shares]
+    out = facts.groupBy(*keys).agg(*([a for v in values for a in aggregates(F.col(v), v, plain)] or [F.count("*").alias("_rows")]))
+    for v in values:
+        found = percentiles(facts, keys, v, list(shares.values()))
+        wide = found.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*[F.max(F.when(F.col("share") == s, F.col("percentile"))).alias(f"{v}_{n}") for n, s in shares.items()])
+        out = out.join(wide, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    return out.select(*keys, *[f"{v}_{n}" for v in values for n in (wanted + ["count"] if "avg" in wanted and "count" not in wanted else wanted)])
 
 
 def roll_by_definition(facts: DataFrame, definitions: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -55,14 +71,15 @@ def ancestors(path: Column, separator: str = "\\") -> Column:
     return F.when((path != "") & path.isNotNull(), prefixes).otherwise(F.array().cast("array<string>"))
 
 
-def roll_up_paths(facts: DataFrame, path: str, values: Sequence[str], keys: Sequence[str] = (), separator: str = "\\", names: Iterable[str] = STRATEGIES) -> DataFrame:
+def roll_up_paths(facts: DataFrame, path: str, values: Sequence[str], keys: Sequence[str] = (), separator: str = "\\", names: Iterable[str] = STRATEGIES, large: bool = False) -> DataFrame:
     """Every prefix of `path` (as `path`) with the aggregates of the raw values of all rows at or below it.
 
     Each row is sent once per level of its path at most, and partial aggregates combine that before the shuffle for all
     but the percentiles.
     """
-    spread = facts.select(*keys, F.explode(ancestors(F.col(path), separator)).alias(path), *values)
-    return roll(spread, [*keys, path], values, names)
+    # an inner explode would work the prefixes out twice, for a filter on their number
+    spread = facts.select(*keys, F.explode_outer(ancestors(F.col(path), separator)).alias(path), *values).where(F.col(path).isNotNull())
+    return roll(spread, [*keys, path], values, names, large)
 
 
 def leaves(paths: DataFrame, path: str, keys: Sequence[str] = (), separator: str = "\\") -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,6 +29,11 @@ class Rule:
     whole: bool = False
     enabled: bool = True
 
+    @property
+    def needs(self) -> list[str]:
+        """The columns that the gate reads."""
+        return sorted(set(re.findall(r"[a-z_]+", self.gate)) - {"true", "false", "coalesce"})
+
     @property
     def channel(self) -> str:
         return f"{self.name}#{self.code}"
@@ -42,7 +48,7 @@ RULES: tuple[Rule, ...] = (
     Rule("complexity.npath", "complexity.npath.callable", "npath", "callable", 200, 1000, minutes=30, whole=True),
     Rule("complexity.npath", "complexity.npath.class", "npath_max", "class", 500, 1000, minutes=30, whole=True, enabled=False),
     Rule("complexity.wmc", "complexity.wmc", "wmc", "class", 50, 80, minutes=30, whole=True),
-    Rule("maintainability.index", "maintainability.index", "mi", "callable", 40, 20, worse="lower", minutes=60, gate="coalesce(statements, 10) >= 10"),
+    Rule("maintainability.index", "maintainability.index", "mi", "callable", 40, 20, worse="lower", minutes=60, gate="statements >= 10 AND NOT coalesce(is_test, false)"),
     Rule("cohesion.lcom", "cohesion.lcom", "lcom", "class", 3, 5, minutes=45, whole=True, gate="NOT coalesce(is_readonly, false) AND method_count >= 3"),
     Rule("coupling.cbo", "coupling.cbo.class", "cbo", "class", 14, 20, minutes=45, whole=True),
     Rule("coupling.cbo", "coupling.cbo.namespace", "cbo", "namespace", 14, 20, minutes=45, whole=True, gate="class_count >= 3"),
@@ -56,7 +62,7 @@ RULES: tuple[Rule, ...] = (
     Rule("design.type-coverage", "design.type-coverage.property", "type_coverage_property", "class", 80, 50, worse="lower", minutes=15),
     Rule("size.method-count", "size.method-count", "method_count", "class", 20, 30, minutes=20, whole=True),
     Rule("size.class-count", "size.class-count", "class_count", "namespace", 15, 25, minutes=30, whole=True, gate="is_leaf"),
-    Rule("size.property-count", "size.property-count", "property_count", "class", 15, 20, minutes=15, whole=True, gate="NOT coalesce(is_readonly, false)"),
+    Rule("size.property-count", "size.property-count", "property_count", "class", 15, 20, minutes=15, whole=True, gate="NOT coalesce(is_readonly, false) AND NOT coalesce(is_promoted_only, false)"),
     Rule("code-smell.long-parameter-list", "code-smell.long-parameter-list", "parameter_count", "callable", 4, 6, minutes=20, whole=True, gate="NOT coalesce(is_vo_constructor, false)"),
     Rule("code-smell.long-parameter-list", "code-smell.long-parameter-list.vo", "parameter_count", "callable", 8, 12, minutes=20, whole=True, gate="coalesce(is_vo_constructor, false)"),
     Rule("code-smell.constructor-overinjection", "code-smell.constructor-overinjection", "constructor_parameters", "class", 8, 12, minutes=60, whole=True),
@@ -65,11 +71,23 @@ RULES: tuple[Rule, ...] = (
     Rule("duplication.code-duplication", "duplication.code-duplication", "duplicate_lines", "project", 5, 50, minutes=15, whole=True),
     Rule("architecture.circular-dependency", "architecture.circular-dependency", "cycle_size", "project", 2, None, minutes=120, whole=True),
 )
-#: Minutes of rules whose findings come from entries of files rather than from thresholds; fixed values.
-ENTRY_MINUTES = {
-    "boolean_argument": 10, "count_in_loop": 10, "debug_code": 5, "empty_catch": 10, "error_suppression": 10, "eval": 15, "exit": 10,
-    "goto": 15, "superglobals": 15, "identical_subexpression": 15, "sql_injection": 60, "xss": 45, "command_injection": 60, "sensitive_parameter": 10,
-}
+# fixed values: entries of files that are findings: kind -> (rule, severity, minutes)
+ENTRY_RULES: dict[str, tuple[str, str, int]] = {
+    "boolean_argument": ("code-smell.boolean-argument", "warning", 10),
+    "count_in_loop": ("code-smell.count-in-loop", "warning", 10),
+    "debug_code": ("code-smell.debug-code", "error", 5),
+    "empty_catch": ("code-smell.empty-catch", "error", 10),
+    "error_suppression": ("code-smell.error-suppression", "warning", 10),
+    "eval": ("code-smell.eval", "error", 15),
+    "exit": ("code-smell.exit", "warning", 10),
+    "goto": ("code-smell.goto", "error", 15),
+    "superglobals": ("code-smell.superglobals", "warning", 15),
+    "identical_subexpression": ("code-smell.identical-subexpression", "warning", 15),
+    "sql_injection": ("security.sql-injection", "error", 60),
+    "xss": ("security.xss", "error", 45),
+    "command_injection": ("security.command-injection", "error", 60),
+    "sensitive_parameter": ("security.sensitive-parameter", "warning", 10),
+}
 
 FINDING = ["channel", "subject_key", "file", "line", "severity", "value", "threshold", "minutes"]
 
@@ -105,19 +123,39 @@ def threshold_findings(subjects: DataFrame, rule: Rule, overrides: DataFrame | N
     )
 
 
-def run_rules(subjects: dict[str, DataFrame], rules: Iterable[Rule] = RULES, overrides: DataFrame | None = None) -> DataFrame:
-    """All findings of the enabled rules whose level is given and whose columns the level's subjects have."""
+def run_rules(subjects: dict[str, DataFrame], rules: Iterable[Rule] = RULES, overrides: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """All findings of the enabled rules whose level is given and whose metric the level's subjects have.
+
+    A flag (`is_...`) that a gate reads and the subjects lack is unknown; any other column that is missing leaves the rule
+    out, or is an error if `strict`. `unrun` tells which rules that concerns.
+    """
     parts = []
     for rule in rules:
-        rows = subjects.get(rule.level)
-        if not rule.enabled or rows is None or rule.metric not in rows.columns:
+        if not rule.enabled or rule.level not in subjects:
             continue
-        needed = {w for w in ("statements", "is_readonly", "method_count", "class_count", "ca", "is_leaf", "is_vo_constructor") if w in rule.gate}
-        if needed <= set(rows.columns):
-            parts.append(threshold_findings(rows, rule, overrides))
+        if lacking := unrun({rule.level: subjects[rule.level]}, [rule]):
+            if strict:
+                raise ValueError(f"{rule.channel} needs the columns {lacking[rule.channel]}")
+            continue
+        rows = subjects[rule.level]
+        for flag in (c for c in rule.needs if c.startswith("is_") and c not in rows.columns):
+            rows = rows.withColumn(flag, F.lit(None).cast("boolean"))
+        parts.append(threshold_findings(rows, rule, overrides))
     return reduce(DataFrame.unionByName, parts)
 
 
+def unrun(subjects: dict[str, DataFrame], rules: Iterable[Rule] = RULES) -> dict[str, list[str]]:
+    """Per channel of an enabled rule whose level is given: the columns that it lacks, if any."""
+    out = {}
+    for rule in rules:
+        if rule.enabled and rule.level in subjects:
+            have = set(subjects[rule.level].columns)
+            lacking = sorted({rule.metric, *(c for c in rule.needs if not c.startswith("is_"))} - have)
+            if lacking:
+                out[rule.channel] = lacking
+    return out
+
+
 def god_class(subjects: DataFrame) -> DataFrame:
     """Classes of at least 3 methods, not read-only, that match 3 or more of: wmc >= 47, lcom >= 3 (not if tcc >= 0.5),
     tcc < 0.33, loc >= 300. `matched` and `evaluable` criteria; all evaluable ones matched is an error, else a warning."""
@@ -132,9 +170,11 @@ def god_class(subjects: DataFrame) -> DataFrame:
 
 
 def data_class(subjects: DataFrame, most_woc: float = 33, most_wmc: float = 10, least_members: int = 3) -> DataFrame:
-    """Classes that hold data rather than do anything: woc and wmc low, enough members, neither read-only nor an
-    exception; a warning each."""
-    return subjects.where((F.col("woc") <= most_woc) & (F.col("wmc") <= most_wmc) & (F.col("members") >= least_members) & ~F.coalesce(F.col("is_readonly"), F.lit(False)) & ~F.coalesce(F.col("is_exception"), F.lit(False))).withColumn("severity", F.lit("warning"))
+    """Classes that hold data rather than do anything: woc and wmc low, enough members, neither read-only, nor an
+    exception, nor made of promoted properties only; a warning each."""
+    small = (F.col("woc") <= most_woc) & (F.col("wmc") <= most_wmc) & (F.col("members") >= least_members)
+    spared = [F.coalesce(F.col(c), F.lit(False)) for c in ("is_readonly", "is_exception", "is_promoted_only")]
+    return subjects.where(small & ~(spared[0] | spared[1] | spared[2])).withColumn("severity", F.lit("warning"))
 
 
 def rank_findings(ranks: DataFrame, warning: float = 0.02, error: float = 0.05) -> DataFrame:
@@ -145,11 +185,36 @@ def rank_findings(ranks: DataFrame, warning: float = 0.02, error: float = 0.05)
     return scaled.withColumn("severity", level).where("severity IS NOT NULL").drop("factor")
 
 
-def entry_findings(entries: DataFrame, kinds: Sequence[str], allowed: Sequence[str] = (), level: str = "warning") -> DataFrame:
-    """Findings from entries (`file`, `line`, `kind`, `extra`) of some kinds, without those whose extra is allowed."""
-    rows = entries.where(F.col("kind").isin(*kinds) & ~F.coalesce(F.col("extra").isin(*allowed), F.lit(False)))
-    minutes = F.create_map(*[F.lit(x) for kv in ENTRY_MINUTES.items() for x in kv])
-    return rows.select(F.concat_ws("#", F.lit("code-smell"), "kind").alias("channel"), F.concat(F.lit("file:"), "file").alias("subject_key"), "file", "line", F.lit(level).alias("severity"), minutes[F.col("kind")].alias("minutes"))
+def entry_findings(entries: DataFrame, kinds: Sequence[str] = tuple(ENTRY_RULES), allowed: Mapping[str, Sequence[str]] = {}) -> DataFrame:  # noqa: B006
+    """Findings from entries (`file`, `line`, `kind`, `extra`) of some kinds, without those whose extra is `allowed` for
+    their kind. Entries of unknown kinds give none; repeated entries are findings of their own."""
+    skipped = F.lit(False)
+    for kind, extras in allowed.items():
+        skipped = skipped | ((F.col("kind") == kind) & F.coalesce(F.col("extra").isin(*extras), F.lit(False)))
+    table = F.create_map(*[x for k in kinds for x in (F.lit(k), F.struct(F.lit(ENTRY_RULES[k][0]).alias("rule"), F.lit(ENTRY_RULES[k][1]).alias("level"), F.lit(ENTRY_RULES[k][2]).alias("minutes")))])
+    rows = entries.where(F.col("kind").isin(*kinds) & ~skipped).withColumn("of", table[F.col("kind")])
+    none = F.lit(None).cast("double")
+    return rows.select(
+        F.concat_ws("#", "of.rule", "of.rule").alias("channel"), F.concat(F.lit("file:"), "file").alias("subject_key"), "file", "line", F.col("of.level").alias("severity"),
+        none.alias("value"), none.alias("threshold"), "of.minutes", F.col("extra").alias("occ_key"),
+    )
+
+
+def computed_findings(subjects: DataFrame, formulas: Mapping[str, tuple[float | None, float | None, bool]]) -> DataFrame:
+    """Findings of computed metrics: `formulas` is name -> (warning, error, inverted); inverted ones are bad below their
+    thresholds, others above them (a value at a threshold is none). Values are compared after rounding to one digit."""
+    parts = []
+    for name, (warning, error, inverted) in formulas.items():
+        value = F.round(F.col(name.replace(".", "__")).cast("double"), 1)
+        bad = (lambda t, v=value: v < t) if inverted else (lambda t, v=value: v > t)
+        w, e = (F.lit(t).cast("double") for t in (warning, error))
+        level = F.when(F.coalesce(bad(e), F.lit(False)), "error").when(F.coalesce(bad(w), F.lit(False)), "warning")
+        rows = subjects.withColumn("severity", level).where("severity IS NOT NULL")
+        parts.append(rows.select(
+            F.lit(f"computed#{name}").alias("channel"), "subject_key", "file", "line", "severity", value.alias("value"),
+            F.when(F.col("severity") == "error", e).otherwise(w).alias("threshold"), F.lit(15).alias("minutes"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def overshoot_minutes(base: Column, value: Column, threshold: Column, worse: Column) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.operators import policy, rank, rules
 from codestrata.plans.base import SUBJECTS, rounded, subjects
+from codestrata.plans.graphs import RANK_SQL, class_rank_rounds
 from codestrata.sinks import formats
 
-CCN, MI = rules.RULES[0], next(r for r in rules.RULES if r.name == "maintainability.index")
+CCN = rules.RULES[0]
+MI = replace(next(r for r in rules.RULES if r.name == "maintainability.index"), gate="true")  # the table counts no statements
 CHANNELS = [(CCN.channel, "magnitude", "higher"), (MI.channel, "magnitude", "lower"), ("size.loc#size.loc", "occurrence", "higher")]
 LOC = rules.Rule("size.loc", "size.loc", "loc", "callable", 60, 100, minutes=20, whole=True)
 
@@ -20,7 +24,7 @@ def _callables(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, folder: str, overrides: DataFrame | None = None) -> DataFrame:
-    rows = _callables(spark, folder).withColumn("statements", F.lit(10))
+    rows = _callables(spark, folder)
     found = rules.run_rules({"callable": rows}, [CCN, MI, LOC], overrides)
     what = rows.select("subject_key", "project", "class_key", "namespace").dropDuplicates(["subject_key"])
     return found.join(what, "subject_key")
@@ -42,14 +46,6 @@ def override_findings(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_findings(spark, folder, _overrides(spark, folder)).where(F.col("channel") == CCN.channel).select(*rules.FINDING))
 
 
-def god_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """Classes that are too much, from what `symbols` measures: summed complexity and lines; cohesion isn't measured."""
-    rows = subjects(spark, folder)
-    m = rows.where("type = 'method'").groupBy("project", "class_key").agg(F.sum("ccn").alias("wmc"), F.count("*").alias("method_count"), F.sum("loc").alias("class_loc"))
-    m = m.select("*", F.when(F.col("method_count") > 4, F.col("method_count") / 3.0).alias("lcom"), F.lit(None).cast("double").alias("tcc"), F.lit(False).alias("is_readonly"))
-    return rules.god_class(m).select("project", "class_key", "wmc", "method_count", "class_loc", "matched", "evaluable", "severity")
-
-
 def debt_summary(spark: SparkSession, folder: str) -> DataFrame:
     found = _findings(spark, folder)
     worse = F.when(F.col("channel") == MI.channel, "lower").otherwise("higher")
@@ -68,10 +64,9 @@ def contributors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def impact_top(spark: SparkSession, folder: str) -> DataFrame:
-    """The 50 findings of most impact, by a class's share of its project's methods in place of its graph rank."""
-    found = _findings(spark, folder)
-    size = subjects(spark, folder).where("type = 'method' AND class_key IS NOT NULL").groupBy("project", F.col("class_key").alias("class")).agg(F.count("*").cast("double").alias("rank"))
-    return rank.impact(found, size, 50).select("channel", "subject_key", "file", "line", "severity", F.round("impact", 6).alias("impact"))
+    """The 50 findings of most impact, by the rank of their class in its project's graph."""
+    ranks = class_rank_rounds(spark, folder)
+    return rank.impact(_findings(spark, folder), ranks, 50).select("channel", "subject_key", "file", "line", "severity", F.round("impact", 6).alias("impact"))
 
 
 def worst_classes(spark: SparkSession, folder: str) -> DataFrame:
@@ -221,7 +216,7 @@ sb AS (SELECT finding_id, min(directive_id) AS suppressed_by FROM hit GROUP BY A
 QUERIES = {
     f.__name__: f
     for f in (
-        threshold_findings, override_findings, god_classes, debt_summary, severity_counts, contributors, impact_top, worst_classes, suppression, unused_directives, baseline_generate,
+        threshold_findings, override_findings, debt_summary, severity_counts, contributors, impact_top, worst_classes, suppression, unused_directives, baseline_generate,
         baseline_ceiling, baseline_update, projection, exit_code, report_text, report_github, report_gitlab, report_sarif, report_checkstyle, report_json, report_metrics, report_dot, report_tree,
     )
 }
@@ -232,11 +227,6 @@ ORACLE = {
     + """, o AS (SELECT *, CASE WHEN line % 20 = 0 THEN 8.0 WHEN line % 10 = 0 THEN 3.0 ELSE 10.0 END::DOUBLE AS w2, CASE WHEN line % 20 = 0 THEN NULL WHEN line % 10 = 0 THEN 5.0 ELSE 20.0 END::DOUBLE AS e2 FROM v WHERE channel LIKE 'complexity%'),
 o2 AS (SELECT *, CASE WHEN coalesce(value >= e2, false) THEN 'error' WHEN value >= w2 THEN 'warning' END AS severity FROM o)
 SELECT channel, subject_key, file, line, severity, value, CASE severity WHEN 'error' THEN e2 ELSE w2 END AS threshold, minutes FROM o2 WHERE severity IS NOT NULL""",
-    "god_classes": SUBJECTS
-    + """, m AS (SELECT project, class_key, sum(ccn)::BIGINT AS wmc, count(*) AS method_count, sum(loc)::BIGINT AS class_loc FROM sub WHERE type = 'method' GROUP BY ALL),
-g AS (SELECT *, (coalesce(wmc >= 47, false)::INT + (method_count > 4 AND method_count / 3.0 >= 3)::INT + coalesce(class_loc >= 300, false)::INT) AS matched,
-  ((wmc IS NOT NULL)::INT + (method_count > 4)::INT + (class_loc IS NOT NULL)::INT) AS evaluable FROM m WHERE method_count >= 3)
-SELECT project, class_key, wmc, method_count, class_loc, matched, evaluable, CASE WHEN matched = evaluable THEN 'error' ELSE 'warning' END AS severity FROM g WHERE matched >= 3""",
     "debt_summary": _F
     + """, t AS (SELECT *, CASE d WHEN 1 THEN value / nullif(threshold, 0) ELSE threshold / nullif(value, 0) END AS ratio FROM f),
 u AS (SELECT file, split_part(channel, '#', 1) AS rule, CASE WHEN ratio > 1 AND value > 0 AND isfinite(ratio) THEN greatest(1, round(minutes * greatest(1, ln(ratio))))::INT ELSE minutes END AS minutes FROM t)
@@ -245,9 +235,10 @@ SELECT 'total' AS scope, '' AS name, sum(minutes)::BIGINT AS minutes, count(*) A
     "contributors": SUBJECTS
     + """, l AS (SELECT project || '::' || name AS subject_key, unnest(['ccn', 'mi', 'loc']) AS metric, unnest([ccn::DOUBLE, mi, loc::DOUBLE]) AS value, unnest([-1, 1, -1]) AS d FROM sub WHERE type IN ('method', 'function')),
 r AS (SELECT metric, subject_key, value, row_number() OVER (PARTITION BY metric ORDER BY value * d, subject_key)::INT AS rank FROM l WHERE value IS NOT NULL) SELECT * FROM r WHERE rank <= 10""",
-    "impact_top": _F
-    + """, k AS (SELECT project, class_key, count(*)::DOUBLE AS rank FROM sub WHERE type = 'method' AND class_key IS NOT NULL GROUP BY ALL), md AS (SELECT project, quantile_cont(rank, 0.5) AS med FROM k GROUP BY ALL),
-i AS (SELECT channel, subject_key, file, line, severity, round(coalesce(rank, med, 0) * CASE severity WHEN 'error' THEN 3 ELSE 1 END * minutes, 6) AS impact FROM f LEFT JOIN k ON k.project = f.project AND k.class_key = f.class_key LEFT JOIN md ON md.project = f.project)
+    "impact_top": RANK_SQL
+    + _F.replace("WITH RECURSIVE ", ", ", 1).strip()
+    + """, md AS (SELECT project, quantile_cont(round(rank, 9), 0.5) AS med FROM r12 GROUP BY ALL),
+i AS (SELECT channel, subject_key, file, line, severity, round(coalesce(round(rank, 9), med, 0) * CASE severity WHEN 'error' THEN 3 ELSE 1 END * minutes, 6) AS impact FROM f LEFT JOIN r12 k ON k.project = f.project AND k.class = f.class_key LEFT JOIN md ON md.project = f.project)
 SELECT * FROM i ORDER BY impact DESC, file NULLS FIRST, coalesce(line, 0), channel, subject_key LIMIT 50""",
     "suppression": _F + _DIR + "SELECT f.channel || '|' || f.subject_key AS finding_id, suppressed_by FROM f LEFT JOIN sb ON sb.finding_id = f.channel || '|' || f.subject_key",
     "unused_directives": _F + _DIR + "SELECT directive_id, kind FROM dr WHERE directive_id NOT IN (SELECT directive_id FROM hit)",

@@ -143,7 +143,7 @@ us AS (SELECT project, dst_class AS class, max(dst_ns) AS ns FROM edges WHERE ds
 cl AS (SELECT project, class, max(ns) AS ns FROM (SELECT project, src_class AS class, src_ns AS ns FROM edges WHERE src_class IS NOT NULL
   UNION ALL SELECT us.* FROM us JOIN dk ON dk.project = us.project AND dk.k = {NAME_SQL.format("us.class")}) GROUP BY ALL)"""
 _BUILT = "regexp_matches({0}, '" + BUILTIN.replace("'", "''") + "')"
-_RANK = f"""WITH RECURSIVE {_CL}, pr AS (SELECT DISTINCT e.project, src_class AS s, dst_class AS d FROM edges e JOIN cl a ON a.project = e.project AND a.class = src_class JOIN cl b ON b.project = e.project AND b.class = dst_class WHERE src_class <> dst_class),
+RANK_SQL = f"""WITH RECURSIVE {_CL}, pr AS (SELECT DISTINCT e.project, src_class AS s, dst_class AS d FROM edges e JOIN cl a ON a.project = e.project AND a.class = src_class JOIN cl b ON b.project = e.project AND b.class = dst_class WHERE src_class <> dst_class),
 dg AS (SELECT project, s, count(*) AS deg FROM pr GROUP BY ALL), n AS (SELECT project, count(*) AS n FROM cl GROUP BY ALL),
 r0 AS (SELECT cl.project, cl.class, 1.0::DOUBLE / n AS rank, n, coalesce(deg, 0) AS deg FROM cl JOIN n USING (project) LEFT JOIN dg ON dg.project = cl.project AND dg.s = cl.class)
 """ + "".join(
@@ -186,8 +186,8 @@ least AS (SELECT a.project, a.c, min(b.x) AS f FROM reach a JOIN reach b ON b.pr
 q AS (SELECT p.project, p.c, CASE WHEN least.f = p.e THEN chr(2) || p.e ELSE p.e END AS e FROM p LEFT JOIN least ON least.project = p.project AND least.c = p.c),
 t AS (SELECT project, c, 1 AS dit FROM q WHERE (project, e) NOT IN (SELECT (project, c) FROM q) UNION ALL SELECT q.project, q.c, t.dit + 1 FROM t JOIN q ON q.project = t.project AND q.e = t.c)
 SELECT cl.project, cl.class, coalesce(t.dit, 0)::BIGINT AS dit FROM cl LEFT JOIN t ON t.project = cl.project AND t.c = cl.class""",
-    "class_rank_rounds": _RANK + "SELECT project, class, round(rank, 9) AS rank FROM r12",
-    "rank_findings": _RANK + "SELECT project, class, CASE WHEN rank >= 0.05 / sqrt(n / 100.0) THEN 'error' ELSE 'warning' END AS severity FROM r12 WHERE rank >= 0.02 / sqrt(n / 100.0)",
+    "class_rank_rounds": RANK_SQL + "SELECT project, class, round(rank, 9) AS rank FROM r12",
+    "rank_findings": RANK_SQL + "SELECT project, class, CASE WHEN rank >= 0.05 / sqrt(n / 100.0) THEN 'error' ELSE 'warning' END AS severity FROM r12 WHERE rank >= 0.02 / sqrt(n / 100.0)",
     "cycle_members": _PAIRS.format(where="") + """, cc AS (SELECT project || '::' || s AS a, project || '::' || d AS b FROM pr), rc AS (SELECT a, b FROM cc UNION SELECT rc.a, cc.b FROM rc JOIN cc ON cc.a = rc.b),
 m AS (SELECT x.a AS node, min(x.b) AS component FROM rc x JOIN rc y ON y.a = x.b AND y.b = x.a GROUP BY ALL) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM m""",
     "layer_assignment": _LAYERED + "SELECT project, coalesce(layer, '(none)') AS layer, count(*) AS classes, count(*) FILTER (WHERE n > 1) AS shadowed FROM ly GROUP BY ALL",

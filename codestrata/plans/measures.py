@@ -11,6 +11,7 @@ from codestrata.operators.rank import severity_rank
 from codestrata.operators.rollup import aggregates, leaves, roll, roll_by_definition, roll_up_paths, weighted_mean
 from codestrata.operators.rules import severity
 from codestrata.plans.base import SUBJECTS, rounded, seven, subjects
+from codestrata.session import cut
 from codestrata.tables import table
 
 
@@ -29,13 +30,21 @@ def _sales(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def agg_strategies_by_level(spark: SparkSession, folder: str) -> DataFrame:
-    """The seven aggregates of raw line prices at each level, in one pass of grouping sets."""
+    """The seven aggregates of raw line prices at each level. Customers' percentiles come from their own few values; the
+    levels above hold a constant share of the table, so theirs are narrowed down and the rest is added up."""
     sales = _sales(spark, folder)
-    sets = [[F.col("region"), F.col("nation"), F.col("customer")], [F.col("region"), F.col("nation")], [F.col("region")], []]
-    rolled = sales.groupingSets(sets, "region", "nation", "customer").agg(*aggregates(F.col("price"), "price"), F.grouping_id().alias("g"))
-    level = F.when(F.col("g") == 0, "customer").when(F.col("g") == 1, "nation").when(F.col("g") == 3, "region").otherwise("all")
-    name = F.when(F.col("g") == 0, F.col("customer").cast("string")).when(F.col("g") == 1, F.col("nation")).when(F.col("g") == 3, F.col("region")).otherwise("")
-    return rounded(rolled.select(level.alias("level"), name.alias("name"), *[c for c in rolled.columns if c.startswith("price_")]), 4)
+    lowest = cut(roll(sales, ["region", "nation", "customer"], ["price"]))
+    customers = lowest.select(F.lit("customer").alias("level"), F.col("customer").cast("string").alias("name"), *[c for c in lowest.columns if c.startswith("price_")])
+    levels = F.array(*[F.struct(F.lit(n).alias("level"), c.alias("name")) for n, c in (("nation", F.col("nation")), ("region", F.col("region")), ("all", F.lit("")))])
+    above = lowest.select(F.explode(levels).alias("l"), "price_sum", "price_count", "price_max", "price_min").groupBy("l.level", "l.name").agg(
+        F.sum("price_sum").alias("price_sum"), F.sum("price_count").alias("price_count"), F.max("price_max").alias("price_max"), F.min("price_min").alias("price_min")
+    )
+    above = above.withColumn("price_avg", F.try_divide("price_sum", "price_count"))
+    found = percentiles(sales.select(F.explode(levels).alias("l"), "price").select("l.level", "l.name", "price"), ["level", "name"], "price", [0.95, 0.05])
+    wide = found.groupBy("level", "name").agg(F.max(F.when(F.col("share") == 0.95, F.col("percentile"))).alias("price_p95"), F.max(F.when(F.col("share") == 0.05, F.col("percentile"))).alias("price_p5"))
+    whole = customers.unionByName(above.join(wide, ["level", "name"], "left"))
+    # cents over at most 64 lines have 8 digits: rounded to fewer, the last might hang on the order of a sum
+    return rounded(whole.withColumn("avg", F.round("price_avg", 8).cast("decimal(18,8)")).drop("price_avg"), 4).withColumn("price_avg", F.col("avg").cast("double")).drop("avg")
 
 
 def rollup_findings(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,7 +65,7 @@ WITH sales AS (SELECT c_custkey, n_name, r_name, l_extendedprice AS price FROM l
                JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 lv AS (SELECT 'customer' AS level, c_custkey::VARCHAR AS name, price FROM sales UNION ALL SELECT 'nation', n_name, price FROM sales
        UNION ALL SELECT 'region', r_name, price FROM sales UNION ALL SELECT 'all', '', price FROM sales),
-agg AS (SELECT level, name, """ + seven("price", "price").replace(", 6)", ", 4)").replace(", 9)", ", 4)") + " FROM lv GROUP BY ALL)\n"
+agg AS (SELECT level, name, """ + seven("price", "price").replace(", 6)", ", 4)").replace("round(avg(price), 9)", "round(avg(price), 8)").replace(", 9)", ", 4)") + " FROM lv GROUP BY ALL)\n"
 
 
 def callable_to_class(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +83,7 @@ def namespace_rollup(spark: SparkSession, folder: str) -> DataFrame:
 def project_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """All callables of a project, and classes per leaf namespace averaged over leaves only."""
     rows = subjects(spark, folder)
-    raw = roll(rows.where("type IN ('method', 'function')"), ["project"], ["mi", "ccn"])
+    raw = roll(rows.where("type IN ('method', 'function')"), ["project"], ["mi", "ccn"], large=True)
     classes = rows.where("type = 'class' AND namespace <> ''")
     leaf = leaves(classes, "namespace", ["project"])
     per_leaf = classes.join(leaf, ["project", "namespace"], "left_semi").groupBy("project", "namespace").agg(F.count("*").alias("n"))

@@ -35,13 +35,14 @@ def php_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def php_coupling(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(class_coupling(edges_of(_facts(spark, folder))))
+    projects = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("repo").alias("project"))
+    return rounded(class_coupling(edges_of(_facts(spark, folder), projects)))
 
 
 def php_entries(spark: SparkSession, folder: str) -> DataFrame:
     rows = _facts(spark, folder)
     smells = rows.where("kind = 'entry'").select("file", F.col("subject").alias("smell"), "line")
-    names = rows.where("kind = 'parameter'").where(is_sensitive_name(F.col("subject"))).select("file", F.lit("sensitive_parameter").alias("smell"), "line")
+    names = rows.where("kind = 'parameter' AND extra['sensitive'] = 'false'").where(is_sensitive_name(F.col("subject"))).select("file", F.lit("sensitive_parameter").alias("smell"), "line")
     return smells.unionByName(names).groupBy("smell").agg(F.count("*").alias("entries"), F.countDistinct("file").alias("files"))
 
 

@@ -1,4 +1,4 @@
-"""Line counts, markers, smells, sensitive names and clones in documents."""
+"""Line counts, markers and clones in documents."""
 
 from __future__ import annotations
 
@@ -22,21 +22,6 @@ def generated_files(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.count_if(tx.is_generated(F.col("text"))).alias("generated"))
 
 
-def smells(spark: SparkSession, folder: str) -> DataFrame:
-    """Entries (doc_id, kind, line) of every smell and injection on the lines of source files."""
-    lines = _sources(spark, folder).select("doc_id", F.posexplode(tx.lines_of(F.col("text"))).alias("pos", "line"))
-    marks = [F.when(F.col("line").rlike(p), F.lit(k)) for k, (p, _) in tx.SMELLS.items()] + [F.when(tx.injection(F.col("line"), k), F.lit(k)) for k in tx.INJECTIONS]
-    hits = lines.select("doc_id", (F.col("pos") + 1).alias("line"), F.explode(F.filter(F.array(*marks), lambda x: x.isNotNull())).alias("kind"))
-    return hits.groupBy("doc_id", "kind").agg(F.count("*").alias("lines"), F.min("line").alias("first_line"))
-
-
-def sensitive_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Variables of source files that are named like credentials."""
-    found = _sources(spark, folder).select(F.explode(F.regexp_extract_all("text", F.lit(r"\$([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))).alias("name"))
-    names = found.groupBy("name").agg(F.count("*").alias("uses"))
-    return names.where(tx.is_sensitive_name(F.col("name")))
-
-
 K = 40
 
 
@@ -55,15 +40,10 @@ def clone_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return clones.clone_blocks(clones.clone_pairs(files, K), files).select("block", "tokens", F.size("places").alias("places"))
 
 
-QUERIES = {f.__name__: f for f in (loc_counts, generated_files, smells, sensitive_names, clone_pairs, clone_blocks)}
-_SM = " UNION ALL ".join(f"SELECT doc_id, line, '{k}' AS kind FROM ln WHERE regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}')" for k, (p, _) in tx.SMELLS.items())
-_INJ = " UNION ALL ".join(f"SELECT doc_id, line, '{k}' FROM ln WHERE regexp_matches(t, '{a}') AND NOT regexp_matches(t, '{b}')" for k, (a, b) in tx.INJECTIONS.items())
+QUERIES = {f.__name__: f for f in (loc_counts, generated_files, clone_pairs, clone_blocks)}
 ORACLE = {
     "loc_counts": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, count(*) AS loc, count(*) FILTER (WHERE regexp_full_match(t, '[ \t\n\x0B\f\r]*')) AS blank, count(*) FILTER (WHERE regexp_matches(t, '^[ \t\n\x0B\f\r]*(//|#($|[^\[])|/\*|\*)')) AS cloc FROM l GROUP BY ALL)
 SELECT doc_id, coalesce(loc, 0)::INT AS loc, coalesce(blank, 0)::INT AS blank, coalesce(cloc, 0)::INT AS cloc, coalesce(loc - blank - cloc, 0)::INT AS lloc FROM documents LEFT JOIN c USING (doc_id)""",
     "generated_files": r"""SELECT lang, count(*) AS files, count(*) FILTER (WHERE regexp_matches(substr(text, 1, 2048), '(?im)(^[ \t\n\x0B\f\r]*(//|#|/\*|\*)|/\*).*@generated\b')) AS generated FROM documents GROUP BY ALL""",
-    "smells": f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE doc_kind = 'source_code' AND text IS NOT NULL),
-ln AS (SELECT doc_id, unnest(p) AS t, unnest(range(1, len(p) + 1))::INT AS line FROM s), h AS ({_SM} UNION ALL {_INJ})
-SELECT doc_id, kind, count(*) AS lines, min(line) AS first_line FROM h GROUP BY ALL""",
 }

@@ -53,14 +53,16 @@ def coverage(files: DataFrame, rows: DataFrame) -> DataFrame:
     return files.join(failed, "file", "left").select("file", status.alias("status"))
 
 
-def edges_of(rows: DataFrame) -> DataFrame:
-    """Dependency edges of fact rows in the columns of the graph operators."""
+def edges_of(rows: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """Dependency edges of fact rows in the columns of the graph operators. `projects` (`file`, `project`) says whose a
+    file is, so that classes of one name in two projects stay two; without it all files are one project, ''."""
     from codestrata.plans.base import above
 
     e = rows.where("kind = 'edge'")
+    e = e.withColumn("project", F.lit("")) if projects is None else e.join(projects.select("file", "project"), "file", "left")
     src, dst = F.col("subject"), F.col("owner")
     return e.select(
-        F.lit("").alias("project"), F.concat(F.lit("declaration:class:"), src, F.lit("@"), F.col("file")).alias("src_decl"), src.alias("src_class"), above(src).alias("src_ns"),
+        "project", F.concat(F.lit("declaration:class:"), src, F.lit("@"), F.col("file")).alias("src_decl"), src.alias("src_class"), above(src).alias("src_ns"),
         dst.alias("dst_class"), above(dst).alias("dst_ns"), F.col("extra")["dep_type"].alias("dep_type"), "file", "line",
     )
 
