@@ -9,24 +9,43 @@ from pyspark.sql.window import Window
 
 from codestrata.session import cut
 
-_SPLIT = r"""\$[A-Za-z_]\w*|[A-Za-z_]\w*|[0-9][0-9a-zA-Z_.]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|\S"""
+_COMMENT = r"//[^\n]*|#(?!\[)[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/)?"
+_SPLIT = _COMMENT + r"""|#\[|\$[A-Za-z_]\w*|[A-Za-z_]\w*|[0-9][0-9a-zA-Z_.]*|"(?:[^"\\]|\\(?s:.))*"|'(?:[^'\\]|\\(?s:.))*'|\S"""
 
 
 def normal_tokens(text: Column) -> Column:
-    """Tokens of source text with variables as $_, strings as '_' and numbers as 0."""
-    words = F.regexp_extract_all(text, F.lit(_SPLIT), F.lit(0))
-    return F.transform(words, lambda w: F.when(w.startswith("$"), "$_").when(w.rlike("^[\"'].*[\"']$"), "'_'").when(w.rlike("^[0-9]"), "0").otherwise(w))
+    """Tokens of source text without comments, with variables as $_, strings as '_' and numbers as 0."""
+    words = F.filter(F.regexp_extract_all(text, F.lit(_SPLIT), F.lit(0)), lambda w: ~w.rlike(r"^(//|#(?!\[)|/\*)"))
+    return F.transform(words, lambda w: F.when((w.startswith("$")) & (F.length(w) > 1), "$_").when(w.rlike("^[\"'](?s:.*)[\"']$") & (F.length(w) > 1), "'_'").when(w.rlike("^[0-9]"), "0").otherwise(w))
+
+
+def copies(files: DataFrame, k: int) -> DataFrame:
+    """`files` (`file`, `tokens`) of at least `k` tokens with `representative`, the smallest file of equal tokens.
+
+    Clones need only be looked for between representatives; a class of copies is one row a file here, not a pair of every
+    two of them.
+    """
+    content = F.sha2(F.array_join("tokens", "\x1f"), 256).alias("content")
+    named = files.where(F.size("tokens") >= k).select("file", content)
+    first = named.groupBy("content").agg(F.min("file").alias("representative"), F.count("*").alias("files"))
+    return named.join(first, "content").select("file", "representative", "files")
+
+
+def representatives(files: DataFrame, k: int) -> DataFrame:
+    """One of each class of equal token lists among `files`; shorter ones than `k` are left out."""
+    return files.join(copies(files, k).where("file = representative").select("file"), "file", "left_semi")
 
 
 def windows(files: DataFrame, k: int) -> DataFrame:
     """`files` (`file`, `tokens`) to `file`, `pos`, `hash` of each run of `k` tokens; shorter files give none. `before` and
     `after` are hashes of the tokens beside the run; at the border of a file they are its own, equal to no other."""
-    long = files.where(F.size("tokens") >= k)
+    long = files.where(F.size("tokens") >= k).select("file", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
     at = F.sequence(F.lit(0), F.size("tokens") - k)
-    hash_of = lambda i: F.xxhash64(F.array_join(F.slice("tokens", i + 1, F.lit(k)), "\x1f"))
-    beside = lambda i: F.when(F.get("tokens", i).isNotNull(), F.xxhash64(F.get("tokens", i)))
+    hash_of = lambda i: F.xxhash64(F.slice("tokens", i + 1, F.lit(k)))
+    beside = lambda i: F.get("tokens", i)
     each = F.transform(at, lambda i: F.struct(hash_of(i).alias("hash"), beside(i - 1).alias("before"), beside(i + k).alias("after")))
-    spread = long.select("file", F.posexplode(each).alias("pos", "w")).select("file", "pos", "w.*")
+    # an inner posexplode would have Spark hash everything twice, for a filter on the number of windows
+    spread = long.select("file", F.posexplode_outer(each).alias("pos", "w")).where("pos IS NOT NULL").select("file", "pos", "w.*")
     return spread.select("file", "pos", "hash", *[F.coalesce(c, F.xxhash64(F.lit(c), "file", "pos")).alias(c) for c in ("before", "after")])
 
 

@@ -44,7 +44,7 @@ def agg_strategies_by_level(spark: SparkSession, folder: str) -> DataFrame:
     wide = found.groupBy("level", "name").agg(F.max(F.when(F.col("share") == 0.95, F.col("percentile"))).alias("price_p95"), F.max(F.when(F.col("share") == 0.05, F.col("percentile"))).alias("price_p5"))
     whole = customers.unionByName(above.join(wide, ["level", "name"], "left"))
     # cents over at most 64 lines have 8 digits: rounded to fewer, the last might hang on the order of a sum
-    return rounded(whole.withColumn("avg", F.round("price_avg", 8).cast("decimal(18,8)")).drop("price_avg"), 4).withColumn("price_avg", F.col("avg").cast("double")).drop("avg")
+    return rounded(whole.withColumn("price_sum", F.round("price_sum", 2)).withColumn("avg", F.round("price_avg", 8).cast("decimal(18,8)")).drop("price_avg"), 4).withColumn("price_avg", F.col("avg").cast("double")).drop("avg")
 
 
 def rollup_findings(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,7 +65,7 @@ WITH sales AS (SELECT c_custkey, n_name, r_name, l_extendedprice AS price FROM l
                JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 lv AS (SELECT 'customer' AS level, c_custkey::VARCHAR AS name, price FROM sales UNION ALL SELECT 'nation', n_name, price FROM sales
        UNION ALL SELECT 'region', r_name, price FROM sales UNION ALL SELECT 'all', '', price FROM sales),
-agg AS (SELECT level, name, """ + seven("price", "price").replace(", 6)", ", 4)").replace("round(avg(price), 9)", "round(avg(price), 8)").replace(", 9)", ", 4)") + " FROM lv GROUP BY ALL)\n"
+agg AS (SELECT level, name, """ + seven("price", "price").replace(", 6)", ", 2)").replace("round(avg(price), 9)", "round(avg(price), 8)").replace(", 9)", ", 4)") + " FROM lv GROUP BY ALL)\n"
 
 
 def callable_to_class(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import text as tx
 from codestrata.operators import clones
+from codestrata.session import cut
 from codestrata.tables import table
 
 
@@ -22,7 +23,7 @@ def generated_files(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.count_if(tx.is_generated(F.col("text"))).alias("generated"))
 
 
-K = 40
+K = 70  # tokens, the least that counts as a clone
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,16 +32,22 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("file"), clones.normal_tokens(F.col("text")).alias("tokens"))
 
 
+def clone_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Each file whose tokens another file has too, with the first of its class."""
+    return clones.copies(_files(spark, folder), K).where("files > 1")
+
+
 def clone_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return clones.clone_pairs(_files(spark, folder), K)
+    """Equal runs of tokens between files that aren't whole copies of each other; `clone_copies` has the copies."""
+    return clones.clone_pairs(cut(clones.representatives(_files(spark, folder), K)), K)
 
 
 def clone_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    files = _files(spark, folder)
+    files = cut(clones.representatives(_files(spark, folder), K))
     return clones.clone_blocks(clones.clone_pairs(files, K), files).select("block", "tokens", F.size("places").alias("places"))
 
 
-QUERIES = {f.__name__: f for f in (loc_counts, generated_files, clone_pairs, clone_blocks)}
+QUERIES = {f.__name__: f for f in (loc_counts, generated_files, clone_copies, clone_pairs, clone_blocks)}
 ORACLE = {
     "loc_counts": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, count(*) AS loc, count(*) FILTER (WHERE regexp_full_match(t, '[ \t\n\x0B\f\r]*')) AS blank, count(*) FILTER (WHERE regexp_matches(t, '^[ \t\n\x0B\f\r]*(//|#($|[^\[])|/\*|\*)')) AS cloc FROM l GROUP BY ALL)

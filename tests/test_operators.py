@@ -162,6 +162,12 @@ def test_a_frequent_window_does_not_break_a_clone(spark):
     assert got.where("a_file IN ('a', 'b') AND b_file LIKE 'c%' AND tokens = 10").count() == 200
 
 
+def test_tokens_leave_comments_out(spark):
+    text = "<?php $a = \"x // y\"; // one\n# two\n#[Attr]\n/* three\n ' */ $b = 'it''s' . 1.5; /* open"
+    rows = spark.createDataFrame([(text,)], "t string").select(clones.normal_tokens(F.col("t")).alias("w")).first()
+    assert rows.w == ["<", "?", "php", "$_", "=", "'_'", ";", "#[", "Attr", "]", "$_", "=", "'_'", "'_'", ".", "0", ";"]
+
+
 def test_clones_as_by_brute_force(spark):
     dice = random.Random(5)
     texts = {f"f{n}": [dice.choice("ab") for _ in range(dice.randint(0, 40))] + ["a", "b"] * dice.randint(0, 8) for n in range(8)}
@@ -181,11 +187,13 @@ def test_clones_as_by_brute_force(spark):
 
 def test_clones_of_files_without_language_or_path(spark, tmp_path):
     text = "<?php " + " ".join(f"f{i}();" for i in range(20))
-    rows = [(1, "php", "a.php"), (2, None, "src\\B.PHP"), (3, "php", None), (4, None, "c.py"), (5, "python", None), (6, None, None)]
-    spark.createDataFrame([(*r, "source_code", text) for r in rows], "doc_id long, lang string, path string, doc_kind string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(1, "php", "a.php"), (2, None, "src\\B.PHP"), (3, "php", None), (4, None, "c.py"), (5, "python", None), (6, None, None), (7, None, "copy.php")]
+    texts_of = lambda n: f"<?php g{n % 6}(); {text[6:]} // comment {n}"
+    spark.createDataFrame([(*r, "source_code", texts_of(r[0])) for r in rows], "doc_id long, lang string, path string, doc_kind string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = texts.clone_pairs(spark, str(tmp_path))
     assert {(r.a_file, r.b_file) for r in got.collect()} == {(1, 2), (1, 3), (2, 3)}
     assert [r.places for r in texts.clone_blocks(spark, str(tmp_path)).collect()] == [3]
+    assert {tuple(r) for r in texts.clone_copies(spark, str(tmp_path)).collect()} == {(1, 1, 2), (7, 1, 2)}  # but for comments
 
 
 def test_class_rank_stops_by_project_either_way(spark):
