@@ -203,18 +203,15 @@ def entry_findings(entries: DataFrame, kinds: Sequence[str] = tuple(ENTRY_RULES)
 def computed_findings(subjects: DataFrame, formulas: Mapping[str, tuple[float | None, float | None, bool]]) -> DataFrame:
     """Findings of computed metrics: `formulas` is name -> (warning, error, inverted); inverted ones are bad below their
     thresholds, others above them (a value at a threshold is none). Values are compared after rounding to one digit."""
-    parts = []
+    each = []
     for name, (warning, error, inverted) in formulas.items():
         value = F.round(F.col(name.replace(".", "__")).cast("double"), 1)
-        bad = (lambda t, v=value: v < t) if inverted else (lambda t, v=value: v > t)
-        w, e = (F.lit(t).cast("double") for t in (warning, error))
-        level = F.when(F.coalesce(bad(e), F.lit(False)), "error").when(F.coalesce(bad(w), F.lit(False)), "warning")
-        rows = subjects.withColumn("severity", level).where("severity IS NOT NULL")
-        parts.append(rows.select(
-            F.lit(f"computed#{name}").alias("channel"), "subject_key", "file", "line", "severity", value.alias("value"),
-            F.when(F.col("severity") == "error", e).otherwise(w).alias("threshold"), F.lit(15).alias("minutes"),
-        ))
-    return reduce(DataFrame.unionByName, parts)
+        each.append(F.struct(F.lit(f"computed#{name}").alias("channel"), value.alias("value"), F.lit(warning).cast("double").alias("w"), F.lit(error).cast("double").alias("e"), F.lit(inverted).alias("inverted")))
+    rows = subjects.select("subject_key", "file", "line", F.explode(F.array(*each)).alias("c"))  # one pass for all metrics
+    beyond = lambda t: F.coalesce(F.when(F.col("c.inverted"), F.col("c.value") < t).otherwise(F.col("c.value") > t), F.lit(False))
+    level = F.when(beyond(F.col("c.e")), "error").when(beyond(F.col("c.w")), "warning")
+    found = rows.withColumn("severity", level).where("severity IS NOT NULL")
+    return found.select("c.channel", "subject_key", "file", "line", "severity", "c.value", F.when(F.col("severity") == "error", F.col("c.e")).otherwise(F.col("c.w")).alias("threshold"), F.lit(15).alias("minutes"))
 
 
 def overshoot_minutes(base: Column, value: Column, threshold: Column, worse: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from codestrata.operators import policy, rank, rules
 from codestrata.plans.base import SUBJECTS, rounded, subjects
 from codestrata.plans.graphs import RANK_SQL, class_rank_rounds
+from codestrata.plans.measures import ORACLE as MEASURES_SQL
+from codestrata.plans.measures import health_class
 from codestrata.sinks import formats
 
 CCN = rules.RULES[0]
@@ -70,8 +72,6 @@ def impact_top(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def worst_classes(spark: SparkSession, folder: str) -> DataFrame:
-    from codestrata.plans.measures import health_class
-
     scores = health_class(spark, folder).withColumn("subject_key", F.concat_ws("::", "project", "class_key"))
     return rank.worst(scores, "health__overall", 20).select("subject_key", "health__overall")
 
@@ -256,6 +256,18 @@ FROM f LEFT JOIN sb ON sb.finding_id = f.channel || '|' || f.subject_key""",
     "exit_code": _F + "SELECT CASE max(CASE severity WHEN 'error' THEN 2 ELSE 1 END) WHEN 2 THEN 2 ELSE 0 END AS exit_code FROM f",
     "report_text": _F + "SELECT coalesce(file, '(project)') || ':' || coalesce(line, 0) || ': ' || severity || ' [' || channel || '] ' || subject_key AS value FROM f",
     "report_github": _F + "SELECT '::' || severity || ' file=' || coalesce(file, '') || ',line=' || coalesce(line, 1) || '::' || replace(channel || ' ' || subject_key, '%', '%25') AS value FROM f",
+    "report_gitlab": _F
+    + """SELECT to_json(struct_pack(description := channel || ' ' || subject_key, check_name := channel, fingerprint := md5(channel || ':' || subject_key), severity := CASE severity WHEN 'error' THEN 'critical' ELSE 'major' END,
+location := struct_pack(path := coalesce(file, ''), lines := struct_pack("begin" := coalesce(line, 1)))))::VARCHAR AS value FROM f""",
+    "report_sarif": _F
+    + """SELECT to_json(struct_pack(ruleId := channel, level := severity, message := struct_pack(text := channel || ' ' || subject_key), fingerprints := struct_pack("primary" := md5(channel || ':' || subject_key)),
+locations := [struct_pack(physicalLocation := struct_pack(artifactLocation := struct_pack(uri := coalesce(file, '')), region := struct_pack(startLine := coalesce(line, 1))))]))::VARCHAR AS value FROM f""",
+    "report_checkstyle": _F
+    + """, x AS (SELECT coalesce(file, '(project)') AS file, coalesce(line, 1) AS line, '<error line="' || coalesce(line, 1) || '" severity="' || severity || '" message="' || replace(replace(replace(replace(subject_key, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '" source="' || channel || '"/>' AS error FROM f)
+SELECT '<file name="' || replace(replace(replace(replace(file, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '">' || string_agg(error, '' ORDER BY line, error) || '</file>' AS value FROM x GROUP BY file""",
+    "report_dot": """SELECT '  "' || replace(replace(src_class, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '" -> "' || replace(replace(dst_class, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '" [label="' || array_to_string(list_sort(list_distinct(list(dep_type))), ',') || '"];' AS value
+FROM edges WHERE src_class IS NOT NULL AND dst_class IS NOT NULL GROUP BY project, src_class, dst_class""",
+    "worst_classes": f"""WITH hc AS ({MEASURES_SQL["health_class"]}) SELECT project || '::' || class_key AS subject_key, health__overall FROM hc WHERE health__overall IS NOT NULL ORDER BY health__overall, subject_key LIMIT 20""",
     "report_tree": SUBJECTS
     + """, k AS (SELECT project, namespace, class_key, sum(loc) AS loc, avg(mi) AS score, count(*) FILTER (WHERE ccn >= 10) AS findings FROM sub WHERE type = 'method' AND namespace <> '' GROUP BY ALL),
 s AS (SELECT *, unnest(range(1, len(string_split(namespace, chr(92))) + 1)) AS dp FROM k), u AS (SELECT project, array_to_string(string_split(namespace, chr(92))[1:dp], chr(92)) AS namespace, loc, score, findings FROM s)
