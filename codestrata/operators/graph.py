@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codestrata.functions.matching import is_builtin, under
+from codestrata.functions.matching import is_builtin, namespace_matches, under
 from codestrata.operators.hierarchy import climb, number_nodes, on_cycles
 from codestrata.operators.rollup import ancestors
 from codestrata.session import cut
@@ -406,3 +406,17 @@ def first_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[Column],
     """The first `n` rows of each key with their `rank`; Spark filters to n per task before the shuffle."""
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col("rank") <= n)
+
+
+def in_namespaces(edges: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """Edges with either end in one of the namespaces, for the export of a part of a graph; all without patterns."""
+    if not patterns:
+        return edges
+    return edges.where(namespace_matches(F.col("src_ns"), patterns) | namespace_matches(F.col("dst_ns"), patterns))
+
+
+def inspect_layer(classes: DataFrame, layers: Sequence[tuple[str, Column]], name: str) -> DataFrame:
+    """What a policy does with each class that layer `name` matches: `class`, `namespace`, `taken` (whether it is the layer
+    that the class gets), and `layer`, the one that it gets."""
+    assigned = assign_layers(classes, layers)
+    return assigned.where(F.array_contains("matches", name)).select("project", "class", "namespace", (F.col("layer") == name).alias("taken"), "layer")

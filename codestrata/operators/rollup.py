@@ -106,3 +106,29 @@ def merge_right(left: DataFrame, right: DataFrame, keys: Sequence[str], value: s
     """Union of two measurements of the same subjects in which the right one wins."""
     both = left.withColumn("_at", F.lit(0)).unionByName(right.withColumn("_at", F.lit(1)))
     return both.groupBy(*keys).agg(F.max_by(value, "_at").alias(value))
+
+
+def merge_runs(left: dict[str, DataFrame], right: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Two runs (`metrics`: subject_key, metric, value; `findings`; `run`: seconds, complete) as one: measures of the right
+    one win, findings are all kept, the longer time counts, and the whole is complete if both are."""
+    run = left["run"].unionByName(right["run"]).agg(F.max("seconds").alias("seconds"), F.min(F.col("complete").cast("int")).cast("boolean").alias("complete"))
+    return {"metrics": merge_right(left["metrics"], right["metrics"], ["subject_key", "metric"]), "findings": left["findings"].unionByName(right["findings"]), "run": run}
+
+
+def namespace_rounds(callables: DataFrame, files: DataFrame, explicit: DataFrame, values: Sequence[str], file_values: Sequence[str]) -> DataFrame:
+    """Namespaces in two rounds: first what callables (`project`, `namespace`, `values`) and files (`project`, `file`,
+    `namespace`, `file_values`) contribute to their own namespace, an `explicit` row (`project`, `namespace`,
+    `file_values`) in place of those of files; then every ancestor from the raw callables and the first round's files.
+
+    A file that declares several namespaces is one row for each: the bridge between files and namespaces. Returned:
+    `project`, `namespace`, the aggregates of `values`, and the sums of `file_values`.
+    """
+    own = files.groupBy("project", "namespace").agg(*[F.sum(v).alias(v) for v in file_values])
+    first = override_contributions(explicit.select("project", "namespace", *file_values), own, ["project", "namespace"])
+    spread = first.select("project", F.explode_outer(ancestors(F.col("namespace"))).alias("namespace"), *file_values).where("namespace IS NOT NULL")
+    second = spread.groupBy("project", "namespace").agg(*[F.sum(v).alias(f"{v}_sum") for v in file_values])
+    rolled = roll_up_paths(callables, "namespace", values, ["project"])
+    keys = [F.col("project").eqNullSafe(F.col("_p")), F.col("namespace") == F.col("_n")]
+    right = second.withColumnsRenamed({"project": "_p", "namespace": "_n"})
+    out = rolled.join(right, keys, "full")
+    return out.select(F.coalesce("project", "_p").alias("project"), F.coalesce("namespace", "_n").alias("namespace"), *[c for c in rolled.columns if c not in ("project", "namespace")], *[f"{v}_sum" for v in file_values])

@@ -6,13 +6,17 @@ expected rows. They cover what the queries over whole tables can't be compared o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.functions.matching import selected
 from codestrata.functions.text import is_generated, is_sensitive_name
-from codestrata.operators import formula, graph, policy, rank, rollup, rules
+from codestrata.operators import clones, formula, graph, policy, rank, rollup, rules
 from codestrata.plans.base import rounded
-from codestrata.sources.files import coverage, edges_of, php_facts
+from codestrata.sources.baseline import baseline_json, migrate, read_lines
+from codestrata.sources.files import coverage, edges_of, new_files, php_facts
 
 MATH = """<?php
 namespace Math;
@@ -378,6 +382,131 @@ def golden_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return out.unionByName(policy.verdict(spark.createDataFrame(found["error"], "channel string, severity string"), complete=False).select(F.lit("cut short").alias("found"), F.lit("error").alias("fail_on"), "exit_code"))
 
 
+_FINDINGS = "channel string, subject_key string, file string, namespace string, severity string, value double, occ_key string, dep_target string, dep_type string"
+
+
+def _found(spark: SparkSession) -> DataFrame:
+    rows = [
+        ("complexity#ccn", "A::f", "src/a.php", "A", "warning", 12.0, None, None, None), ("complexity#ccn", "A::f", "src/a.php", "A", "error", 25.0, None, None, None), ("layer#edge", "A", "src/a.php", "A", "error", None, None, "B", "new"),
+        ("layer#edge", "A", "src/a.php", "A", "error", None, None, "C", "extends"), ("smell#exit", "file:src/b.php", "src/b.php", "B\\Gen", "warning", None, "exit", None, None), ("mi#mi", "B::g", "lib/b.php", "B", "warning", 38.0, None, None, None),
+    ]
+    return spark.createDataFrame(rows, _FINDINGS)
+
+
+def golden_baseline_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """A baseline written as JSON and read again: occurrences, edges and magnitudes come back."""
+    made = policy.generate_baseline(_found(spark))
+    back = read_lines(baseline_json(made))
+    return back.select(F.replace("identity_key", F.lit(policy.SEPARATOR), F.lit("|")).alias("identity_key"), F.array_join("magnitudes", " ").alias("magnitudes"), "count", "inert")
+
+
+def _later(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(baseline, judgement of a later state, channels): one finding of two is gone, one got worse, one channel isn't declared."""
+    base = policy.generate_baseline(_found(spark))
+    now = _found(spark).where("NOT (channel = 'complexity#ccn' AND value = 25) AND coalesce(dep_target, '') <> 'C' AND channel <> 'smell#exit'").withColumn("value", F.when(F.col("channel") == "mi#mi", 30.0).otherwise(F.col("value")))
+    channels = spark.createDataFrame([("complexity#ccn", "magnitude", "higher"), ("mi#mi", "magnitude", "lower"), ("layer#edge", "occurrence", "higher")], "channel string, shape string, worse string")
+    return base, policy.judge(now, base, channels), channels
+
+
+def golden_baseline_judged(spark: SparkSession, folder: str) -> DataFrame:
+    base, judged, _ = _later(spark)
+    new = policy.update_baseline(base, judged).select("identity_key", "outcome", "count")
+    return judged.select("identity_key", "verdict").join(new, "identity_key").select(F.replace("identity_key", F.lit(policy.SEPARATOR), F.lit("|")).alias("identity_key"), "verdict", "outcome", "count")
+
+
+def golden_baseline_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    base, judged, channels = _later(spark)
+    return policy.clean_baseline(base, judged, channels).select(F.replace("identity_key", F.lit(policy.SEPARATOR), F.lit("|")).alias("identity_key"), "reason")
+
+
+def golden_baseline_applied(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings of the later state: within the baseline, or errors as a group that breaches it."""
+    base, judged, _ = _later(spark)
+    rows = policy.apply_baseline(_found(spark).where("channel IN ('mi#mi', 'complexity#ccn')"), judged)
+    return rows.select("channel", "value", "severity", "verdict", F.array_join("accepted", " ").alias("accepted"))
+
+
+def golden_baseline_explained(spark: SparkSession, folder: str) -> DataFrame:
+    defaults = spark.createDataFrame([("complexity#ccn", 20.0), ("mi#mi", 20.0)], "channel string, error double")
+    inline = spark.createDataFrame([("B::g", "mi#mi", 15.0), ("A::f", "complexity#ccn", 22.0)], "subject_key string, channel string, error double")
+    subjects = spark.createDataFrame([("A::f",), ("B::g",), ("C::h",)], "subject_key string")
+    base = policy.generate_baseline(_found(spark).where("channel = 'complexity#ccn'"))
+    return policy.explain(subjects, defaults, inline, base)
+
+
+def golden_baseline_migrated(spark: SparkSession, folder: str) -> DataFrame:
+    old = spark.createDataFrame([("a.php", "complexity", "f"), ("a.php", "complexity", "f"), ("a.php", "size", "twice"), ("b.php", "size", "gone")], "file string, rule string, symbol string")
+    symbols = spark.createDataFrame([("a.php", "f", "A::f"), ("a.php", "twice", "A::t"), ("a.php", "twice", "B::t")], "file string, symbol string, subject_key string")
+    return migrate(old, symbols).select(F.replace("identity_key", F.lit(policy.SEPARATOR), F.lit("|")).alias("identity_key"), "count", "reason")
+
+
+def golden_scope(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths of a run that the recorded scope doesn't cover."""
+    run = spark.createDataFrame([("src",), ("src/a/b",), ("srcs",), ("lib/x/",), ("lib",)], "path string")
+    return policy.uncovered(run, spark.createDataFrame([("src/",), ("lib/x",)], "path string"))
+
+
+def golden_excluded(spark: SparkSession, folder: str) -> DataFrame:
+    """What per-rule exclusions leave: one rule out of a path, one channel out of a namespace."""
+    left = policy.exclude_by_rule(_found(spark), paths={"complexity": ["src"], "mi": ["src"]}, namespaces={"smell#exit": ["B"], "layer": ["Other"]})
+    return left.select("channel", "subject_key")
+
+
+def golden_selected(spark: SparkSession, folder: str) -> DataFrame:
+    """Channels that stay when some rules are chosen and some are switched off."""
+    rows = spark.createDataFrame([(c,) for c in ("complexity.cyclomatic#complexity.cyclomatic.callable", "complexity.cyclomatic#complexity.cyclomatic.class", "complexity.wmc#complexity.wmc", "size.method-count#size.method-count", "size#size")], "channel string")
+    gates = {"all": ((), ()), "family": (["complexity"], []), "below": (["size.*"], []), "pair": (["complexity.wmc#complexity.wmc"], []), "without": (["complexity"], ["complexity.cyclomatic.class"]), "none": ([], ["complexity", "size"])}
+    parts = [rows.where(selected(F.col("channel"), *g)).select(F.lit(n).alias("gate"), "channel") for n, g in gates.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def golden_contributions(spark: SparkSession, folder: str) -> DataFrame:
+    """Two rounds of roll-up: a file in two namespaces, an explicit value before those of files, ancestors from raw values."""
+    callables = spark.createDataFrame([("p", "A\\B", 1.0), ("p", "A\\B", 3.0), ("p", "A", 5.0), ("p", "C", 7.0)], "project string, namespace string, ccn double")
+    files = spark.createDataFrame([("p", "1.php", "A\\B", 10), ("p", "1.php", "C", 10), ("p", "2.php", "A", 20), ("p", "3.php", "D\\E", 40)], "project string, file string, namespace string, loc int")
+    explicit = spark.createDataFrame([("p", "C", 6)], "project string, namespace string, loc long")
+    out = rollup.namespace_rounds(callables, files, explicit, ["ccn"], ["loc"])
+    return out.select("namespace", "ccn_sum", "ccn_avg", "ccn_count", "loc_sum")
+
+
+def golden_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs as one: how many measures, what a repeated one is, findings, time, and whether it is complete."""
+
+    def run(measures: list, findings: int, seconds: float, complete: bool) -> dict[str, DataFrame]:
+        return {
+            "metrics": spark.createDataFrame(measures, "subject_key string, metric string, value double"), "findings": spark.range(findings).select(F.col("id").cast("string").alias("channel")),
+            "run": spark.createDataFrame([(seconds, complete)], "seconds double, complete boolean"),
+        }
+
+    both = rollup.merge_runs(run([("s", "ccn", 1.0), ("t", "ccn", 4.0)], 2, 9.0, True), run([("s", "ccn", 2.0)], 3, 5.0, False))
+    m = both["metrics"].agg(F.count("*").alias("measures"), F.max(F.when(F.col("subject_key") == "s", F.col("value"))).alias("repeated"))
+    return m.crossJoin(both["findings"].agg(F.count("*").alias("findings"))).crossJoin(both["run"])  # one row each
+
+
+def golden_new_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files whose content no earlier run has seen."""
+    files = spark.createDataFrame([("a.php", "<?php 1;"), ("b.php", "<?php 2;"), ("moved.php", "<?php 1;"), ("empty.php", "")], "file string, text string")
+    known = files.where("file = 'a.php'").select(F.xxhash64("text").alias("content_hash"))
+    return new_files(files, known).select("file")
+
+
+def golden_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """The overall score without a dimension: the other weights grow to a sum of 1; a missing part counts 75."""
+    kept = formula.without_dimension(formula.CLASS_WEIGHTS, {"typing"})
+    rows = spark.createDataFrame([("all", 80.0, 60.0, 40.0), ("missing", 80.0, None, None)], "subject_key string, health__complexity double, health__cohesion double, health__coupling double")
+    out = formula.compute(rows, {"health.overall": formula.overall(kept)})
+    return out.select("subject_key", F.round("health__overall", 6).alias("overall"))
+
+
+def golden_duplication(spark: SparkSession, folder: str) -> DataFrame:
+    """Clones of a fixture: a run of 12 tokens twice in one file and once in another; blocks inside larger ones are dropped."""
+    body = [f"t{i}" for i in range(12)]
+    files = spark.createDataFrame([("a", ["x", *body, "y", "z", *body, "w"]), ("b", ["q", *body, "r"]), ("c", ["u"] * 5)], "file string, tokens array<string>")
+    pairs = clones.clone_pairs(files, 6)
+    blocks = clones.clone_blocks(pairs, files).withColumn("group", F.lit(1))
+    return clones.greedy_cover(blocks).select("tokens", F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["file"], p["pos"])), " ").alias("places"))
+
+
 def golden_sensitive_names(spark: SparkSession, folder: str) -> DataFrame:
     names = ["password", "userPassword", "passwordHash", "is_password", "apiKey", "API_KEY", "key", "primaryKey", "accessToken", "token", "csrf_token", "secretary", "oldPasswd", "passwordResetToken", "", "credentials", "encryptionKeyPath", "dbPwd", "myAuthToken2"]
     rows = spark.createDataFrame([(n,) for n in [*names, None]], "name string")
@@ -503,6 +632,32 @@ SELECT rule || '#' || code AS channel, code || ' warning' AS subject_key, 'warni
     "golden_diagnoses": "SELECT directive_id, 'annotation.' || code || '#annotation.' || code AS channel, reason FROM (VALUES (2, 'unresolved-directive', 'unresolved'), (3, 'unsupported-threshold', 'no thresholds'), (4, 'invalid-threshold', 'malformed'), "
     "(5, 'invalid-threshold', 'error milder than warning'), (7, 'invalid-threshold', 'error milder than warning'), (8, 'invalid-threshold', 'negative'), (9, 'invalid-threshold', 'only warns'), (12, 'unused-directive', 'unused')) t(directive_id, code, reason)",
     "golden_sensitive_names": _sql("name", "'password'", "'userPassword'", "'apiKey'", "'API_KEY'", "'accessToken'", "'oldPasswd'", "'credentials'", "'dbPwd'"),
+    "golden_baseline_roundtrip": _sql(
+        "identity_key, magnitudes, count, inert", "'A::f|complexity#ccn|||', '12.0 25.0', 2, NULL", "'A|layer#edge||B|new', NULL, 1, NULL", "'A|layer#edge||C|extends', NULL, 1, NULL", "'file:src/b.php|smell#exit|exit||', NULL, 1, NULL", "'B::g|mi#mi|||', '38.0', 1, NULL",
+    ),
+    "golden_baseline_judged": _sql(
+        "identity_key, verdict, outcome, count", "'A::f|complexity#ccn|||', 'within', 'updated', 1", "'A|layer#edge||B|new', 'within', 'updated', 1", "'A|layer#edge||C|extends', 'stale', 'untouched', 1", "'file:src/b.php|smell#exit|exit||', 'stale', 'untouched', 1", "'B::g|mi#mi|||', 'breach', 'refused', 1",
+    ),
+    "golden_baseline_cleaned": _sql("identity_key, reason", "'A|layer#edge||C|extends', 'stale'", "'file:src/b.php|smell#exit|exit||', 'undeclared'"),
+    "golden_baseline_applied": _sql("channel, value, severity, verdict, accepted", "'complexity#ccn', 12, 'warning', 'within', '12.0 25.0'", "'complexity#ccn', 25, 'error', 'within', '12.0 25.0'", "'mi#mi', 38, 'error', 'breach', '38.0'", doubles="value"),
+    "golden_baseline_explained": _sql(
+        "subject_key, channel, boundary, source", "'A::f', 'complexity#ccn', 25, 'baseline'", "'A::f', 'mi#mi', 20, 'config'", "'B::g', 'complexity#ccn', 20, 'config'", "'B::g', 'mi#mi', 15, 'inline'", "'C::h', 'complexity#ccn', 20, 'config'", "'C::h', 'mi#mi', 20, 'config'",
+        doubles="boundary",
+    ),
+    "golden_baseline_migrated": _sql("identity_key, count, reason", "'A::f|complexity#complexity|||', 2, NULL", "'A::t|size#size|||', 1, 'ambiguous symbol'", "'|size#size|||', 1, 'unknown symbol'"),
+    "golden_scope": _sql("path", "'srcs'", "'lib'"),
+    "golden_excluded": _sql("channel, subject_key", "'layer#edge', 'A'", "'layer#edge', 'A'", "'mi#mi', 'B::g'"),
+    "golden_selected": "WITH c AS (SELECT unnest(['complexity.cyclomatic#complexity.cyclomatic.callable', 'complexity.cyclomatic#complexity.cyclomatic.class', 'complexity.wmc#complexity.wmc', 'size.method-count#size.method-count', 'size#size']) AS channel) "
+    "SELECT 'all' AS gate, channel FROM c UNION ALL SELECT 'family', channel FROM c WHERE channel LIKE 'complexity.%' UNION ALL SELECT 'below', channel FROM c WHERE channel LIKE 'size.m%' UNION ALL SELECT 'pair', channel FROM c WHERE channel LIKE '%wmc' "
+    "UNION ALL SELECT 'without', channel FROM c WHERE channel LIKE 'complexity.%' AND channel NOT LIKE '%class'",
+    "golden_contributions": _sql(
+        "namespace, ccn_sum, ccn_avg, ccn_count, loc_sum", "'A', 9, 3, 3, 30", "'A\\B', 4, 2, 2, 10", "'C', 7, 7, 1, 6", "'D', NULL, NULL, NULL, 40", "'D\\E', NULL, NULL, NULL, 40", doubles="ccn_sum, ccn_avg"
+    ),
+    "golden_runs": "SELECT 2 AS measures, 2.0::DOUBLE AS repeated, 5 AS findings, 9.0::DOUBLE AS seconds, false AS complete",
+    "golden_new_files": _sql("file", "'b.php'", "'empty.php'"),
+    # weights .35 .25 .25 over .85
+    "golden_weights": "SELECT 'all' AS subject_key, round((.35 * 80 + .25 * 60 + .25 * 40) / .85, 6)::DOUBLE AS overall UNION ALL SELECT 'missing', round((.35 * 80 + .5 * 75) / .85, 6)::DOUBLE",
+    "golden_duplication": _sql("tokens, places", "12, 'a:1 a:15 b:1'"),
     "golden_merged": _sql("subject_key, metric, value", "'s', 'ccn', 2", "'s', 'loc', 5", "'t', 'ccn', 7", doubles="value"),
     "golden_verdicts": _sql(
         "found, fail_on, exit_code", "'nothing', 'error', 0", "'nothing', 'warning', 0", "'nothing', 'none', 0", "'warning', 'error', 0", "'warning', 'warning', 1", "'warning', 'none', 0", "'error', 'error', 2", "'error', 'warning', 2", "'error', 'none', 0",

@@ -134,6 +134,19 @@ def layer_templates(spark: SparkSession, folder: str) -> DataFrame:
     return bound.select(substitute("{part} of {app}", F.col("b")).alias("layer")).groupBy("layer").agg(F.count("*").alias("classes"))
 
 
+def layer_inspection(spark: SparkSession, folder: str) -> DataFrame:
+    """The classes that the Infrastructure layer matches, by the layer that they get."""
+    ns = F.col("namespace")
+    layers = [(n, graph.layer_criteria([namespace_matches(ns, [f"*\\{n}", f"*\\{n}\\*"])])) for n in LAYERS]
+    rows = graph.inspect_layer(_classes(spark, folder), layers, "Infrastructure")
+    return rows.groupBy("project", "layer", "taken").agg(F.count("*").alias("classes"))
+
+
+def part_export(spark: SparkSession, folder: str) -> DataFrame:
+    """The exported edges of the parts named Domain."""
+    return graph.edge_export(graph.in_namespaces(_edges(spark, folder), ["*\\Domain\\*"]))
+
+
 def edge_export(spark: SparkSession, folder: str) -> DataFrame:
     return graph.edge_export(_edges(spark, folder))
 
@@ -161,7 +174,7 @@ _LAYERED = f"WITH {_CL}" + """,
 lm AS (SELECT *, list_filter(['Domain', 'Infrastructure', 'Console', 'Http'], lambda x: coalesce((ends_with(ns, chr(92) || x) OR contains(ns, chr(92) || x || chr(92))) AND NOT ends_with(class, 'Factory'), false)) AS m FROM cl),
 ly AS (SELECT project, class, m[1] AS layer, len(m) AS n FROM lm)
 """
-QUERIES = {f.__name__: f for f in (coupling_class, coupling_namespace, coupling_boundary, main_sequence, noc, dit, class_rank, class_rank_rounds, rank_findings, cycle_members, circular_dependencies, connected_namespaces, layer_assignment, layer_diagnostics, class_ancestors, layer_violations, layer_templates, edge_export)}
+QUERIES = {f.__name__: f for f in (coupling_class, coupling_namespace, coupling_boundary, main_sequence, noc, dit, class_rank, class_rank_rounds, rank_findings, cycle_members, circular_dependencies, connected_namespaces, layer_assignment, layer_diagnostics, class_ancestors, layer_violations, layer_templates, layer_inspection, part_export, edge_export)}
 ORACLE = {
     "coupling_class": _PAIRS.format(where=f" AND (NOT {_BUILT.format('dst_class')} OR dep_type = 'extends')")
     + """, o AS (SELECT project, s AS class, d AS other, 1 AS o, 0 AS i FROM pr UNION ALL SELECT project, d, s, 0, 1 FROM pr), u AS (SELECT project, class, other, max(o) AS o, max(i) AS i FROM o GROUP BY ALL)
@@ -201,6 +214,11 @@ r AS (SELECT * FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst)
 WHERE a.layer <> b.layer AND NOT ((a.layer = 'Http' AND b.layer = 'Domain') OR (a.layer = 'Console' AND b.layer = 'Domain') OR (a.layer = 'Infrastructure' AND b.layer = 'Domain' AND dep_type IN ('implements', 'extends'))) GROUP BY ALL""",
     "layer_templates": f"WITH {_CL}" + """
 SELECT split_part(ns, chr(92), 2) || ' of ' || split_part(ns, chr(92), 1) AS layer, count(*) AS classes FROM cl WHERE len(string_split(ns, chr(92))) >= 3 GROUP BY ALL""",
+    "layer_inspection": f"WITH {_CL}" + """,
+lm AS (SELECT project, list_filter(['Domain', 'Infrastructure', 'Console', 'Http'], lambda x: coalesce(ends_with(ns, chr(92) || x) OR contains(ns, chr(92) || x || chr(92)), false)) AS m FROM cl)
+SELECT project, m[1] AS layer, m[1] = 'Infrastructure' AS taken, count(*) AS classes FROM lm WHERE list_contains(m, 'Infrastructure') GROUP BY ALL""",
+    "part_export": """SELECT project, src_class AS "from", dst_class AS "to", list_sort(list_distinct(list(dep_type))) AS types, count(*) AS count FROM edges
+WHERE src_class IS NOT NULL AND dst_class IS NOT NULL AND (coalesce(contains(src_ns, chr(92) || 'Domain' || chr(92)), false) OR coalesce(contains(dst_ns, chr(92) || 'Domain' || chr(92)), false)) GROUP BY ALL""",
     "edge_export": 'SELECT project, src_class AS "from", dst_class AS "to", list_sort(list_distinct(list(dep_type))) AS types, count(*) AS count FROM edges WHERE src_class IS NOT NULL AND dst_class IS NOT NULL GROUP BY ALL',
     "connected_namespaces": _PAIRS.format(where="")
     + """, nb AS (SELECT project || '::' || s AS a, project || '::' || d AS b FROM pr UNION SELECT project || '::' || d, project || '::' || s FROM pr),

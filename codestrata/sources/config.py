@@ -28,6 +28,25 @@ def merge(layers: Sequence[tuple[str, Mapping[str, Any]]]) -> dict[str, Any]:
     return out
 
 
+def yaml_layer(text: str) -> dict[str, Any]:
+    """A configuration file's layer. An empty file is an empty layer; anything but a mapping of strings is an error."""
+    try:
+        import yaml
+    except ImportError as e:  # the parser isn't part of the package
+        raise ConfigError("reading YAML needs PyYAML") from e
+    try:
+        doc = yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        raise ConfigError(f"not YAML: {e}") from e
+    if doc is None:
+        return {}
+    if not isinstance(doc, dict) or not all(isinstance(k, str) for k in doc):
+        raise ConfigError("a configuration is a mapping")
+    if unknown := set(doc) - KEYS:
+        raise ConfigError(f"unknown keys {sorted(unknown)}")
+    return doc
+
+
 def composer_paths(text: str) -> tuple[list[str], list[str]]:
     """(source paths, namespace prefixes) that a composer.json autoloads, those of autoload-dev last."""
     doc = json.loads(text)
