@@ -23,6 +23,18 @@ def test_against_sorting(spark):
     assert run(df) == want and run(df.repartition(7)) == want
 
 
+def test_the_same_without_the_heap(spark, monkeypatch):
+    import codestrata.llm.topn as module
+
+    rng = random.Random(2)
+    df = spark.createDataFrame([(rng.choice(["a", None]), rng.choice([1.0, 2.0, None, float("nan")]), rng.choice(["x", "Y", None]), i, 7, "clash") for i in range(200)], SCHEMA)
+    heap = run(df, 5)
+    monkeypatch.setattr(module, "bounded_heap", lambda item, size: None)
+    assert run(df, 5) == heap
+    plan = top_n(df, [F.col("g")], F.col("s"), [F.col("name"), F.col("id")], [F.col("id")], 5)._jdf.queryExecution().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # before the shuffle and after it
+
+
 def test_small_groups_ties_repeats_and_empty(spark):
     df = spark.createDataFrame([("a", 1.0, "x", 1, 0, ""), ("a", 1.0, "x", 1, 0, ""), ("b", None, "y", 2, 0, "")], SCHEMA)
     assert run(df) == {("a", 1, 1), ("a", 2, 1)}
