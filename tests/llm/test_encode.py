@@ -82,3 +82,32 @@ def test_lists_cut_inside_a_character_decode(spark):
     df = spark.createDataFrame([(1, ids[:-1]), (2, None), (3, []), (4, [10**6])], "doc_id long, ids array<int>")
     got = {r.doc_id: r.text for r in decode(df).collect()}
     assert got[1].startswith("ab ") and "\ufffd" in got[1] and (got[2], got[3], got[4]) == ("", "", "")
+
+
+def _every_code_point():
+    """Texts in which each code point stands beside letters, digits, white space and itself."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    return ["".join(f"a{chr(c)}b1{chr(c)} {chr(c)}{chr(c)}.\n" for c in points[i : i + 4000]) for i in range(0, len(points), 4000)]
+
+
+def test_both_splitters_agree_on_every_code_point():
+    path = vocabulary.default_path()
+    whole = vocabulary.encoding(path)
+    for text in _every_code_point():
+        assert whole.encode_ordinary(text) == [i for w in vocabulary.split_words(text) for i in vocabulary.encode_word(w, path)]
+
+
+def test_spark_splits_every_code_point_alike(spark):
+    from codestrata.llm.encode import split_texts
+
+    texts = _every_code_point()
+    rows = [(i, t) for i, t in enumerate(texts)]
+    for r in split_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), "doc_id", "text").toLocalIterator():
+        assert list(r.words) == vocabulary.split_words(texts[r.id])
+    # the texts above all have an unassigned code point or none; those without go through the JVM one by one
+    import unicodedata
+
+    known = [chr(c) for c in range(0x3000) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    joined = ["".join(f"a{c}b1{c} {c}{c}.\n" for c in known[i : i + 50]) for i in range(0, len(known), 50)]
+    for r in split_texts(spark.createDataFrame(list(enumerate(joined)), "doc_id long, text string"), "doc_id", "text").toLocalIterator():
+        assert list(r.words) == vocabulary.split_words(joined[r.id])
