@@ -12,24 +12,44 @@ from codestrata.session import cut
 
 #: Buckets by which a group's values are narrowed down in a round, and rows of a group that are sorted at last.
 BUCKETS, FEW = 1024, 100_000
+#: Values of a group that one aggregation buffer may hold, some 64 bytes each; groups with more are narrowed down.
+HELD = 500_000
 #: Up to so many open intervals are sent to every task.
 SENT_RANKS = 100_000
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], few: int = FEW, buckets: int = BUCKETS) -> DataFrame:
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], few: int = FEW, buckets: int = BUCKETS, held: int = HELD) -> DataFrame:
     """Keys, `share` and `percentile`: each share's exact percentile, interpolated at share * (n - 1).
 
     Nulls and NaN don't count; infinite values are errors of the caller. A group without values gives no rows. Null
     keys are a group. An empty table gives an empty table.
 
-    The two ranks around each percentile are looked for by narrowing: each round counts the values of every group in
+    Groups that are counted to have at most `held` values are aggregated. In others the two ranks around each percentile
+    are looked for by narrowing: each round counts the values of every group in
     equal parts of its remaining interval (partial counts before the shuffle, `buckets` rows a group at most), and
     keeps the part that has the rank. Only when at most `few` values of a group remain, or all that remain are equal,
     they are sorted; so no task ever holds a large group, and each round reads the values once.
     """
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("v"))
-    ends = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    every = cut(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    large = every.where(F.col("n") > held)
+    some = large.limit(SENT_RANKS + 1).count()
+    small_rows = rows
+    if some:
+        marked = large.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)])
+        marked = F.broadcast(marked) if some <= SENT_RANKS else marked
+        same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+        small_rows, rows = (rows.join(marked, same, how) for how in ("left_anti", "left_semi"))
+    at_once = small_rows.groupBy(*keys).agg(F.percentile("v", F.array(*[F.lit(float(s)) for s in shares])).alias("p"))
+    pairs_of = F.arrays_zip(F.array(*[F.lit(float(s)) for s in shares]).alias("share"), F.col("p").alias("percentile"))
+    small = at_once.select(*keys, F.explode(pairs_of).alias("x")).select(*keys, "x.share", "x.percentile")
+    if not some:
+        return small
+    return small.unionByName(_narrowed(rows, large, keys, shares, few, buckets))
+
+
+def _narrowed(rows: DataFrame, ends: DataFrame, keys: Sequence[str], shares: Sequence[float], few: int, buckets: int) -> DataFrame:
     at = F.col("share") * (F.col("n") - 1)
     wanted = ends.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
     ranks = wanted.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))))
