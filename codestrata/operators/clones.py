@@ -73,6 +73,25 @@ def clone_pairs(files: DataFrame, k: int = 70) -> DataFrame:
     return runs.where((F.col("a_file") != F.col("b_file")) | (F.col("shift") >= F.col("tokens"))).select("a_file", "a_pos", "b_file", "b_pos", "tokens")
 
 
+# fixed values: the tokens of tables of constants
+DATA = ("'_'", "0", "[", "]", "(", ")", ",", "=>", "array", "const", "=", ";", "-", "null", "true", "false", "return", "static", "private", "public", "protected")
+
+
+def verified(pairs: DataFrame, files: DataFrame, keep_data: bool = False) -> DataFrame:
+    """`pairs` whose tokens really are equal, not only their hashes, without those that are nothing but tables of constants
+    (both sides are, being equal). With `lines` in `files` also `lines`, how many lines the second copy spans."""
+    some = "lines" in files.columns
+    a = files.select(F.col("file").alias("a_file"), F.col("tokens").alias("_a"))
+    b = files.select(F.col("file").alias("b_file"), F.col("tokens").alias("_b"), *([F.col("lines").alias("_l")] if some else []))
+    size = F.col("tokens").cast("int")
+    rows = pairs.join(a, "a_file").join(b, "b_file").withColumn("_sa", F.slice("_a", F.col("a_pos") + 1, size)).withColumn("_sb", F.slice("_b", F.col("b_pos") + 1, size))
+    rows = rows.where(F.col("_sa") == F.col("_sb"))
+    if not keep_data:
+        rows = rows.where(F.exists("_sa", lambda t: ~F.lower(t).isin(*DATA)))
+    span = [(F.get("_l", (F.col("b_pos") + size - 1).cast("int")) - F.get("_l", F.col("b_pos")) + 1).alias("lines")] if some else []
+    return rows.select(*pairs.columns, *span)
+
+
 def clone_blocks(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """One row per duplicated content: `block` (its identity), `tokens`, `places` (sorted structs of file and pos)."""
     ends = F.array(*[F.struct(F.col(f"{x}_file").alias("file"), F.col(f"{x}_pos").alias("pos")) for x in "ab"])

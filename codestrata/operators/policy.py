@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.matching import namespace_matches, path_matches
 
+#: A catalogue of channels is sent to every task; it has no more rows than this.
+MOST_CHANNELS = 10_000
 SEPARATOR = "\x1f"  # fixed value: between the parts of an identity
 
 
@@ -165,7 +167,9 @@ def explain(subjects: DataFrame, defaults: DataFrame, overrides: DataFrame, base
 
     `defaults`: `channel`, `error`; `overrides`: `subject_key`, `channel`, `error`; `baseline` as generated.
     """
-    pairs = subjects.select("subject_key").join(F.broadcast(defaults))  # a catalogue of channels, one row each
+    if defaults.limit(MOST_CHANNELS + 1).count() > MOST_CHANNELS:
+        raise ValueError(f"a catalogue has at most {MOST_CHANNELS} channels")
+    pairs = subjects.select("subject_key").join(F.broadcast(defaults))  # each subject with each channel is the answer
     b = baseline.select(F.split("identity_key", SEPARATOR)[0].alias("subject_key"), "channel", F.array_max("magnitudes").alias("accepted"))
     b = b.groupBy("subject_key", "channel").agg(F.max("accepted").alias("accepted"))
     o = overrides.groupBy("subject_key", "channel").agg(F.max("error").alias("inline"))
@@ -246,6 +250,8 @@ def diagnose(directives: DataFrame, channels: DataFrame, unused: DataFrame | Non
     threshold for occurrences only is unsupported; a malformed one, a negative one, one whose error is milder than its
     warning, and an error level for a rule that only warns, is invalid. `unused` (`directive_id`) are reported as such.
     """
+    if channels.limit(MOST_CHANNELS + 1).count() > MOST_CHANNELS:
+        raise ValueError(f"a catalogue has at most {MOST_CHANNELS} channels")
     known = channels.select("channel", "shape", "worse", "warning_only")
     met = directives.join(F.broadcast(known), selects(F.col("selector"), F.col("channel")), "left")
     each = met.groupBy("directive_id", "kind", "selector", "warning", "error", "malformed").agg(

@@ -48,19 +48,21 @@ def roll(facts: DataFrame, keys: Sequence[str], values: Sequence[str], names: It
     return out.select(*keys, *[f"{v}_{n}" for v in values for n in (wanted + ["count"] if "avg" in wanted and "count" not in wanted else wanted)])
 
 
-def roll_by_definition(facts: DataFrame, definitions: DataFrame, keys: Sequence[str]) -> DataFrame:
+def roll_by_definition(facts: DataFrame, definitions: DataFrame, keys: Sequence[str], large: bool = False) -> DataFrame:
     """Long form: `facts` (keys, `level`, `metric`, `value`) by `definitions` (`metric`, `collected_at`, `target_level`,
     `strategy`) to keys, `target_level`, `metric` named `<metric>.<strategy>`, and `value`.
 
     A metric without definition, and a definition without values, give nothing; an avg definition also gives `.count`.
-    `definitions` is a catalogue of metrics; it has the size of a configuration.
+    `definitions` is a catalogue of metrics; it has the size of a configuration. `large` as in `roll`.
     """
     with_counts = definitions.unionByName(definitions.where("strategy = 'avg'").withColumn("strategy", F.lit("count"))).distinct()
     wanted = with_counts.groupBy(F.col("metric").alias("m"), "collected_at", "target_level").agg(F.collect_set("strategy").alias("strategies"))
     joined = facts.where("value IS NOT NULL").join(wanted, (F.col("metric") == F.col("m")) & (F.col("level") == F.col("collected_at")))
-    rolled = joined.groupBy(*keys, "target_level", "metric", "strategies").agg(*[strategy(n, F.col("value")).cast("double").alias(n) for n in STRATEGIES])
-    kept = F.filter(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(n).alias("v")) for n in STRATEGIES]), lambda x: F.array_contains("strategies", x["strategy"]))
-    rows = rolled.select(*keys, "target_level", "metric", F.explode(kept).alias("s"))
+    rolled = roll(joined.select(*keys, "target_level", "metric", "value"), [*keys, "target_level", "metric"], ["value"], large=large)
+    chosen = wanted.select("m", F.col("target_level").alias("t"), "strategies").distinct()
+    rolled = rolled.join(chosen, (F.col("metric") == F.col("m")) & (F.col("target_level") == F.col("t")))
+    kept = F.filter(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(f"value_{n}").cast("double").alias("v")) for n in STRATEGIES]), lambda x: F.array_contains("strategies", x["strategy"]))
+    rows = rolled.select(*keys, "target_level", "metric", F.explode_outer(kept).alias("s"))
     return rows.select(*keys, "target_level", F.concat_ws(".", "metric", "s.strategy").alias("metric"), F.col("s.v").alias("value"))
 
 

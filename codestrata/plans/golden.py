@@ -16,7 +16,7 @@ from codestrata.functions.text import is_generated, is_sensitive_name
 from codestrata.operators import clones, formula, graph, policy, rank, rollup, rules
 from codestrata.plans.base import rounded
 from codestrata.sources.baseline import baseline_json, migrate, read_lines
-from codestrata.sources.files import coverage, edges_of, new_files, php_facts
+from codestrata.sources.files import coverage, edges_of, new_files, php_facts, php_tokens
 
 MATH = """<?php
 namespace Math;
@@ -507,6 +507,20 @@ def golden_duplication(spark: SparkSession, folder: str) -> DataFrame:
     return clones.greedy_cover(blocks).select("tokens", F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["file"], p["pos"])), " ").alias("places"))
 
 
+def golden_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Normalised tokens with their lines."""
+    rows = spark.createDataFrame([("a", "<?php // c\n$x = 'y' .\n  1.5; /* d\n */ ?>\nhtml <?= f(\"a $b\") ?>"), ("b", None)], "file string, text string")
+    return php_tokens(rows).select("file", F.array_join("tokens", " ").alias("tokens"), F.array_join("lines", " ").alias("lines"))
+
+
+def golden_verified(spark: SparkSession, folder: str) -> DataFrame:
+    """Clones with their lines; a table of constants is none."""
+    code = "<?php\n" + "\n".join(f"f{i}($a, {i});" for i in range(6))
+    data = "<?php\nreturn [" + ",\n".join(f"'k{i}' => {i}" for i in range(20)) + "];"
+    files = php_tokens(spark.createDataFrame([("a", code), ("b", code + "\ng();"), ("c", data), ("d", data + "\nh();")], "file string, text string"))
+    return clones.verified(clones.clone_pairs(files.select("file", "tokens"), 20), files).select("a_file", "a_pos", "b_file", "b_pos", "tokens", "lines")
+
+
 def golden_sensitive_names(spark: SparkSession, folder: str) -> DataFrame:
     names = ["password", "userPassword", "passwordHash", "is_password", "apiKey", "API_KEY", "key", "primaryKey", "accessToken", "token", "csrf_token", "secretary", "oldPasswd", "passwordResetToken", "", "credentials", "encryptionKeyPath", "dbPwd", "myAuthToken2"]
     rows = spark.createDataFrame([(n,) for n in [*names, None]], "name string")
@@ -658,6 +672,9 @@ SELECT rule || '#' || code AS channel, code || ' warning' AS subject_key, 'warni
     # weights .35 .25 .25 over .85
     "golden_weights": "SELECT 'all' AS subject_key, round((.35 * 80 + .25 * 60 + .25 * 40) / .85, 6)::DOUBLE AS overall UNION ALL SELECT 'missing', round((.35 * 80 + .5 * 75) / .85, 6)::DOUBLE",
     "golden_duplication": _sql("tokens, places", "12, 'a:1 a:15 b:1'"),
+    "golden_tokens": _sql("file, tokens, lines", "'a', '$_ = ''_'' . 0 ; f ( ''_'' $_ )', '2 2 2 2 3 3 5 5 5 5 5'", "'b', '', ''"),
+    # 6 statements of 7 tokens; the two tables are equal too, but nothing else than constants
+    "golden_verified": _sql("a_file, a_pos, b_file, b_pos, tokens, lines", "'a', 0, 'b', 0, 42, 6"),
     "golden_merged": _sql("subject_key, metric, value", "'s', 'ccn', 2", "'s', 'loc', 5", "'t', 'ccn', 7", doubles="value"),
     "golden_verdicts": _sql(
         "found, fail_on, exit_code", "'nothing', 'error', 0", "'nothing', 'warning', 0", "'nothing', 'none', 0", "'warning', 'error', 0", "'warning', 'warning', 1", "'warning', 'none', 0", "'error', 'error', 2", "'error', 'warning', 2", "'error', 'none', 0",

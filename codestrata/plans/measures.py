@@ -101,7 +101,7 @@ def definition_rollup(spark: SparkSession, folder: str) -> DataFrame:
     rows = subjects(spark, folder).where("type = 'method'")
     long = rows.select("project", "class_key", F.lit("callable").alias("level"), F.expr("stack(3, 'ccn', cast(ccn as double), 'mi', mi, 'loc', cast(loc as double)) as (metric, value)"))
     definitions = spark.createDataFrame(DEFINITIONS, "metric string, collected_at string, target_level string, strategy string")
-    return rounded(roll_by_definition(long, definitions, ["project", "class_key"]))
+    return rounded(roll_by_definition(long, definitions, ["project", "class_key"], large=True))
 
 
 def weighted_rollup(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,7 +126,7 @@ def health_class(spark: SparkSession, folder: str) -> DataFrame:
 
 def health_namespace(spark: SparkSession, folder: str) -> DataFrame:
     rows = subjects(spark, folder).where("type IN ('method', 'function') AND namespace <> ''")
-    rolled = roll_up_paths(rows, "namespace", ["ccn", "mi"], ["project"])
+    rolled = roll_up_paths(rows, "namespace", ["ccn", "mi"], ["project"], large=True)
     named = rolled.select("project", "namespace", *[F.col(f"{m}_{s}").cast("double").alias(f"{m}__{s}") for m in ("ccn", "mi") for s in ("sum", "avg", "max", "min", "p95", "p5")], F.col("ccn_count").cast("double").alias("symbolMethodCount"))
     out = formula.compute(named, formula.HEALTH_NAMESPACE)
     return rounded(out.select("project", "namespace", *[c for c in out.columns if c.startswith("health__")]), 4)

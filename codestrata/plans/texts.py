@@ -23,7 +23,7 @@ def generated_files(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.count_if(tx.is_generated(F.col("text"))).alias("generated"))
 
 
-K = 70  # tokens, the least that counts as a clone
+K = 40  # tokens, the least that counts as a clone here, where files are short; runs take 70
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,7 +39,8 @@ def clone_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 def clone_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Equal runs of tokens between files that aren't whole copies of each other; `clone_copies` has the copies."""
-    return clones.clone_pairs(cut(clones.representatives(_files(spark, folder), K)), K)
+    files = cut(clones.representatives(_files(spark, folder), K))
+    return clones.verified(clones.clone_pairs(files, K), files)
 
 
 def clone_blocks(spark: SparkSession, folder: str) -> DataFrame:

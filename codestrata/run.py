@@ -16,10 +16,10 @@ from codestrata.operators import clones, graph, policy, rules
 from codestrata.plans.base import above
 from codestrata.session import cut
 from codestrata.sources.config import configure
-from codestrata.sources.files import coverage, edges_of, php_facts
+from codestrata.sources.files import coverage, edges_of, php_facts, php_tokens
 
-#: Least tokens of a clone.
-CLONE_TOKENS = 70
+# fixed values: the least tokens and lines of a clone
+CLONE_TOKENS, CLONE_LINES = 70, 5
 
 
 @dataclass
@@ -135,9 +135,9 @@ def analyse(
     callables, classes, namespaces = _subjects(facts, edges)
     ignores, overrides, directives = _control(facts)
     chosen = configure(options or {})
-    tokens = files.where("NOT is_generated AND text IS NOT NULL").select("file", clones.normal_tokens(F.col("text")).alias("tokens"))
-    pairs = cut(clones.clone_pairs(tokens, CLONE_TOKENS))
-    project = pairs.select(F.lit("project:").alias("subject_key"), F.col("a_file").alias("file"), F.lit(None).cast("int").alias("line"), (F.col("tokens") / 10).alias("duplicate_lines"))
+    tokens = cut(php_tokens(files.where("NOT is_generated")))
+    pairs = clones.verified(clones.clone_pairs(tokens.select("file", "tokens"), CLONE_TOKENS), tokens).where(F.col("lines") >= CLONE_LINES)
+    project = cut(pairs.select(F.lit("project:").alias("subject_key"), F.col("a_file").alias("file"), F.lit(None).cast("int").alias("line"), F.col("lines").cast("double").alias("duplicate_lines")))
     cycles = graph.strongly_connected(graph.distinct_edges(edges).select("src_class", "dst_class"), "src_class", "dst_class").groupBy("component").agg(F.count("*").cast("double").alias("cycle_size"))
     circles = cycles.select(F.concat(F.lit("cycle:"), "component").alias("subject_key"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), "cycle_size")
     parts = [rules.run_rules({"callable": callables, "class": classes, "namespace": namespaces}, chosen, overrides)]

@@ -8,8 +8,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A session for tests and for bench.py; a cluster brings its own."""
+def build_session(master: str = "local[*]", shuffle_partitions: int = 8, checkpoints: str | None = None, **conf: str) -> SparkSession:
+    """A session for tests, bench.py and the commands; a cluster brings its own. `checkpoints` is the folder for what
+    `cut` writes; a session that runs on several machines needs one that all of them share."""
     builder = SparkSession.builder.master(master).appName("codestrata")
     settings = {
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
@@ -19,7 +20,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
         "spark.driver.memory": "12g",
         "spark.sql.adaptive.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    } | {k.replace("__", "."): v for k, v in conf.items()}
+    } | ({"spark.checkpoint.dir": checkpoints} if checkpoints else {}) | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.frontend.php_facts import facts
+from codestrata.frontend.php_lexer import tokens as lexed
 from codestrata.functions.matching import path_matches
 from codestrata.functions.text import is_generated
 
@@ -40,6 +41,23 @@ def php_facts(files: DataFrame) -> DataFrame:
     return files.select(F.col("file").cast("string").alias("file"), "text").mapInPandas(measured, FACTS)
 
 
+def php_tokens(files: DataFrame) -> DataFrame:
+    """`file`, `tokens` and `lines` of PHP files: what duplicates are looked for in. No white space, comments or tags;
+    variables are $_, strings '_', numbers 0. A null text, and one of which no tokens can be made, have none."""
+    same = {"VAR": "$_", "ENC_VAR": "$_", "STR": "'_'", "DQ_OPEN": "'_'", "INT": "0", "FLOAT": "0"}
+    skipped = ("HTML", "OPEN_ECHO", "DQ_CLOSE", "BAD")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for file, text in batch[["file", "text"]].itertuples(index=False):
+                found = [(same.get(k, t), line) for k, t, line in (lexed(text) if text is not None else []) if k not in skipped and not t.startswith("?>")]
+                out.append((file, [t for t, _ in found], [line for _, line in found]))
+            yield pd.DataFrame(out, columns=["file", "tokens", "lines"])
+
+    return files.select(F.col("file").cast("string").alias("file"), "text").mapInPandas(read, "file string, tokens array<string>, lines array<int>")
+
+
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
     """`files` whose content isn't among `known` fact tables, by the hash of the text (`content_hash`)."""
     hashed = files.withColumn("content_hash", F.xxhash64("text"))
