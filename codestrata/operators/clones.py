@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 
 from codestrata.session import cut
 
-_COMMENT = r"//[^\n]*|#(?!\[)[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/)?"
-_SPLIT = _COMMENT + r"""|#\[|\$[A-Za-z_]\w*|[A-Za-z_]\w*|[0-9][0-9a-zA-Z_.]*|"(?:[^"\\]|\\(?s:.))*"|'(?:[^'\\]|\\(?s:.))*'|\S"""
+# every repetition is of single characters or of pairs: the JVM repeats other groups by recursion, and long texts overflow
+_COMMENT = r"//[^\n]*|#(?!\[)[^\n]*|/\*[\s\S]*?(?:\*/|\z)"
+_STRINGS = "|".join(rf"{q}(?:\\\\)*{q}|{q}[^\n]*?[^\\\n](?:\\\\)*{q}" for q in "\"'")
+_SPLIT = rf"{_COMMENT}|#\[|\$[A-Za-z_]\w*|[A-Za-z_]\w*|[0-9][0-9a-zA-Z_.]*|{_STRINGS}|\S"
 
 
 def normal_tokens(text: Column) -> Column:
@@ -41,7 +43,7 @@ def windows(files: DataFrame, k: int) -> DataFrame:
     `after` are hashes of the tokens beside the run; at the border of a file they are its own, equal to no other."""
     long = files.where(F.size("tokens") >= k).select("file", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
     at = F.sequence(F.lit(0), F.size("tokens") - k)
-    hash_of = lambda i: F.xxhash64(F.slice("tokens", i + 1, F.lit(k)))
+    hash_of = lambda i: F.struct(F.xxhash64(F.slice("tokens", i + 1, F.lit(k))), F.xxhash64(F.lit(1), F.slice("tokens", i + 1, F.lit(k))))  # 128 bits
     beside = lambda i: F.get("tokens", i)
     each = F.transform(at, lambda i: F.struct(hash_of(i).alias("hash"), beside(i - 1).alias("before"), beside(i + k).alias("after")))
     # an inner posexplode would have Spark hash everything twice, for a filter on the number of windows
@@ -56,7 +58,7 @@ def clone_pairs(files: DataFrame, k: int = 70) -> DataFrame:
     them; on each diagonal (two files, difference of positions) a beginning and the end that follows it are one clone. So
     windows are paired only at the two ends of a run, places that share the token beside them never, and no window is
     too frequent: there are two rows for each run. Runs of one file that overlap themselves are dropped. Equal hashes
-    of different windows can't be told apart here; with 64 bits they are not to be expected within one corpus.
+    of different windows can't be told apart here; with 128 bits they are not to be expected in any corpus.
     """
     all_windows = windows(files, k)
     differ = [(F.min(c) < F.max(c)).alias(f"{c}_differ") for c in ("before", "after")]
@@ -78,18 +80,17 @@ DATA = ("'_'", "0", "[", "]", "(", ")", ",", "=>", "array", "const", "=", ";", "
 
 
 def verified(pairs: DataFrame, files: DataFrame, keep_data: bool = False) -> DataFrame:
-    """`pairs` whose tokens really are equal, not only their hashes, without those that are nothing but tables of constants
-    (both sides are, being equal). With `lines` in `files` also `lines`, how many lines the second copy spans."""
+    """`pairs` without those that are nothing but tables of constants (both sides are, being equal). With `lines` in `files`
+    also `lines`, how many lines the second copy spans. Each place is looked at once, however many pairs it is in."""
     some = "lines" in files.columns
-    a = files.select(F.col("file").alias("a_file"), F.col("tokens").alias("_a"))
-    b = files.select(F.col("file").alias("b_file"), F.col("tokens").alias("_b"), *([F.col("lines").alias("_l")] if some else []))
     size = F.col("tokens").cast("int")
-    rows = pairs.join(a, "a_file").join(b, "b_file").withColumn("_sa", F.slice("_a", F.col("a_pos") + 1, size)).withColumn("_sb", F.slice("_b", F.col("b_pos") + 1, size))
-    rows = rows.where(F.col("_sa") == F.col("_sb"))
-    if not keep_data:
-        rows = rows.where(F.exists("_sa", lambda t: ~F.lower(t).isin(*DATA)))
+    texts = files.select(F.col("file").alias("b_file"), F.col("tokens").alias("_t"), *([F.col("lines").alias("_l")] if some else []))
+    places = pairs.select("b_file", "b_pos", "tokens").distinct().join(texts, "b_file")
     span = [(F.get("_l", (F.col("b_pos") + size - 1).cast("int")) - F.get("_l", F.col("b_pos")) + 1).alias("lines")] if some else []
-    return rows.select(*pairs.columns, *span)
+    data = ~F.exists(F.slice("_t", F.col("b_pos") + 1, size), lambda t: ~F.lower(t).isin(*DATA))
+    known = places.select("b_file", "b_pos", "tokens", data.alias("_data"), *span)
+    rows = pairs.join(known, ["b_file", "b_pos", "tokens"])
+    return (rows if keep_data else rows.where("NOT _data")).select(*pairs.columns, *(["lines"] if some else []))
 
 
 def clone_blocks(pairs: DataFrame, files: DataFrame) -> DataFrame:

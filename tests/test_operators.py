@@ -168,6 +168,13 @@ def test_tokens_leave_comments_out(spark):
     assert rows.w == ["<", "?", "php", "$_", "=", "'_'", ";", "#[", "Attr", "]", "$_", "=", "'_'", "'_'", ".", "0", ";"]
 
 
+def test_tokens_of_very_long_pieces(spark):
+    long = 300_000
+    for text, want in (("/*" + "x*" * long + "*/ a", ["a"]), ('"' + "\\\\" * long + '" b', ["'_'", "b"]), ("'" + "\\'x" * long + "'", ["'_'"]), ("/*" + "y\n" * long, []), ("z" * long, ["z" * long])):
+        row = spark.createDataFrame([(text,)], "t string").select(clones.normal_tokens(F.col("t")).alias("w")).first()
+        assert row.w == want
+
+
 def test_clones_as_by_brute_force(spark):
     dice = random.Random(5)
     texts = {f"f{n}": [dice.choice("ab") for _ in range(dice.randint(0, 40))] + ["a", "b"] * dice.randint(0, 8) for n in range(8)}
