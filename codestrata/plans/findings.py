@@ -265,6 +265,10 @@ locations := [struct_pack(physicalLocation := struct_pack(artifactLocation := st
     "report_checkstyle": _F
     + """, x AS (SELECT coalesce(file, '(project)') AS file, coalesce(line, 1) AS line, '<error line="' || coalesce(line, 1) || '" severity="' || severity || '" message="' || replace(replace(replace(replace(subject_key, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '" source="' || channel || '"/>' AS error FROM f)
 SELECT '<file name="' || replace(replace(replace(replace(file, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '">' || string_agg(error, '' ORDER BY line, error) || '</file>' AS value FROM x GROUP BY file""",
+    "report_json": _F
+    + """SELECT '{' || array_to_string(list_filter(['"channel":' || to_json(channel), '"file":' || to_json(file), '"line":' || line, '"minutes":' || minutes, '"severity":' || to_json(severity), '"subject_key":' || to_json(subject_key),
+'"threshold":' || to_json(threshold), '"value":' || to_json(value)], lambda x: x IS NOT NULL), ',') || '}' AS value FROM f""",
+    "report_metrics": SUBJECTS + "SELECT project, name, json_object('ccn', ccn::DOUBLE, 'loc', loc::DOUBLE, 'mi', mi)::VARCHAR AS metrics FROM sub WHERE type IN ('method', 'function')",
     "report_dot": """SELECT '  "' || replace(replace(src_class, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '" -> "' || replace(replace(dst_class, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '" [label="' || array_to_string(list_sort(list_distinct(list(dep_type))), ',') || '"];' AS value
 FROM edges WHERE src_class IS NOT NULL AND dst_class IS NOT NULL GROUP BY project, src_class, dst_class""",
     "worst_classes": f"""WITH hc AS ({MEASURES_SQL["health_class"]}) SELECT project || '::' || class_key AS subject_key, health__overall FROM hc WHERE health__overall IS NOT NULL ORDER BY health__overall, subject_key LIMIT 20""",

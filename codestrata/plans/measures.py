@@ -10,6 +10,7 @@ from codestrata.operators.quantiles import percentiles
 from codestrata.operators.rank import severity_rank
 from codestrata.operators.rollup import aggregates, leaves, roll, roll_by_definition, roll_up_paths, weighted_mean
 from codestrata.operators.rules import severity
+from codestrata.plans import graphs
 from codestrata.plans.base import SUBJECTS, rounded, seven, subjects
 from codestrata.session import cut
 from codestrata.tables import table
@@ -115,11 +116,13 @@ def _class_scores(spark: SparkSession, folder: str) -> DataFrame:
     m = rows.where("type = 'method'").groupBy("project", "class_key").agg(
         F.avg("ccn").alias("ccn__avg"), F.max("ccn").cast("double").alias("ccn__max"), F.avg("mi").alias("mi__avg"), F.min("mi").alias("mi__min"), F.count("*").cast("double").alias("methodCount")
     )
-    return formula.compute(m, formula.HEALTH_CLASS)
+    coupled = graphs.coupling_class(spark, folder).select("project", F.col("class").alias("class_key"), F.col("ce").cast("double").alias("ce"), F.col("ce_packages").cast("double").alias("ce_packages"))
+    return formula.compute(m.join(coupled, ["project", "class_key"], "left"), formula.HEALTH_CLASS)
 
 
 def health_class(spark: SparkSession, folder: str) -> DataFrame:
-    """Default scores of classes from what `symbols` measures; what isn't measured has its formula's default."""
+    """Default scores of classes from what `symbols` measures and the classes they depend on; what isn't measured (cohesion,
+    types) has its formula's default."""
     out = _class_scores(spark, folder)
     return rounded(out.select("project", "class_key", *[c for c in out.columns if c.startswith("health__")]), 4)
 
@@ -142,11 +145,11 @@ def formula_chain(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _PATHS = ", spread AS (SELECT s.*, unnest(range(1, len(string_split(namespace, chr(92))) + 1)) AS depth FROM sub s WHERE type IN ('method', 'function') AND namespace <> ''), up AS (SELECT project, array_to_string(string_split(namespace, chr(92))[1:depth], chr(92)) AS namespace, ccn, loc, mi FROM spread)\n"
-_CLASS_HEALTH = """, m AS (SELECT project, class_key, avg(ccn) AS ca, max(ccn) AS cm, avg(mi) AS ma, min(mi) AS mm, count(*)::DOUBLE AS mc FROM sub WHERE type = 'method' GROUP BY ALL),
-h AS (SELECT project, class_key, ca, cm, ma, mm, mc,
-  greatest(0, least(100, 100 - 2 * greatest(coalesce(ca, 1) - 4, 0) - 2 * sqrt(greatest(coalesce(cm, 0) - 10, 0)))) AS cx,
-  greatest(0, least(100, 50 * sqrt(CASE WHEN mc < 6 THEN 0.5 ELSE 0 END) + 50)) AS coh, 100.0::DOUBLE AS cou, 0.0::DOUBLE AS typ,
-  greatest(0, least(100, 100 - 1.5 * greatest(85 - coalesce(ma, 75), 0) - 3 * sqrt(greatest(50 - coalesce(mm, 50), 0)))) AS mai FROM m)
+_CLASS_HEALTH = ", cc AS (" + graphs.ORACLE["coupling_class"] + """), m AS (SELECT project, class_key, avg(ccn) AS ca, max(ccn) AS cm, avg(mi) AS ma, min(mi) AS mm, count(*)::DOUBLE AS mc FROM sub WHERE type = 'method' GROUP BY ALL),
+h AS (SELECT m.project, class_key, m.ca, cm, ma, mm, mc,
+  greatest(0, least(100, 100 - 2 * greatest(coalesce(m.ca, 1) - 4, 0) - 2 * sqrt(greatest(coalesce(cm, 0) - 10, 0)))) AS cx,
+  greatest(0, least(100, 50 * sqrt(CASE WHEN mc < 6 THEN 0.5 ELSE 0 END) + 50)) AS coh, greatest(0, least(100, 1500 / (15 + greatest(3 * coalesce(ce_packages, 0) + 0.5 * sqrt(coalesce(ce, 0)) - 5, 0)))) AS cou, 0.0::DOUBLE AS typ,
+  greatest(0, least(100, 100 - 1.5 * greatest(85 - coalesce(ma, 75), 0) - 3 * sqrt(greatest(50 - coalesce(mm, 50), 0)))) AS mai FROM m LEFT JOIN cc ON cc.project = m.project AND cc.class = m.class_key)
 """
 
 QUERIES = {

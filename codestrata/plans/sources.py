@@ -39,11 +39,12 @@ def php_coupling(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(class_coupling(edges_of(_facts(spark, folder), projects)))
 
 
-def php_entries(spark: SparkSession, folder: str) -> DataFrame:
+def php_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """How many facts of each kind there are, entries by what they are, and in how many files."""
     rows = _facts(spark, folder)
-    smells = rows.where("kind = 'entry'").select("file", F.col("subject").alias("smell"), "line")
-    names = rows.where("kind = 'parameter' AND extra['sensitive'] = 'false'").where(is_sensitive_name(F.col("subject"))).select("file", F.lit("sensitive_parameter").alias("smell"), "line")
-    return smells.unionByName(names).groupBy("smell").agg(F.count("*").alias("entries"), F.countDistinct("file").alias("files"))
+    sensitive = (F.col("kind") == "parameter") & (F.col("extra")["sensitive"] == "false") & is_sensitive_name(F.col("subject"))
+    kind = F.when(F.col("kind").isin("entry", "directive"), F.concat_ws(" ", "kind", "subject")).when(sensitive, "entry sensitive_parameter").otherwise(F.col("kind"))
+    return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("facts"), F.countDistinct("file").alias("files"))
 
 
 def php_coverage(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,5 +52,5 @@ def php_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return coverage(_files(spark, folder), _facts(spark, folder)).groupBy("status").agg(F.count("*").alias("files"))
 
 
-QUERIES = {f.__name__: f for f in (php_callables, php_classes, php_coupling, php_entries, php_coverage)}
+QUERIES = {f.__name__: f for f in (php_callables, php_classes, php_coupling, php_rows, php_coverage)}
 ORACLE: dict[str, str] = {}
