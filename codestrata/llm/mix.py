@@ -47,9 +47,16 @@ def plan(held: DataFrame, targets: DataFrame, levels: Sequence[str], total: floa
     its largest. A target is shared by its leaves in proportion to what they hold; a node weighs what its leaves do.
     `total` is what the mix should hold; without it all tokens that any leaf with a weight and a capacity holds. Budgets
     run down from the root, so a leaf's shortage goes to its siblings, and only what a whole family can't give to the
-    family's siblings. If the whole tree can't give `total`, each leaf gives its capacity.
+    family's siblings. If the whole tree can't give `total`, each leaf gives its capacity. Levels may have any names but
+    those of the columns returned.
     """
-    names, label = list(levels), levels[-1]
+    inner = [f"l{i}" for i in range(len(levels))]
+    leaves = _plan(held.select(*[F.col(c).alias(x) for c, x in zip(levels, inner)], "held"), targets.withColumnRenamed(levels[-1], inner[-1]), inner, total)
+    return leaves.withColumnsRenamed(dict(zip(inner, levels)))
+
+
+def _plan(held: DataFrame, targets: DataFrame, names: list[str], total: float | None) -> DataFrame:
+    label = names[-1]
     wanted = targets.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("wanted")).agg(
         F.max(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("cap")
     )
@@ -86,14 +93,15 @@ def mix(
     more, in an order seeded by `seed` and the epoch. The last record of a prefix is the one whose middle is still within
     it, so each leaf is off by half a record at most.
     """
-    names, label = list(levels), levels[-1]
-    sized = docs.where(F.col(size_column) > 0).select(F.col(id_column).alias("id"), *names, F.col(size_column).cast("long").alias("size"))
+    names = [f"l{i}" for i in range(len(levels))]  # levels may be called anything
+    label, targets = names[-1], targets.select(F.col(levels[-1]).alias(names[-1]), "target_share", "max_repeats")
+    sized = docs.where(F.col(size_column) > 0).select(F.col(id_column).alias("id"), *[F.col(c).alias(x) for c, x in zip(levels, names)], F.col(size_column).cast("long").alias("size"))
     labels = targets.where(F.col(label).isNotNull()).select(label).distinct()
     few = [r[0] for r in labels.limit(FILTERED_LABELS + 1).collect()]
     sized = sized.where(F.col(label).isin(*few)) if len(few) <= FILTERED_LABELS else sized.join(labels, label, "left_semi")
-    leaves = cut(plan(sized.groupBy(*names).agg(F.sum("size").alias("held")), targets, names, total))
+    leaves = cut(_plan(sized.groupBy(*names).agg(F.sum("size").alias("held")), targets, names, total))
     epochs = F.least(F.col("cap").cast("int"), F.floor(F.col("budget") / F.col("held") + 1e-9).cast("int"))
-    leaf = [f"l{i}" for i in range(len(names))]
+    leaf = [f"p{i}" for i in range(len(names))]
     plans = leaves.select(*[F.col(c).alias(x) for c, x in zip(names, leaf)], epochs.alias("epochs"), "cap", "held", "budget")
     rest = F.when(F.col("epochs") < F.col("cap"), F.greatest(F.lit(0.0), F.least(F.col("held").cast("double"), F.col("budget") - F.col("epochs") * F.col("held")))).otherwise(0.0)
     plans = plans.select(*leaf, "epochs", rest.alias("rest"))
@@ -115,7 +123,7 @@ def mix(
     edge = edge.where(F.col("upto") - F.col("size") / 2 <= F.col("rest"))
     last = [part.select("id", *names, (F.col("epochs") + 1).alias("epoch"), "size") for part in (inside, edge)]
     used = whole.unionByName(last[0]).unionByName(last[1])
-    return used.select(F.col("id").alias(id_column), *names, "epoch", F.col("size").alias(size_column))
+    return used.select(F.col("id").alias(id_column), *[F.col(x).alias(c) for c, x in zip(levels, names)], "epoch", F.col("size").alias(size_column))
 
 
 def shares(mixed: DataFrame, docs: DataFrame, targets: DataFrame, label: str, size_column: str = "tokens") -> DataFrame:

@@ -88,6 +88,13 @@ def test_mix(spark, total):
     assert {s: table[s].used_tokens for s in caps} == sizes
 
 
+def test_levels_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "x" if i % 2 else None, "ab"[i % 3 > 0], 5) for i in range(60)], "id long, level string, bucket string, size long")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1), (None, 0.2, 1), ("a", None, None)], "bucket string, target_share double, max_repeats int")
+    rows = mix(docs, targets, ["level", "bucket"], "id", "size", total=200, seed=1)
+    assert rows.columns == ["id", "level", "bucket", "epoch", "size"] and abs(sum(r["size"] for r in rows.collect()) - 200) <= 10
+
+
 def test_same_whatever_the_order_and_empty(spark):
     docs = spark.createDataFrame([(i, "a", "k", i % 9 + 1, "", "") for i in range(200)], DOCS)
     targets = spark.createDataFrame([("a", 1.0, 2)], TARGETS)
