@@ -98,49 +98,51 @@ def severity(value: Column, warning: Column, error: Column, worse: str) -> Colum
     return F.when(F.coalesce(beyond(error), F.lit(False)), "error").when(F.coalesce(beyond(warning), F.lit(False)), "warning")
 
 
-def threshold_findings(subjects: DataFrame, rule: Rule, overrides: DataFrame | None = None) -> DataFrame:
-    """Findings of one rule over wide `subjects` (`subject_key`, `file`, `line`, the metric, what the gate needs).
+def threshold_findings(subjects: DataFrame, rules: Rule | Sequence[Rule], overrides: DataFrame | None = None) -> DataFrame:
+    """Findings of rules over wide `subjects` (`subject_key`, `file`, `line`, the metrics, what the gates need), in one pass.
 
     A subject without the metric, with NaN, or outside the gate has none. `overrides` (`subject_key`, `selector`,
     `scope_rank`, `span`, `seq`, `warning`, `error`) replace thresholds for a subject: of several the highest rank wins,
     then the smallest span, then the first. Both thresholds are replaced; a null one is then never reached.
     """
-    value = F.col(rule.metric).cast("double")
-    value = F.when(~F.isnan(value), value.cast("long").cast("double") if rule.whole else value)
-    rows = subjects.where(F.expr(rule.gate)).select("subject_key", "file", "line", value.alias("value")).where("value IS NOT NULL")
-    warning, error = F.lit(rule.warning).cast("double"), F.lit(rule.error).cast("double")
+    rules = [rules] if isinstance(rules, Rule) else list(rules)
+    each = []
+    for rule in rules:
+        value = F.col(rule.metric).cast("double")
+        value = F.when(F.expr(rule.gate) & ~F.isnan(value), value.cast("long").cast("double") if rule.whole else value)
+        limits = (F.lit(t).cast("double").alias(n) for n, t in (("warning", rule.warning), ("error", rule.error)))
+        each.append(F.struct(F.lit(rule.name).alias("name"), F.lit(rule.channel).alias("channel"), value.alias("value"), *limits, F.lit(rule.worse).alias("worse"), F.lit(rule.minutes).alias("minutes")))
+    rows = subjects.select("subject_key", "file", "line", F.explode(F.array(*each)).alias("r")).where("r.value IS NOT NULL").select("subject_key", "file", "line", "r.*")
     if overrides is not None:
-        mine = overrides.where((F.lit(rule.name) == F.col("selector")) | F.lit(rule.name).startswith(F.concat("selector", F.lit("."))) | (F.col("selector") == "*"))
-        first = Window.partitionBy("subject_key").orderBy(F.desc("scope_rank"), "span", "seq")
-        best = mine.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("subject_key", F.col("warning").alias("_w"), F.col("error").alias("_e"), F.lit(True).alias("_o"))
-        rows = rows.join(best, "subject_key", "left")
-        warning, error = F.when(F.col("_o"), F.col("_w")).otherwise(warning), F.when(F.col("_o"), F.col("_e")).otherwise(error)
-    level = severity(F.col("value"), warning, error, rule.worse)
-    out = rows.withColumn("severity", level).where("severity IS NOT NULL")
-    return out.select(
-        F.lit(rule.channel).alias("channel"), "subject_key", "file", "line", "severity", "value",
-        F.when(F.col("severity") == "error", error).otherwise(warning).alias("threshold"), F.lit(rule.minutes).alias("minutes"),
-    )
+        names = F.array(*[F.lit(n) for n in sorted({r.name for r in rules})])
+        mine = overrides.withColumn("_n", F.explode(names)).where((F.col("_n") == F.col("selector")) | F.startswith(F.col("_n"), F.concat("selector", F.lit("."))) | (F.col("selector") == "*"))
+        first = Window.partitionBy("subject_key", "_n").orderBy(F.desc("scope_rank"), "span", "seq")
+        best = mine.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(F.col("subject_key").alias("_s"), "_n", F.col("warning").alias("_w"), F.col("error").alias("_e"), F.lit(True).alias("_o"))
+        rows = rows.join(best, (F.col("subject_key") == F.col("_s")) & (F.col("name") == F.col("_n")), "left")
+        rows = rows.withColumns({"warning": F.when(F.col("_o"), F.col("_w")).otherwise(F.col("warning")), "error": F.when(F.col("_o"), F.col("_e")).otherwise(F.col("error"))})
+    up, down = (severity(F.col("value"), F.col("warning"), F.col("error"), w) for w in ("higher", "lower"))
+    out = rows.withColumn("severity", F.when(F.col("worse") == "higher", up).otherwise(down)).where("severity IS NOT NULL")
+    return out.select("channel", "subject_key", "file", "line", "severity", "value", F.when(F.col("severity") == "error", F.col("error")).otherwise(F.col("warning")).alias("threshold"), "minutes")
 
 
 def run_rules(subjects: dict[str, DataFrame], rules: Iterable[Rule] = RULES, overrides: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """All findings of the enabled rules whose level is given and whose metric the level's subjects have.
 
     A flag (`is_...`) that a gate reads and the subjects lack is unknown; any other column that is missing leaves the rule
-    out, or is an error if `strict`. `unrun` tells which rules that concerns.
+    out, or is an error if `strict`. `unrun` tells which rules that concerns. Each level is read once for all its rules.
     """
+    rules = list(rules)
     parts = []
-    for rule in rules:
-        if not rule.enabled or rule.level not in subjects:
-            continue
-        if lacking := unrun({rule.level: subjects[rule.level]}, [rule]):
-            if strict:
-                raise ValueError(f"{rule.channel} needs the columns {lacking[rule.channel]}")
-            continue
-        rows = subjects[rule.level]
-        for flag in (c for c in rule.needs if c.startswith("is_") and c not in rows.columns):
+    for level, rows in subjects.items():
+        mine = [r for r in rules if r.enabled and r.level == level]
+        lacking = unrun({level: rows}, mine)
+        if lacking and strict:
+            raise ValueError(f"columns that rules need: {lacking}")
+        mine = [r for r in mine if r.channel not in lacking]
+        for flag in sorted({c for r in mine for c in r.needs if c.startswith("is_")} - set(rows.columns)):
             rows = rows.withColumn(flag, F.lit(None).cast("boolean"))
-        parts.append(threshold_findings(rows, rule, overrides))
+        if mine:
+            parts.append(threshold_findings(rows, mine, overrides))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -132,7 +132,7 @@ def analyse(
     spark = files.sparkSession
     facts = cut(php_facts(files.where("NOT is_generated")))
     edges = edges_of(facts)
-    callables, classes, namespaces = _subjects(facts, edges)
+    callables, classes, namespaces = map(cut, _subjects(facts, edges))  # several rules and measures start from each
     ignores, overrides, directives = _control(facts)
     chosen = configure(options or {})
     tokens = cut(php_tokens(files.where("NOT is_generated")))
